@@ -243,7 +243,7 @@ def merge_entries(base: Column, new: Column) -> Column:
         lambda e: F.struct(
             e["k"].alias("k"),
             F.coalesce(
-                F.element_at(F.filter(new, lambda n: n["k"] == e["k"]), -1)["y"], e["y"]
+                F.try_element_at(F.filter(new, lambda n: n["k"] == e["k"]), F.lit(-1))["y"], e["y"]
             ).alias("y"),
         ),
     )

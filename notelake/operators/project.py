@@ -34,7 +34,7 @@ def roles() -> Column:
     )
 
 
-def _role_notes(notes: DataFrame) -> DataFrame:
+def role_notes(notes: DataFrame) -> DataFrame:
     return notes.filter(F.col("path").isin([path for _, path in S.ROLES]))
 
 
@@ -90,7 +90,7 @@ def project_context(
     """
     budget = text.clamp(max_chars, *CONTEXT_CHARS)
     found = (
-        _role_notes(notes)
+        role_notes(notes)
         .select(
             "vault",
             "path",
@@ -115,7 +115,7 @@ def project_context(
 
 def missing_notes(notes: DataFrame, vaults: DataFrame) -> DataFrame:
     """``(vault, missing)``: absent canonical paths in role order."""
-    found = _role_notes(notes).groupBy("vault").agg(F.collect_set("path").alias("found"))
+    found = role_notes(notes).groupBy("vault").agg(F.collect_set("path").alias("found"))
     every = F.transform(roles(), lambda r: r["path"])
     return (
         vaults.select(F.col("name").alias("vault"))

@@ -25,8 +25,20 @@ DOCUMENT_NOTE = rf"""
 """
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Given schemas save a footer-reading job per table.
+_SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+        "value double, props string"
+    ),
+    "pages": "page_id bigint, url string, html string",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reader = spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def event_vault():
@@ -42,7 +54,7 @@ def event_line():
 
 
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("vault"),
         F.expr(f"concat(lang, '/', {_DOC_KEY}, '.md')").alias("path"),
         F.expr(DOCUMENT_NOTE).alias("content"),
@@ -54,7 +66,7 @@ def project_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Only ids are ranked; text is fetched for the ranked few.
     """
-    documents = _table(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     lowest = Window.partitionBy("source").orderBy("doc_id")
     first_ten = (
         documents.select("source", "doc_id")
@@ -91,7 +103,7 @@ def project_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "events").select(
+    lines = table(spark, sf_dir, "events").select(
         event_vault().alias("vault"),
         F.concat(F.lit("Daily/"), event_day().cast("string"), F.lit(".md")).alias("path"),
         "event_id",
@@ -113,7 +125,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.expr("cast(substring(source, 4) as int)")
     return (
-        _table(spark, sf_dir, "documents")
+        table(spark, sf_dir, "documents")
         .select("source")
         .distinct()
         .select(
@@ -141,7 +153,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(
         event == "view", F.concat(F.lit("Daily/"), event_day().cast("string"), F.lit(".md"))
     ).otherwise(F.concat(F.lit("Log/n"), (F.col("event_id") % 25).cast("string"), F.lit(".md")))
-    return _table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         event_vault().alias("vault"),
         op.alias("op"),
