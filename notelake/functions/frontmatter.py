@@ -13,7 +13,10 @@ from a string.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import wraps
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import Column, SparkSession, functions as F
 
 from .text import WS, let, trim_ws
 
@@ -41,6 +44,28 @@ JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
 
 ENTRIES = "array<struct<k:string,y:string,j:string>>"
 
+_built: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
+
+
+def _once(build):
+    """Build the expression for a column *name* once per session.
+
+    The parser is a few hundred expression nodes; a query that needs it several
+    times would spend longer putting it together than running it.
+    """
+
+    @wraps(build)
+    def column(content: Column | str) -> Column:
+        if not isinstance(content, str):
+            return build(content)
+        known = _built.setdefault(SparkSession.active(), {})
+        key = (build.__name__, content)
+        if key not in known:
+            known[key] = build(F.col(content))
+        return known[key]
+
+    return column
+
 
 def json_string(c: Column) -> Column:
     """``c`` as a JSON string literal."""
@@ -132,6 +157,7 @@ def block_text(content: Column) -> Column:
     ).otherwise(F.lit(""))
 
 
+@_once
 def raw_entries(content: Column) -> Column:
     """Entries as written; ``y`` is null where the value is outside the grammar."""
     lines = F.regexp_replace(block_text(content), r"(?m)^[ \t]*#[^\n]*(?:\n|\z)", "")
@@ -151,6 +177,7 @@ def _is_bad(entries: Column) -> Column:
     )
 
 
+@_once
 def entries(content: Column) -> Column:
     """Parsed properties in source order; empty for a flagged block."""
     empty = F.array().cast(ENTRIES)
@@ -160,6 +187,7 @@ def entries(content: Column) -> Column:
     return F.when(F.rlike(content, F.lit(OPENING)), parsed).otherwise(empty)
 
 
+@_once
 def frontmatter_error(content: Column) -> Column:
     """True where a property block opens but cannot be read by the grammar."""
     opens = F.rlike(content, F.lit(OPENING))
@@ -172,6 +200,7 @@ def entries_text(es: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
+@_once
 def frontmatter_text(content: Column) -> Column:
     """Properties as JSON text in source order; ``{}`` when there are none."""
     return F.when(F.rlike(content, F.lit(OPENING)), entries_text(entries(content))).otherwise(
@@ -179,11 +208,13 @@ def frontmatter_text(content: Column) -> Column:
     )
 
 
+@_once
 def frontmatter(content: Column) -> Column:
     """Properties as VARIANT."""
     return F.parse_json(frontmatter_text(content))
 
 
+@_once
 def frontmatter_map(content: Column) -> Column:
     """Flat properties as ``map<string, json text>``."""
     return F.map_from_entries(
@@ -191,6 +222,7 @@ def frontmatter_map(content: Column) -> Column:
     )
 
 
+@_once
 def frontmatter_body(content: Column) -> Column:
     """Text after the block."""
     return F.when(
@@ -227,6 +259,7 @@ def flatten_tags(value: Column) -> Column:
     )
 
 
+@_once
 def frontmatter_tags(content: Column) -> Column:
     """Tags of the ``tags`` property."""
     tagged = F.filter(entries(content), lambda e: e["k"] == "tags")
@@ -237,18 +270,18 @@ def frontmatter_tags(content: Column) -> Column:
 
 
 def merge_entries(base: Column, new: Column) -> Column:
-    """Shallow merge: old keys keep their place, new values win, new keys follow."""
-    updated = F.transform(
-        base,
-        lambda e: F.struct(
-            e["k"].alias("k"),
-            F.coalesce(
-                F.try_element_at(F.filter(new, lambda n: n["k"] == e["k"]), F.lit(-1))["y"], e["y"]
-            ).alias("y"),
-        ),
-    )
-    added = F.filter(new, lambda n: ~F.exists(base, lambda e: e["k"] == n["k"]))
-    return F.concat(updated, F.transform(added, lambda n: F.struct(n["k"].alias("k"), n["y"].alias("y"))))
+    """Shallow merge of ``struct<k, y>`` arrays: old keys keep their place, new
+    values win, new keys follow in the order of their first mention."""
+
+    def last(key: Column) -> Column:
+        return F.try_element_at(F.filter(new, lambda n: n["k"] == key), F.lit(-1))["y"]
+
+    def pair(key: Column, y: Column) -> Column:
+        return F.struct(key.alias("k"), y.alias("y"))
+
+    updated = F.transform(base, lambda e: pair(e["k"], F.coalesce(last(e["k"]), e["y"])))
+    names = F.array_except(F.transform(new, lambda n: n["k"]), F.transform(base, lambda e: e["k"]))
+    return F.concat(updated, F.transform(names, lambda k: pair(k, last(k))))
 
 
 def render(es: Column, body: Column) -> Column:

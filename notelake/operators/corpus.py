@@ -124,8 +124,8 @@ def get_frontmatter(notes: DataFrame) -> DataFrame:
     return notes.select(
         "vault",
         "path",
-        fm.frontmatter(content).alias("frontmatter"),
-        fm.frontmatter_error(content).alias("frontmatter_error"),
+        fm.frontmatter("content").alias("frontmatter"),
+        fm.frontmatter_error("content").alias("frontmatter_error"),
     )
 
 
@@ -144,7 +144,7 @@ def match_kinds(query: str) -> Column:
     kinds = [
         F.when(_has(F.col("path"), q), "filename"),
         F.when(_has(content, q), "content"),
-        F.when(_has(fm.frontmatter_text(content), q), "frontmatter"),
+        F.when(_has(fm.frontmatter_text("content"), q), "frontmatter"),
     ]
     return F.filter(F.array(*kinds), lambda k: k.isNotNull())
 
@@ -159,7 +159,7 @@ def match_notes(notes: DataFrame, query: str) -> DataFrame:
     if not q:
         return notes.filter(F.lit(False))
     content = F.col("content")
-    parts = [F.col("path"), content, fm.frontmatter_text(content)]
+    parts = [F.col("path"), content, fm.frontmatter_text("content")]
     if "\n" in q:
         return notes.filter(_has(F.concat_ws("\n", *parts), q))
     return notes.filter(reduce(lambda a, b: a | b, [_has(p, q) for p in parts]))

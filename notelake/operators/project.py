@@ -232,7 +232,7 @@ def vault_counts(notes: DataFrame) -> DataFrame:
         "vault",
         F.startswith("path", F.lit(DAILY_FOLDER + "/")).alias("daily"),
         F.when(F.col("path") == TASKS_NOTE, F.size(text.tasks(content))).otherwise(0).alias("tasks"),
-        (F.size(fm.frontmatter_tags(content)) + F.size(text.hashtags(content))).alias("tags"),
+        (F.size(fm.frontmatter_tags("content")) + F.size(text.hashtags(content))).alias("tags"),
         F.size(text.wikilinks(content)).alias("links"),
     )
     return kept.groupBy("vault").agg(

@@ -17,7 +17,7 @@ def note_tags(notes: DataFrame, directory: str = "") -> DataFrame:
         return F.transform(tags, lambda t: F.struct(t.alias("tag"), F.lit(origin).alias("origin")))
 
     found = F.concat(
-        labelled(fm.frontmatter_tags(content), "frontmatter"),
+        labelled(fm.frontmatter_tags("content"), "frontmatter"),
         labelled(text.hashtags(content), "hashtag"),
     )
     return (

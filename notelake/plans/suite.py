@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import frontmatter as fm, paths, text
-from ..operators import commands as cmd, corpus, graph, project, registry, tags
+from ..operators import commands as cmd, corpus, graph, project, properties, registry, tags
 from . import derived
 from .oracles import DAILY_CTE, REPLAY_CTE, sql
 
@@ -50,7 +50,7 @@ _query(
 def frontmatter(spark, sf):
     """Property maps read back out of the dynamic value, key by key."""
     content = F.col("content")
-    v = fm.frontmatter(content)
+    v = fm.frontmatter("content")
     found = derived.notes(spark, sf).filter(F.startswith(content, F.lit("---\n")))
     return found.select(
         "vault",
@@ -67,7 +67,7 @@ _query(
     sql("SELECT vault, path, properties AS frontmatter_text FROM properties", "properties"),
 )(
     lambda spark, sf: derived.notes(spark, sf).select(
-        "vault", "path", fm.frontmatter_text(F.col("content")).alias("frontmatter_text")
+        "vault", "path", fm.frontmatter_text("content").alias("frontmatter_text")
     )
 )
 
@@ -81,7 +81,7 @@ _query(
     ),
 )(
     lambda spark, sf: derived.notes(spark, sf).select(
-        "vault", "path", text.content_hash(fm.frontmatter_body(F.col("content"))).alias("body_hash")
+        "vault", "path", text.content_hash(fm.frontmatter_body("content")).alias("body_hash")
     )
 )
 
@@ -90,7 +90,7 @@ _query(
     sql("SELECT vault, path, tag, count(*) AS n FROM tags WHERE origin = 'frontmatter' GROUP BY ALL", "tags"),
 )(
     lambda spark, sf: derived.notes(spark, sf)
-    .select("vault", "path", F.explode(fm.frontmatter_tags(F.col("content"))).alias("tag"))
+    .select("vault", "path", F.explode(fm.frontmatter_tags("content")).alias("tag"))
     .groupBy("vault", "path", "tag")
     .agg(F.count("*").alias("n"))
 )
@@ -841,3 +841,52 @@ def move_notes(spark, sf):
         F.concat(F.lit("Archive/"), "path").alias("dest"),
     ).withColumn("seq", F.abs("seq"))
     return cmd.move_notes(notes, vaults, moves).notes.select("vault", "path", "content_hash")
+
+
+@_query(
+    "update_frontmatter",
+    sql(
+        r"""SELECT p.vault AS vault, p.path AS path,
+                   concat('{"tags":["', regexp_extract(block, 'tags: \[(.*), (.*)\]', 1), '","',
+                          regexp_extract(block, 'tags: \[(.*), (.*)\]', 2), '"],"status":"seen","events":',
+                          cast(e.n AS varchar), ',"last":"', e.last, '"}') AS properties,
+                   sha256(substring(content, length(block) + 9)) AS body_hash
+            FROM properties p
+            JOIN (SELECT concat('src', cast(user_id % 20 AS varchar)) AS vault, count(*) AS n,
+                         arg_max(event_type, event_id) AS last FROM events GROUP BY 1) e ON e.vault = p.vault
+            JOIN vaults v ON v.name = p.vault AND NOT v.read_only
+            WHERE block <> ''""",
+        "properties", "vaults",
+    ),
+)
+def update_frontmatter(spark, sf):
+    """Every document note gets its vault's event count and last event type."""
+    notes, vaults, _ = _tables(spark, sf)
+    seen = (
+        derived.table(spark, sf, "events")
+        .groupBy(derived.event_vault().alias("vault"))
+        .agg(F.count("*").alias("n"), F.max_by("event_type", "event_id").alias("last"))
+    )
+
+    def pair(k, v):
+        return F.struct(F.lit(k).alias("k"), v.alias("v"))
+
+    documents = derived.document_notes(spark, sf).select("vault", "path")
+    updates = documents.join(seen, "vault").select(
+        F.shiftright(F.xxhash64("vault", "path"), 2).alias("seq"),
+        "vault",
+        "path",
+        F.array(
+            pair("status", F.lit('"seen"')),
+            pair("events", F.col("n").cast("string")),
+            pair("last", fm.json_string(F.col("last"))),
+        ).alias("properties"),
+    ).withColumn("seq", F.abs("seq"))
+    changed = properties.update_frontmatter(notes, vaults, updates).changes
+    content = F.col("content")
+    return changed.select(
+        "vault",
+        "path",
+        fm.frontmatter_text("content").alias("properties"),
+        text.content_hash(fm.frontmatter_body("content")).alias("body_hash"),
+    )
