@@ -61,12 +61,16 @@ def _once(build):
         known = _built.setdefault(SparkSession.active(), {})
         key = (build.__name__, content)
         if key not in known:
-            known[key] = build(F.col(content))
+            known[key] = build(content)
         return known[key]
 
     return column
 
 
+def _col(content: Column | str) -> Column:
+    return F.col(content) if isinstance(content, str) else content
+
+
 def json_string(c: Column) -> Column:
     """``c`` as a JSON string literal."""
     text = F.to_json(F.array(c))
@@ -150,7 +154,7 @@ def _quote_dates(y: Column) -> Column:
     return F.when(has_date, quoted).otherwise(y)
 
 
-def block_text(content: Column) -> Column:
+def block_text(content: Column | str) -> Column:
     """Text between the fences; empty without a block."""
     return F.when(
         F.rlike(content, F.lit(r"\A\ufeff?---")), F.regexp_extract(content, BLOCK, 1)
@@ -158,7 +162,7 @@ def block_text(content: Column) -> Column:
 
 
 @_once
-def raw_entries(content: Column) -> Column:
+def raw_entries(content: Column | str) -> Column:
     """Entries as written; ``y`` is null where the value is outside the grammar."""
     lines = F.regexp_replace(block_text(content), r"(?m)^[ \t]*#[^\n]*(?:\n|\z)", "")
     chunks = F.filter(F.split(F.regexp_replace(lines, r"\A\s+|\s+\z", ""), NEXT_ENTRY), lambda e: e != "")
@@ -178,7 +182,7 @@ def _is_bad(entries: Column) -> Column:
 
 
 @_once
-def entries(content: Column) -> Column:
+def entries(content: Column | str) -> Column:
     """Parsed properties in source order; empty for a flagged block."""
     empty = F.array().cast(ENTRIES)
     parsed = let(
@@ -188,7 +192,7 @@ def entries(content: Column) -> Column:
 
 
 @_once
-def frontmatter_error(content: Column) -> Column:
+def frontmatter_error(content: Column | str) -> Column:
     """True where a property block opens but cannot be read by the grammar."""
     opens = F.rlike(content, F.lit(OPENING))
     unclosed = ~F.rlike(content, F.lit(BLOCK))
@@ -201,7 +205,7 @@ def entries_text(es: Column) -> Column:
 
 
 @_once
-def frontmatter_text(content: Column) -> Column:
+def frontmatter_text(content: Column | str) -> Column:
     """Properties as JSON text in source order; ``{}`` when there are none."""
     return F.when(F.rlike(content, F.lit(OPENING)), entries_text(entries(content))).otherwise(
         F.lit("{}")
@@ -209,13 +213,13 @@ def frontmatter_text(content: Column) -> Column:
 
 
 @_once
-def frontmatter(content: Column) -> Column:
+def frontmatter(content: Column | str) -> Column:
     """Properties as VARIANT."""
     return F.parse_json(frontmatter_text(content))
 
 
 @_once
-def frontmatter_map(content: Column) -> Column:
+def frontmatter_map(content: Column | str) -> Column:
     """Flat properties as ``map<string, json text>``."""
     return F.map_from_entries(
         F.transform(entries(content), lambda e: F.struct(e["k"].alias("key"), e["j"].alias("value")))
@@ -223,11 +227,11 @@ def frontmatter_map(content: Column) -> Column:
 
 
 @_once
-def frontmatter_body(content: Column) -> Column:
+def frontmatter_body(content: Column | str) -> Column:
     """Text after the block."""
     return F.when(
         F.rlike(content, F.lit(r"\A\ufeff?---")), F.regexp_replace(content, BLOCK, "")
-    ).otherwise(content)
+    ).otherwise(_col(content))
 
 
 def flatten_tags(value: Column) -> Column:
@@ -260,7 +264,7 @@ def flatten_tags(value: Column) -> Column:
 
 
 @_once
-def frontmatter_tags(content: Column) -> Column:
+def frontmatter_tags(content: Column | str) -> Column:
     """Tags of the ``tags`` property."""
     tagged = F.filter(entries(content), lambda e: e["k"] == "tags")
     return F.when(

@@ -1,4 +1,4 @@
-"""Reliable checkpoints for the few operators that loop."""
+"""Reliable checkpoints for work that is used several times or in a loop."""
 
 from __future__ import annotations
 

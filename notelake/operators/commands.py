@@ -12,8 +12,9 @@ its own starting text:
   into blocks, then the segments are spread over the cluster and streamed, one
   batch at a time, through a small fold that hashes incrementally.
 
-All outcomes travel in one frame (``OUTCOME``), so a batch is computed and
-written once; results, changed notes and trash are filters of it.
+All outcomes travel in one frame (``OUTCOME``); results, changed notes and trash
+are filters of it.  It is checkpointed, so the note table is searched for the
+touched notes once, however many of these are used.
 """
 
 from __future__ import annotations
@@ -531,7 +532,7 @@ def apply_commands(
         steps = _apply_in_layers(notes, accepted, few_keys, limits)
     else:
         base = _base(notes, loads.select(*_KEY), few_keys)
-        steps = _fold(accepted.drop("dest"), base, loads, load, *limits)
+        steps = checkpoint(_fold(accepted.drop("dest"), base, loads, load, *limits))
     outcome = _finish(steps, judged, trash, load, few_keys)
     return Applied(notes, trash, outcome, few_keys)
 

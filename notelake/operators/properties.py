@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schema as S
 from ..functions import frontmatter as fm, paths, text
+from .checkpoints import checkpoint
 from .commands import FOLD_COMMANDS, Applied, writable_commands
 from .common import BROADCAST_ROWS, broadcast_if_small
 
@@ -152,55 +153,67 @@ def update_frontmatter(
         )
 
     nothing = F.lit(None).cast("string")
-    folded = (
-        grouped.withColumn("status", status)
-        .withColumn(
-            "state",
-            F.when(
-                F.col("status") == S.OK,
-                F.aggregate(
-                    "commands",
-                    F.struct(start.alias("entries"), F.array().cast(_LOG).alias("log")).cast(_STATE),
-                    step,
-                ),
-            ),
-        )
-        .withColumn("text", F.when(F.col("status") == S.OK, fm.render(F.col("state.entries"), F.col("body"))))
+    merged = F.aggregate(
+        "commands",
+        F.struct(start.alias("entries"), F.array().cast(_LOG).alias("log")).cast(_STATE),
+        step,
     )
-    failed = F.transform(
-        "commands", lambda c: F.struct(c["seq"].alias("seq"), nothing.alias("content_hash"))
+    folded = grouped.withColumn("status", status).withColumn(
+        "state", F.when(F.col("status") == S.OK, merged)
     )
-    results = folded.select(
-        F.lit("result").alias("kind"),
-        F.inline(F.coalesce("state.log", failed)).alias("seq", "content_hash"),
-        "vault",
-        F.col("key").alias("path"),
-        "status",
-        nothing.alias("content"),
-        nothing.alias("deleted_from"),
+
+    def row(kind, seq, content, digest):
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            seq.alias("seq"),
+            content.alias("content"),
+            digest.alias("content_hash"),
+        )
+
+    done = F.transform("state.log", lambda r: row("result", r["seq"], nothing, r["content_hash"]))
+    failed = F.transform("commands", lambda c: row("result", c["seq"], nothing, nothing))
+    last = text.let(
+        fm.render(F.col("state.entries"), F.col("body")),
+        lambda t: row("change", F.lit(None).cast("bigint"), t, text.content_hash(t)),
     )
-    changed = folded.filter(F.col("status") == S.OK)
-    if most > fold_commands:
-        changed = changed.groupBy(*_KEY).agg(F.max_by("text", "block").alias("text"))
-    changes = changed.select(
-        F.lit("change").alias("kind"),
-        F.lit(None).cast("bigint").alias("seq"),
-        "vault",
-        F.col("key").alias("path"),
-        F.lit(S.OK).alias("status"),
-        F.col("text").alias("content"),
-        text.content_hash(F.col("text")).alias("content_hash"),
-        nothing.alias("deleted_from"),
+    ok = F.col("status") == S.OK
+    rows = checkpoint(
+        folded.select(
+            *_KEY,
+            "block",
+            "status",
+            F.inline(F.when(ok, F.concat(done, F.array(last))).otherwise(failed)),
+        )
     )
+    results = rows.filter(F.col("kind") == "result")
+    changes = rows.filter(F.col("kind") == "change")
+    if most > fold_commands:
+        changes = (
+            changes.groupBy(*_KEY, "kind", "status")
+            .agg(F.max_by(F.struct("seq", "content", "content_hash"), "block").alias("last"))
+            .select(*_KEY, "kind", "status", "last.*")
+        )
     rejected = judged.filter(F.col("status") != S.OK).select(
+        *_KEY,
+        "status",
         F.lit("result").alias("kind"),
         "seq",
-        "vault",
-        F.col("key").alias("path"),
-        "status",
         nothing.alias("content"),
         nothing.alias("content_hash"),
-        nothing.alias("deleted_from"),
     )
-    outcome = results.unionByName(changes).unionByName(rejected)
+    outcome = (
+        results.drop("block")
+        .unionByName(changes.drop("block"))
+        .unionByName(rejected)
+        .select(
+            "kind",
+            "seq",
+            "vault",
+            F.col("key").alias("path"),
+            "status",
+            "content",
+            "content_hash",
+            nothing.alias("deleted_from"),
+        )
+    )
     return Applied(notes, None, outcome, few_keys)

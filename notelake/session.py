@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Command batches leave a checkpoint each; drop those nobody can read any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
