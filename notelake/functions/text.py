@@ -20,6 +20,12 @@ WS_CHARS = (
 # Characters that end a line.
 EOL_BODY = r"\n\r\u2028\u2029"
 
+# White space worth collapsing: a run of it, or one other than a plain space.
+# Single spaces are left unmatched and printable characters are ruled out by one
+# range test, which makes this several times faster than replacing every run.
+_NEXT = rf"[[^!-~]&&[{WS_BODY}]]"
+COLLAPSIBLE = rf" {_NEXT}++|[[^ -~]&&[{WS_BODY}]]{_NEXT}*+"
+
 # A hashtag opens the text or follows white space.
 HASHTAG = rf"#(?<![^{WS_BODY}]#)([\w/-]+)"
 WIKILINK = r"\[\[([^\]|#]++)(?:[|#][^\]]++)?\]\]"
@@ -47,7 +53,7 @@ def trim_ws(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    return trim_ws(F.regexp_replace(c, f"{WS}+", " "))
+    return trim_ws(F.regexp_replace(c, COLLAPSIBLE, " "))
 
 
 def content_hash(content: Column) -> Column:

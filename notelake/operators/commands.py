@@ -43,7 +43,10 @@ OUTCOME = (
     "content string, content_hash string, deleted_from string"
 )
 _STEP = "struct<kind:string,seq:bigint,status:string,content:string,content_hash:string>"
-_STATE = f"struct<content:string,ok:boolean,log:array<{_STEP}>>"
+# ``aggregate`` copies its state at every step, so the outcome of each command is
+# kept as a line of text, "<status> <hash>", rather than as a row.
+_BIN = "array<struct<seq:bigint,content:string>>"
+_STATE = f"struct<content:string,ok:boolean,log:string,bin:{_BIN}>"
 _KEY = ["vault", "key"]
 TRASH_FOLDER = ".trash"
 
@@ -172,38 +175,37 @@ def _step_content(op: Column, current: Column, body: Column) -> Column:
 def _step(state: Column, c: Column) -> Column:
     op, current = c["op"], state["content"]
 
-    def entry(kind: str, status: Column, content: Column, digest: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            c["seq"].alias("seq"),
-            status.alias("status"),
-            content.alias("content"),
-            digest.alias("content_hash"),
-        ).cast(_STEP)
-
     def after(status: Column) -> Column:
         ok = status == S.OK
         following = F.when(ok, _step_content(op, current, c["body"])).otherwise(current)
-        nothing = F.lit(None).cast("string")
+        binned = F.array(F.struct(c["seq"].alias("seq"), current.alias("content")))
 
         def with_content(content: Column) -> Column:
-            digest = F.when(ok & content.isNotNull(), text.content_hash(content))
-            result = F.array(entry("result", status, nothing, digest))
-            binned = F.array(entry("trash", status, current, text.content_hash(current)))
+            digest = F.when(ok & content.isNotNull(), text.content_hash(content)).otherwise(F.lit(""))
             return F.struct(
                 content.alias("content"),
                 (state["ok"] | ok).alias("ok"),
-                F.concat(
-                    state["log"],
-                    F.when((op == "delete") & ok, F.concat(result, binned)).otherwise(result),
-                ).alias("log"),
-            ).cast(_STATE)
+                F.concat(state["log"], status, F.lit(" "), digest, F.lit("\n")).alias("log"),
+                F.when((op == "delete") & ok, F.concat(state["bin"], binned))
+                .otherwise(state["bin"])
+                .alias("bin"),
+            )
 
         return text.let(following, with_content)
 
     return text.let(_step_status(op, current, c["expected_hash"], c["overwrite"]), after)
 
 
+def _outcome_row(kind: str, seq: Column, status: Column, content: Column, digest: Column) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        seq.alias("seq"),
+        status.alias("status"),
+        content.alias("content"),
+        digest.alias("content_hash"),
+    ).cast(_STEP)
+
+
 def _fold_collected(commands: DataFrame, base: DataFrame) -> DataFrame:
     ordered = commands.groupBy(*_KEY).agg(
         F.array_sort(
@@ -211,23 +213,36 @@ def _fold_collected(commands: DataFrame, base: DataFrame) -> DataFrame:
         ).alias("commands")
     )
     start = F.struct(
-        F.col("content").alias("content"), F.lit(False).alias("ok"), F.array().alias("log")
+        F.col("content").alias("content"),
+        F.lit(False).alias("ok"),
+        F.lit("").alias("log"),
+        F.array().alias("bin"),
     ).cast(_STATE)
     folded = ordered.join(base, _KEY, "left").select(
-        *_KEY, F.aggregate("commands", start, _step).alias("state")
+        *_KEY, "commands", F.aggregate("commands", start, _step).alias("state")
     )
+    nothing = F.lit(None).cast("string")
+
+    def result(c: Column, line: Column) -> Column:
+        digest = F.nullif(F.substring_index(line, " ", -1), F.lit(""))
+        return _outcome_row("result", c["seq"], F.substring_index(line, " ", 1), nothing, digest)
+
     content = F.col("state.content")
-    last = F.struct(
-        F.lit("change").alias("kind"),
-        F.lit(None).cast("bigint").alias("seq"),
-        F.lit(S.OK).alias("status"),
-        content.alias("content"),
-        text.content_hash(content).alias("content_hash"),
-    ).cast(_STEP)
-    steps = F.concat(
-        F.col("state.log"), F.when(F.col("state.ok"), F.array(last)).otherwise(F.array().cast(f"array<{_STEP}>"))
+    results = text.let(
+        F.split("state.log", "\n"),
+        lambda lines: F.transform("commands", lambda c, i: result(c, F.get(lines, i))),
+    )
+    binned = F.transform(
+        "state.bin",
+        lambda b: _outcome_row(
+            "trash", b["seq"], F.lit(S.OK), b["content"], text.content_hash(b["content"])
+        ),
+    )
+    last = _outcome_row(
+        "change", F.lit(None).cast("bigint"), F.lit(S.OK), content, text.content_hash(content)
     )
-    return folded.select(*_KEY, F.inline(steps))
+    changed = F.when(F.col("state.ok"), F.array(last)).otherwise(F.array().cast(f"array<{_STEP}>"))
+    return folded.select(*_KEY, F.inline(F.concat(results, binned, changed)))
 
 
 # -- hot notes ----------------------------------------------------------------

@@ -17,8 +17,7 @@ from .common import BROADCAST_ROWS, broadcast_if_small
 UNREADABLE = "UNREADABLE_FRONTMATTER"
 _KEY = ["vault", "key"]
 _ENTRIES = "array<struct<k:string,y:string>>"
-_LOG = "array<struct<seq:bigint,content_hash:string>>"
-_STATE = f"struct<entries:{_ENTRIES},log:{_LOG}>"
+_STATE = f"struct<entries:{_ENTRIES},log:string>"  # one line of log per command
 _PACKED = "vault string, key string, block bigint, entries string"
 
 
@@ -142,20 +141,16 @@ def update_frontmatter(
                 merged.alias("entries"),
                 F.concat(
                     state["log"],
-                    F.array(
-                        F.struct(
-                            c["seq"].alias("seq"),
-                            text.content_hash(fm.render(merged, F.col("body"))).alias("content_hash"),
-                        )
-                    ),
+                    text.content_hash(fm.render(merged, F.col("body"))),
+                    F.lit("\n"),
                 ).alias("log"),
-            ).cast(_STATE),
+            ),
         )
 
     nothing = F.lit(None).cast("string")
     merged = F.aggregate(
         "commands",
-        F.struct(start.alias("entries"), F.array().cast(_LOG).alias("log")).cast(_STATE),
+        F.struct(start.alias("entries"), F.lit("").alias("log")).cast(_STATE),
         step,
     )
     folded = grouped.withColumn("status", status).withColumn(
@@ -170,7 +165,12 @@ def update_frontmatter(
             digest.alias("content_hash"),
         )
 
-    done = F.transform("state.log", lambda r: row("result", r["seq"], nothing, r["content_hash"]))
+    done = text.let(
+        F.split("state.log", "\n"),
+        lambda hashes: F.transform(
+            "commands", lambda c, i: row("result", c["seq"], nothing, F.get(hashes, i))
+        ),
+    )
     failed = F.transform("commands", lambda c: row("result", c["seq"], nothing, nothing))
     last = text.let(
         fm.render(F.col("state.entries"), F.col("body")),
