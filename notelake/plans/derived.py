@@ -36,9 +36,11 @@ _SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reader = spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else spark.read
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
+    reader = spark.readStream if streaming else spark.read
+    reader = reader.schema(_SCHEMAS[name]) if name in _SCHEMAS else reader
+    # A file stream takes a single file only as a pattern.
+    return reader.parquet(f"{sf_dir}/{name}.parquet" + ("*" if streaming else ""))
 
 
 def event_vault():
@@ -53,8 +55,8 @@ def event_line():
     return F.concat(F.lit("- "), "event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit("\n"))
 
 
-def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+def document_notes(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+    return table(spark, sf_dir, "documents", streaming).select(
         F.col("source").alias("vault"),
         F.expr(f"concat(lang, '/', {_DOC_KEY}, '.md')").alias("path"),
         F.expr(DOCUMENT_NOTE).alias("content"),
@@ -140,7 +142,7 @@ def vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commands(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """One command per event; ``seq`` is the event id."""
     event = F.col("event_type")
     op = (
@@ -153,7 +155,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(
         event == "view", F.concat(F.lit("Daily/"), event_day().cast("string"), F.lit(".md"))
     ).otherwise(F.concat(F.lit("Log/n"), (F.col("event_id") % 25).cast("string"), F.lit(".md")))
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", streaming).select(
         F.col("event_id").alias("seq"),
         event_vault().alias("vault"),
         op.alias("op"),

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import frontmatter as fm, paths, text
 from ..operators import commands as cmd, corpus, graph, project, properties, registry, tags
+from ..operators.checkpoints import scratch
+from ..sources.tables import NoteStore, save_notes as write_snapshot
+from ..streaming import streams
 from . import derived
 from .oracles import DAILY_CTE, REPLAY_CTE, sql
 
@@ -890,3 +893,109 @@ def update_frontmatter(spark, sf):
         fm.frontmatter_text("content").alias("properties"),
         text.content_hash(fm.frontmatter_body("content")).alias("body_hash"),
     )
+
+
+# -- stored tables and streams ---------------------------------------------------------------
+
+
+@_query("save_notes", sql("SELECT vault, path, content_hash FROM notes", "notes"))
+def save_notes(spark, sf):
+    """The corpus written as a snapshot and read back."""
+    place = scratch(spark, "snapshot")
+    write_snapshot(derived.notes(spark, sf), place)
+    return NoteStore(spark, place).notes().select("vault", "path", "content_hash")
+
+
+def _run_stream(writer, place: str) -> None:
+    """Take in all there is, then stop."""
+    query = (
+        writer.option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+@_query("stream_commands", sql(_RESULT, "notes", "vaults", "commands", extra=REPLAY_CTE))
+def stream_commands(spark, sf):
+    """The commands as a stream over the stored corpus; results from the store."""
+    place = scratch(spark, "stream-commands")
+    store = NoteStore(spark, f"{place}/store")
+    write_snapshot(derived.notes(spark, sf), store.path, 0)
+    commands = derived.commands(spark, sf, streaming=True)
+    _run_stream(streams.stream_commands(commands, store, derived.vaults(spark, sf)), place)
+    asked = derived.commands(spark, sf).select("seq", F.col("path").alias("asked"))
+    return store.results().join(asked, "seq").select(
+        "seq", "vault", F.col("asked").alias("path"), "status", "content_hash"
+    )
+
+
+@_query(
+    "stream_daily_notes",
+    sql(
+        "SELECT vault, path, sha256(string_agg(body, '' ORDER BY seq)) AS content_hash "
+        "FROM placed WHERE NOT read_only GROUP BY vault, path",
+        "notes", "vaults", extra=_DAILY_ENTRIES,
+    ),
+)
+def stream_daily_notes(spark, sf):
+    """All events appended to daily notes, starting from an empty store."""
+    place = scratch(spark, "stream-daily")
+    store = NoteStore(spark, f"{place}/store")
+    entries = derived.table(spark, sf, "events", streaming=True).select(
+        F.col("event_id").alias("seq"),
+        derived.event_vault().alias("vault"),
+        derived.event_day().alias("day"),
+        derived.event_line().alias("body"),
+    )
+    _run_stream(streams.stream_daily_notes(entries, store, derived.vaults(spark, sf)), place)
+    return store.notes().select("vault", "path", "content_hash")
+
+
+@_query(
+    "windowed_daily_notes",
+    sql(
+        f"""SELECT name AS vault, {_DAILY_PATH.format(day='day')} AS path, sha256(content) AS content_hash
+            FROM (SELECT concat('src', cast(user_id % 20 AS varchar)) AS vault, cast(ts AS date) AS day,
+                         string_agg(concat('- ', event_type, ' ', cast(event_id AS varchar), chr(10)), ''
+                                    ORDER BY event_id) AS content
+                  FROM events GROUP BY 1, 2) d JOIN vaults ON name = d.vault
+            WHERE cast(day AS timestamp) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+        "vaults",
+    ),
+)
+def windowed_daily_notes(spark, sf):
+    """Days closed by the watermark, from a stream with bounded state."""
+    place = scratch(spark, "windowed-days")
+    entries = derived.table(spark, sf, "events", streaming=True).select(
+        F.col("event_id").alias("seq"),
+        derived.event_vault().alias("vault"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        derived.event_line().alias("body"),
+    )
+    closed = streams.windowed_daily_notes(entries, derived.vaults(spark, sf)).select(
+        "vault", "path", "content_hash"
+    )
+    writer = closed.writeStream.format("parquet").option("path", f"{place}/days")
+    _run_stream(writer.outputMode("append"), place)
+    return spark.read.schema(closed.schema).parquet(f"{place}/days")
+
+
+@_query(
+    "stream_tag_counts",
+    sql("SELECT vault, tag, count(*) AS count FROM tags WHERE path NOT LIKE 'Daily/%' AND path NOT LIKE '__ - %' GROUP BY vault, tag", "tags"),
+)
+def stream_tag_counts(spark, sf):
+    """Tag counts of the document notes kept by a stream."""
+    place = scratch(spark, "stream-tags")
+    counts = streams.stream_tag_counts(derived.document_notes(spark, sf, streaming=True))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/counts/batch={batch_id}")
+
+    _run_stream(counts.writeStream.outputMode("complete").foreachBatch(keep), place)
+    saved = spark.read.schema(f"{_ddl(counts)}, batch bigint").parquet(f"{place}/counts")
+    latest = saved.agg(F.max("batch").alias("batch"))
+    return saved.join(F.broadcast(latest), "batch").drop("batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
