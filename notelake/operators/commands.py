@@ -377,7 +377,8 @@ def _fold_hot(commands: DataFrame, base: DataFrame, block_size: int) -> DataFram
         .repartition(*_KEY, "segment")
         .sortWithinPartitions(*_KEY, "segment", "seq")
     )
-    streamed = spread.mapInPandas(_stream_segments, _SEGMENT_ROWS)
+    # Used twice below; folded once.
+    streamed = checkpoint(spread.mapInPandas(_stream_segments, _SEGMENT_ROWS))
     steps = streamed.filter(F.col("kind") != "change").drop("segment")
     finals = (
         streamed.filter(F.col("kind") == "change")

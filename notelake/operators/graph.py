@@ -62,9 +62,8 @@ def backlinks(notes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """All ``(vault, path, src)``: note ``src`` links to note ``path``.
 
     Pass a stored :func:`links` table as ``edges`` to leave note text unread.
-    A link name used everywhere makes its side of the join skewed; adaptive
-    execution splits that partition, since the join carries the salt-free keys
-    of an ordinary shuffle.
+    A link name used everywhere makes the link side of the join skewed; adaptive
+    execution splits such a partition over several tasks.
     """
     edges = links(notes) if edges is None else edges
     met = _link_keys(edges).join(_note_keys(notes), ["vault", "kind", "key"])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions import frontmatter as fm, text
-from .common import listing_key
-from .corpus import in_directory, markdown_only, visible_notes
+from .common import broadcast_if_small, listing_key
+from .corpus import in_directory, list_directory, markdown_only, visible_notes
+from .graph import backlinks
+from .tags import tag_counts
 
 # Bounds and defaults of budgets and limits.
 CONTEXT_CHARS = (1000, 100_000)
@@ -139,7 +143,7 @@ def recent_daily_notes(
 
     ``(vault, rank, path, content, truncated)``.  Names alone are ranked, and
     each task keeps only its own best ``limit`` before the shuffle; text is
-    fetched for the winners.
+    fetched for the winners, in place while there are few of them.
     """
     n = text.clamp(limit, *DAILY_LIMITS)
     daily = markdown_only(visible_notes(in_directory(notes, DAILY_FOLDER)))
@@ -154,7 +158,7 @@ def recent_daily_notes(
     cut = daily.select(
         "vault", "path", text.truncate_content(F.col("content"), max_chars).alias("t")
     )
-    return cut.join(top, ["vault", "path"]).select(
+    return cut.join(broadcast_if_small(top), ["vault", "path"]).select(
         "vault", "rank", "path", "t.content", "t.truncated"
     )
 
@@ -242,3 +246,21 @@ def vault_counts(notes: DataFrame) -> DataFrame:
         F.sum("tags").alias("tag_occurrences"),
         F.sum("links").alias("link_occurrences"),
     )
+
+
+def count_by_vault(**tables: DataFrame) -> DataFrame:
+    """``(vault, measure, n)``: the rows of each named table per vault."""
+    counted = [
+        df.groupBy("vault").agg(F.count("*").alias("n")).select("vault", F.lit(name).alias("measure"), "n")
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def vault_summary(notes: DataFrame) -> DataFrame:
+    """Counts of what the listings return: top-level entries, tags, backlinks."""
+    return count_by_vault(
+        directory_entries=list_directory(notes),
+        tags=tag_counts(notes),
+        backlinks=backlinks(notes),
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import frontmatter as fm, paths, text
 from ..operators import commands as cmd, corpus, graph, project, properties, registry, tags
 from ..operators.checkpoints import scratch
+from ..sources.registry_file import load_vaults as read_registry, save_vaults
 from ..sources.tables import NoteStore, save_notes as write_snapshot
 from ..streaming import streams
 from . import derived
@@ -230,8 +231,10 @@ def vaults_in_root(spark, sf):
     sql("SELECT name, path, read_only, directory, date_format FROM vaults", "vaults"),
 )
 def load_vaults(spark, sf):
-    """The registry table with defaults filled in, read inside the root."""
-    return registry.vaults_in_root(derived.vaults(spark, sf), "/vaults").select(
+    """The registry written as JSON and read back inside the root."""
+    place = scratch(spark, "vaults")
+    save_vaults(derived.vaults(spark, sf), place)
+    return read_registry(spark, place, "/vaults", lines=True).select(
         "name", "path", "read_only", "daily_notes.directory", "daily_notes.date_format"
     )
 
@@ -639,6 +642,19 @@ _query(
 )(lambda spark, sf: project.vault_counts(derived.notes(spark, sf)))
 
 
+_query(
+    "vault_summary",
+    sql(
+        """SELECT vault, 'tags' AS measure, count(DISTINCT tag) AS n FROM tags GROUP BY vault
+           UNION ALL
+           SELECT vault, 'backlinks', count(DISTINCT (path, src)) FROM meets GROUP BY vault
+           UNION ALL
+           SELECT vault, 'directory_entries', count(DISTINCT split_part(path, '/', 1)) FROM notes GROUP BY vault""",
+        "tags", "links",
+    ),
+)(lambda spark, sf: project.vault_summary(derived.notes(spark, sf)))
+
+
 # -- change commands -----------------------------------------------------------------------
 
 

@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 import model
@@ -12,9 +11,7 @@ def one(spark, column, value):
     return spark.createDataFrame([(value,)], "c string").select(column(F.col("c"))).first()[0]
 
 
-@pytest.mark.parametrize(
-    "note,properties,tags",
-    [
+NOTES = [
         ("---\ntags: [important]\nstatus: open\n---\nText.", {"tags": ["important"], "status": "open"}, ["important"]),
         ("no block", {}, []),
         ("---\n---\nempty block", {}, []),
@@ -29,25 +26,29 @@ def one(spark, column, value):
         ("---\nd: 2026-07-30\nlist: [2026-07-30, 'x, y', z]\n---\n",
          {"d": "2026-07-30T00:00:00.000Z", "list": ["2026-07-30T00:00:00.000Z", "x, y", "z"]}, []),
         ("﻿---\na: b\n---\nx", {"a": "b"}, []),
-    ],
-)
-def test_read(spark, note, properties, tags):
-    assert json.loads(one(spark, fm.frontmatter_text, note)) == properties
-    assert one(spark, fm.frontmatter_error, note) is False
-    assert one(spark, fm.frontmatter_tags, note) == tags
-    keys = list(json.loads(one(spark, fm.frontmatter_text, note)))
-    assert keys == list(properties)
-
-
-@pytest.mark.parametrize(
-    "note",
-    ["---\na:\n  b: 1\n---\nx", "---\na: 1\na: 2\n---\n", "---\nnever closed", "---\na: |\n  x\n---\n",
-     "---\n- just\n- a list\n---\n", "---\na: b: c\n---\n", "---\nplain text\n---\n"],
-)
-def test_unreadable_blocks_are_flagged(spark, note):
-    assert one(spark, fm.frontmatter_error, note) is True
-    assert one(spark, fm.frontmatter_text, note) == "{}"
-    assert one(spark, fm.frontmatter_tags, note) == []
+]
+
+
+def read(spark, notes):
+    df = spark.createDataFrame(list(enumerate(notes)), "i int, content string")
+    columns = [fm.frontmatter_text("content"), fm.frontmatter_error("content"), fm.frontmatter_tags("content")]
+    return df.select("i", *[c.alias(a) for c, a in zip(columns, ("text", "error", "tags"))]).orderBy("i").collect()
+
+
+def test_read(spark):
+    for (note, properties, tags), row in zip(NOTES, read(spark, [n for n, _, _ in NOTES])):
+        assert json.loads(row.text) == properties, note
+        assert list(json.loads(row.text)) == list(properties)
+        assert row.error is False and row.tags == tags, note
+
+
+UNREADABLE = ["---\na:\n  b: 1\n---\nx", "---\na: 1\na: 2\n---\n", "---\nnever closed", "---\na: |\n  x\n---\n",
+     "---\n- just\n- a list\n---\n", "---\na: b: c\n---\n", "---\nplain text\n---\n"]
+
+
+def test_unreadable_blocks_are_flagged(spark):
+    for note, row in zip(UNREADABLE, read(spark, UNREADABLE)):
+        assert (row.text, row.error, row.tags) == ("{}", True, []), note
 
 
 def test_body(spark):
