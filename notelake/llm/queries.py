@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import common, exact, jaccard, language, leaks, pieces
+from notelake.llm import common, exact, jaccard, language, leaks, licenses, pieces, repeats, secrets, tokens, urls
+from notelake.operators.checkpoints import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,22 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    tokens.write_tokens(_notes(spark, sf_dir), folder, tokenizer_file("byte_bpe_50k.json"))
+    return tokens.token_digests(spark, folder).select(common.doc_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_notes(spark, sf_dir)).select(
+        common.doc_id().alias("doc_id"),
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def benchmark_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(
         F.lit("benchmark").alias("vault"), F.format_string("%019d", "item_id").alias("path"), F.col("text").alias("content")
@@ -41,6 +58,35 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_notes(spark, sf_dir)).select(
+        common.doc_id().alias("doc_id"), "license", "start", "end", "matched", "words", "coverage"
+    )
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules give the labels that the model learns from; it judges the URLs that no rule fits."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = urls.host_and_path(F.col("url"))
+    labelled = pages.select("url", urls.matching_rule(host, path)[1].alias("verdict")).where("verdict is not null")
+    return urls.judge_urls(pages, urls.learn_urls(labelled)).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return secrets.find_secrets(_notes(spark, sf_dir)).select(
+        common.doc_id().alias("doc_id"),
+        count("assign"), count("access"), count("hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "novel")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_notes(spark, sf_dir)).select(
         common.doc_id().alias("doc_id"), common.doc_id("keep_path").alias("keep_id"), "group_size", "kept", "text_sha256"
@@ -91,7 +137,12 @@ def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUITE = {
     "op1_jaccard_join": (op1_jaccard_join, None),
+    "op2_token_files": (op2_token_files, None),
+    "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_benchmark_leaks": (op4_benchmark_leaks, None),
+    "op5_license_scan": (op5_license_scan, None),
+    "op6_url_filter": (op6_url_filter, None),
+    "op7_secret_scan": (op7_secret_scan, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_piece_ids": (op10_piece_ids, None),
