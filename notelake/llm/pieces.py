@@ -14,6 +14,7 @@ from notelake.llm import common
 
 SPACE = "▁"
 STAND_IN = "\ud800"  # not a character, so no text holds it
+DECODED = 1 << 19  # ids decoded at once, about
 LANE = 40  # segments up to this length are searched many at a time
 UNKNOWN = 10.0  # a byte costs as much as the worst piece and this
 
@@ -236,7 +237,7 @@ def encode_notes(notes: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_file)
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, most=2 << 20):
             ids, counts = model.encode_batch(batch.column(2).to_pylist())
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -255,15 +256,19 @@ def decode_notes(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_file)
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            ends, start = whole.column(2).offsets.to_numpy(), 0
+            while start < whole.num_rows:
+                # Parts of about DECODED ids, or one longer note.
+                end = int(np.searchsorted(ends, ends[start] + DECODED, side="right")) - 1
+                batch = whole.slice(start, min(max(end, start + 1), whole.num_rows) - start)
+                start += batch.num_rows
                 column = batch.column(2)
-                ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = column.flatten().to_numpy(zero_copy_only=False)
                 if len(ids) and (ids.min() < 0 or ids.max() >= model.size):
                     raise ValueError("an id is not in the model")
-                counts = np.diff(column.offsets.to_numpy())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), column, pa.array(model.decode(ids, counts), pa.string())],
+                    [batch.column(0), batch.column(1), column, pa.array(model.decode(ids, np.diff(column.offsets.to_numpy())), pa.string())],
                     names=["vault", "path", "ids", "content"],
                 )
 
