@@ -134,14 +134,14 @@ class Template:
         self.all = set(self.words)
 
     def find(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """``(first word, last word, words matched)`` of each notice, from left to right."""
+        """``(first word, last word, words matched)`` of the alignments that suffice, from every place where one can start."""
         member = [w in self.all for w in words]
         before = [0]
         for m in member:
             before.append(before[-1] + m)
-        span, out, done = int(STRETCH * len(self.words)) + 1, [], 0
+        span, out = int(STRETCH * len(self.words)) + 1, []
         for p, word in enumerate(words):
-            if p < done or word not in self.first:
+            if word not in self.first:
                 continue
             end = min(len(words), p + span)
             if before[end] - before[p] < self.need:
@@ -149,7 +149,6 @@ class Template:
             pairs = patience(words[p:end], self.words)
             if len(pairs) >= self.need:
                 out.append((p + pairs[0][0], p + pairs[-1][0], len(pairs)))
-                done = p + pairs[-1][0] + 1
         return out
 
 
@@ -160,7 +159,7 @@ def find_licenses(notes: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     template are aligned from those that are unique in both, by the longest rising run, gap by gap; a
     notice is found where ``coverage``, the share of the template's words that align, is 0.8 or more within
     1.25 times its length.  Of overlapping notices of one license the one with most words matched, then the
-    first, stays.  ``start`` and ``end`` are code points of the text.  Whole texts are
+    shortest, then the first, stays.  ``start`` and ``end`` are code points of the text.  Whole texts are
     searched.  Texts without notice, also empty and NULL ones, give no row; repeated rows give their rows each.
     """
     made = [Template(name, words_of(text)) for name, text in templates]
@@ -179,10 +178,10 @@ def find_licenses(notes: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
                 words = [text[s:e].lower() for s, e in places]
                 found: dict[str, list] = {}
                 for t in likely:
-                    found.setdefault(t.name, []).extend((-n, a, b, len(t.words)) for a, b, n in t.find(words))
+                    found.setdefault(t.name, []).extend((-n, b - a, a, b, len(t.words)) for a, b, n in t.find(words))
                 for name, spans in found.items():
                     kept: list[tuple] = []
-                    for n, a, b, size in sorted(spans):
+                    for n, _, a, b, size in sorted(set(spans)):
                         if all(b < a2 or a > b2 for _, a2, b2, _ in kept):
                             kept.append((n, a, b, size))
                     rows += [(i, name, places[a][0], places[b][1], -n, size, -n / size) for n, a, b, size in sorted(kept, key=lambda r: r[1])]

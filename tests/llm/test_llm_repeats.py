@@ -89,7 +89,8 @@ def test_same_as_brute_force(spark, make_notes, crowd):
 def test_nulls_repeats_and_extra_columns(spark, make_notes):
     from pyspark.sql import functions as F
 
-    text = "".join(random.Random(5).choice("abcdefgh") for _ in range(300))
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh") for _ in range(300))
     rows = [("v", "a", text), ("v", "a", text), ("v", "b", text), ("v", "c", None), ("v", "d", ""), ("v", "e", text * 3)]
     notes = make_notes(rows).withColumns({"tie": F.lit("x"), "h": F.lit(1), "spans": F.lit(2)})
     got = sorted((r.path, r.n_bytes, [(s.start, s.end) for s in r.spans], len(r.kept)) for r in repeats.remove_repeats(notes).collect())

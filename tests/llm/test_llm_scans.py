@@ -35,10 +35,11 @@ def test_patience_pairs_equal_words_in_order():
 
 def test_notices(spark, make_notes):
     apache, mit = dict(t[::1] for t in licenses.TEMPLATES[1::2])["Apache-2.0"], licenses.TEMPLATES[3][1]
-    filler = " ".join(random.Random(3).choice(("alpha", "beta", "of", "the", "and")) for _ in range(500))
+    rng = random.Random(3)
+    filler = " ".join(rng.choice(("alpha", "beta", "of", "the", "and")) for _ in range(500))
     edited = mit.replace("hereby granted", "granted").replace("Software", "Program", 1).upper()
     rows = [
-        ("v", "line", "İ\nLicensed under the Apache License, Version 2.0.\n" + filler), ("v", "full", filler + "\n" + apache.replace(" ", "\n  * ") + filler),
+        ("v", "line", "İ\nLicensed under the Apache License, Version 2.0.\n" + filler), ("v", "full", filler + "\n" + apache.replace(" ", "\n  * ") + "\n" + filler),
         ("v", "edited", filler + edited), ("v", "twice", "Released under the MIT License. Released under the MIT License."),
         ("v", "clean", filler + " license version the of"), ("v", "none", None), ("v", "empty", ""), (None, None, "Licensed under CC BY-NC 4.0."),
         ("v", "long", filler * 400 + " Released under the MIT License."), ("v", "line", "Released under the MIT License."),
@@ -77,7 +78,7 @@ def test_secrets(spark, make_notes):
     rng = random.Random(5)
     random_ = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
     rows = [
-        ("v", "novel", f"the access key of staging is {random_} for now"), ("v", "name", "the access key handler is access_token_response_handler_v2_default"),
+        ("v", "novel", "We met to talk about the move of the servers. " * 5 + f"the access key of staging is {random_} for now"), ("v", "name", "the access key handler is access_token_response_handler_v2_default"),
         ("v", "plain", f"some id {random_} without context"), ("v", "base", "password = 'hunter2hunter2'"), ("v", "null", None), ("v", "empty", ""),
         (None, None, "AKIA" + "A1" * 8), ("v", "base", "password = 'hunter2hunter2'"), ("v", "long", "é" * 200_000 + " secret: abcdef " + "0123456789abcdef" * 2),
     ]
@@ -94,11 +95,14 @@ def test_secrets(spark, make_notes):
 
 def test_novelty_tells_random_from_words():
     novelty, rng = secrets.Novelty(), random.Random(6)
-    for _ in range(50):
+    around = "Notes of the meeting about staging, which went on for longer than we had hoped it would. " * 3 + "The key is "
+    names = random_ = 0
+    for _ in range(200):
         token = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(20, 60)))
-        assert novelty.of(token, "the key is ", " here") >= secrets.NOVELTY
+        random_ += novelty.of(token, around, " here") >= secrets.NOVELTY
         name = "_".join(rng.choice(secrets.IDENTIFIERS.split()) for _ in range(4)) + "1"
-        assert novelty.of(name, "the key is ", " here") < secrets.NOVELTY
+        names += novelty.of(name, around, " here") >= secrets.NOVELTY
+    assert random_ >= 195 and names <= 5
 
 
 RULES = urls.RULES
