@@ -1,9 +1,10 @@
 """The leading ``---`` property block of a note, as built-in expressions.
 
-The flat grammar read here: ``key: scalar``, ``key: [a, b]``, ``key:`` followed
-by ``- item`` lines, and values written as JSON.  A block outside it (nested
-maps, block scalars, repeated keys) is flagged by :func:`frontmatter_error` and
-read as empty, so one odd note never fails a corpus-wide job.
+The grammar read here: ``key: scalar``, ``key: [a, b]`` (over several lines too),
+``key:`` followed by ``- item`` lines or by an indented map of such scalars and lists, block
+scalars (``|`` and ``>``), and values written as JSON.  An entry outside it (deeper maps, a key
+given before) is left out by itself and flagged by :func:`frontmatter_error`; the others count, so one
+odd entry never hides a note's tags.
 
 A parsed block is an array of ``struct<k, y, j>`` in source order: the key, the
 value as YAML flow text, and the value as JSON text.  ``y`` and ``j`` differ
@@ -44,6 +45,12 @@ JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
 
 ENTRIES = "array<struct<k:string,y:string,j:string>>"
 
+# An indented map below its key, and a block scalar with its style and chomping.
+NESTED = r"\A[^\r\n]*:[ \t]*\r?\n((?s:[ \t]+[^\s#-].*))\z"
+BLOCK_SCALAR = r"\A[^\r\n]*:[ \t]+([|>])(-?)[ \t]*\r?\n((?s:\s*[ \t]+\S.*))\z"
+# In front of the text of an entry that is carried over as it is.
+RAW = "\u0000"
+
 _built: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
 
@@ -136,6 +143,38 @@ def _value(raw: Column) -> Column:
     return let(trim_ws(raw), rule)
 
 
+def _unindented(body: Column) -> Column:
+    """Lines without the indentation of the first one that has text."""
+    indent = F.regexp_extract(body, r"\A(?:[ \t]*\r?\n)*([ \t]+)", 1)
+    return F.regexp_replace(body, F.concat(F.lit("(?m)^"), indent), F.lit(""))
+
+
+def _nested_map(e: Column) -> Column:
+    """A map of one level as flow text; null for a deeper one or an unknown value."""
+
+    def pair(line: Column) -> Column:
+        key = F.regexp_replace(F.regexp_extract(line, ENTRY, 1), r"\A[\"']|[\"']\z", "")
+        value = _quote_dates(_value(F.regexp_extract(line, ENTRY, 2)))
+        return F.when(F.rlike(line, F.lit(ENTRY)), F.concat(json_string(key), F.lit(":"), value))
+
+    def rule(lines: Column) -> Column:
+        pairs = F.transform(F.split(lines, r"\r?\n"), pair)
+        joined = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+        return F.when(~F.rlike(lines, F.lit(r"(?m)^(?:[ \t]|\z)")) & ~F.exists(pairs, lambda p: p.isNull()), joined)
+
+    return let(_unindented(F.regexp_extract(e, NESTED, 1)), rule)
+
+
+def _block_scalar(e: Column) -> Column:
+    """The text of a ``|`` or ``>`` scalar as a JSON string."""
+    lines = F.regexp_replace(_unindented(F.regexp_extract(e, BLOCK_SCALAR, 3)), r"\r\n", "\n")
+    # Folding joins neighbouring lines with text at their start; a blank line becomes one line end.
+    folded = F.regexp_replace(F.regexp_replace(lines, r"(?<=[^\n])\n(?=[^\s])", " "), r"\n(\n+)(?=[^\s])", "$1")
+    body = F.when(F.regexp_extract(e, BLOCK_SCALAR, 1) == ">", folded).otherwise(lines)
+    end = F.when(F.regexp_extract(e, BLOCK_SCALAR, 2) == "-", "").otherwise("\n")
+    return json_string(F.concat(F.regexp_replace(body, r"\s+\z", ""), end))
+
+
 def _json_of(y: Column) -> Column:
     """Quote the bare dates of a flow text."""
     return F.regexp_replace(
@@ -164,39 +203,82 @@ def block_text(content: Column | str) -> Column:
 @_once
 def raw_entries(content: Column | str) -> Column:
     """Entries as written; ``y`` is null where the value is outside the grammar."""
-    lines = F.regexp_replace(block_text(content), r"(?m)^[ \t]*#[^\n]*(?:\n|\z)", "")
+    lines = F.regexp_replace(block_text(content), r"(?m)^#[^\n]*(?:\n|\z)", "")
     chunks = F.filter(F.split(F.regexp_replace(lines, r"\A\s+|\s+\z", ""), NEXT_ENTRY), lambda e: e != "")
 
-    def entry(e: Column) -> Column:
+    def entry(whole: Column) -> Column:
+        is_block = F.rlike(whole, F.lit(BLOCK_SCALAR))
+        return let(
+            # Indented comments are text in a block scalar only.
+            F.when(is_block, whole).otherwise(F.regexp_replace(whole, r"\n[ \t]+#[^\n]*", "")),
+            lambda e: read(whole, e, is_block),
+        )
+
+    def read(whole: Column, e: Column, is_block: Column) -> Column:
         key = F.regexp_replace(F.regexp_extract(e, ENTRY, 1), r"\A[\"']|[\"']\z", "")
-        y = F.when(F.rlike(e, F.lit(ENTRY)), _value(F.regexp_extract(e, ENTRY, 2)))
-        return let(y, lambda v: F.struct(key.alias("k"), v.alias("y"), _quote_dates(v).alias("j")))
+        is_entry = F.rlike(e, F.lit(ENTRY))
+        y = (
+            F.when(~is_entry, F.lit(None).cast("string"))
+            .when(is_block, _block_scalar(e))
+            .when(F.rlike(e, F.lit(NESTED)), _nested_map(e))
+            .otherwise(_value(F.regexp_extract(e, ENTRY, 2)))
+        )
+        name = F.when(is_entry, key).otherwise(F.concat(F.lit(RAW), whole))
+        return let(y, lambda v: F.struct(name.alias("k"), v.alias("y"), _quote_dates(v).alias("j"), whole.alias("raw")))
 
     return F.transform(chunks, entry)
 
 
+def _first_of_key(entries: Column) -> Column:
+    """Entries but for those whose key came before."""
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
+
+
 def _is_bad(entries: Column) -> Column:
     return F.exists(entries, lambda e: e["y"].isNull()) | (
         F.size(F.array_distinct(F.transform(entries, lambda e: e["k"]))) != F.size(entries)
     )
 
 
+def _read(entries: Column) -> Column:
+    """The entries that could be read."""
+    kept = F.filter(_first_of_key(entries), lambda e: e["y"].isNotNull())
+    return F.transform(kept, lambda e: F.struct(e["k"].alias("k"), e["y"].alias("y"), e["j"].alias("j"))).cast(ENTRIES)
+
+
 @_once
 def entries(content: Column | str) -> Column:
-    """Parsed properties in source order; empty for a flagged block."""
-    empty = F.array().cast(ENTRIES)
-    parsed = let(
-        raw_entries(content), lambda es: F.when(_is_bad(es), empty).otherwise(es.cast(ENTRIES))
+    """Parsed properties in source order; what can't be read is left out."""
+    parsed = let(raw_entries(content), _read)
+    return F.when(F.rlike(content, F.lit(OPENING)), parsed).otherwise(F.array().cast(ENTRIES))
+
+
+@_once
+def kept_entries(content: Column | str) -> Column:
+    """All entries as ``struct<k, y>`` for a merge; those that can't be read carry their text as it is."""
+    def all_of(es: Column) -> Column:
+        return F.transform(
+            _first_of_key(es),
+            lambda e: F.struct(e["k"].alias("k"), F.coalesce(e["y"], F.concat(F.lit(RAW), e["raw"])).alias("y")),
+        )
+
+    return F.when(F.rlike(content, F.lit(OPENING)), let(raw_entries(content), all_of)).otherwise(
+        F.array().cast("array<struct<k:string,y:string>>")
     )
-    return F.when(F.rlike(content, F.lit(OPENING)), parsed).otherwise(empty)
+
+
+@_once
+def unclosed(content: Column | str) -> Column:
+    """A block opens and never ends."""
+    return F.rlike(content, F.lit(OPENING)) & ~F.rlike(content, F.lit(BLOCK))
 
 
 @_once
 def frontmatter_error(content: Column | str) -> Column:
-    """True where a property block opens but cannot be read by the grammar."""
+    """True where a property block opens but not all of it can be read."""
     opens = F.rlike(content, F.lit(OPENING))
-    unclosed = ~F.rlike(content, F.lit(BLOCK))
-    return opens & (unclosed | let(raw_entries(content), _is_bad))
+    return opens & (unclosed(content) | let(raw_entries(content), _is_bad))
 
 
 def entries_text(es: Column) -> Column:
@@ -247,11 +329,10 @@ def flatten_tags(value: Column) -> Column:
         return F.from_json(F.concat(F.lit("["), tokens, F.lit("]")), "array<string>")
 
     def without_maps(v: Column) -> Column:
-        # Maps inside a list hold no tags; peel them from the inside out.
-        peeled = v
-        for _ in range(8):
-            peeled = F.regexp_replace(peeled, map_text, "0")
-        return F.when(F.contains(v, F.lit("{")), peeled).otherwise(v)
+        # Maps inside a list hold no tags; peel them from the inside out, as often as there are braces.
+        braces = F.length(v) - F.length(F.replace(v, F.lit("{"), F.lit("")))
+        peeled = F.aggregate(F.sequence(F.lit(1), F.greatest(braces, F.lit(1))), v, lambda out, _: F.regexp_replace(out, map_text, "0"))
+        return F.when(braces > 0, peeled).otherwise(v)
 
     def split_tags(s: Column) -> Column:
         parts = F.filter(F.split(s, f"[{WS[1:-1]},]+"), lambda t: t != "")
@@ -291,15 +372,12 @@ def merge_entries(base: Column, new: Column) -> Column:
 def render(es: Column, body: Column) -> Column:
     """A note with the given ``struct<k, y>`` entries in front of ``body``."""
     plain_key = r"\A[A-Za-z_][\w .-]*(?<! )\z"
-    lines = F.transform(
-        es,
-        lambda e: F.concat(
-            F.when(F.rlike(e["k"], F.lit(plain_key)), e["k"]).otherwise(json_string(e["k"])),
-            F.lit(": "),
-            e["y"],
-            F.lit("\n"),
-        ),
-    )
+    def line(e: Column) -> Column:
+        key = F.when(F.rlike(e["k"], F.lit(plain_key)), e["k"]).otherwise(json_string(e["k"]))
+        as_it_was = F.concat(F.substring(e["y"], F.lit(2), F.length(e["y"])), F.lit("\n"))
+        return F.when(F.startswith(e["y"], F.lit(RAW)), as_it_was).otherwise(F.concat(key, F.lit(": "), e["y"], F.lit("\n")))
+
+    lines = F.transform(es, line)
     return F.when(
         F.size(es) > 0, F.concat(F.lit("---\n"), F.array_join(lines, ""), F.lit("---\n"), body)
     ).otherwise(body)

@@ -44,13 +44,13 @@ def is_inside(path: Column, root: Column | str) -> Column:
 
 
 def path_status(path: Column, kind: Column | str = "note") -> Column:
-    """First rule the path breaks, else ``OK``."""
+    """First rule the path breaks, else ``OK``.  A NULL path is an empty one."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     is_note = kind == "note"
     return (
         F.when(F.contains(path, F.char(F.lit(0))), "NULL_BYTE")
         .when(F.rlike(path, F.lit(rf"^([A-Za-z]:)?{SEP}")), "ABSOLUTE_PATH")
-        .when((path == "") | F.rlike(path, F.lit(rf"(^|{SEP})\.\.({SEP}|\z)")), "TRAVERSAL")
+        .when(path.isNull() | (path == "") | F.rlike(path, F.lit(rf"(^|{SEP})\.\.({SEP}|\z)")), "TRAVERSAL")
         .when(is_note & ~F.rlike(path, F.lit(rf"(?i)\.md{SEP}*\z")), "MARKDOWN_REQUIRED")
         .when(F.rlike(path, F.lit(rf"(?i)(^|{SEP})node_modules({SEP}|\z)")), "EXCLUDED_PATH")
         .when(is_note & F.rlike(path, F.lit(rf"(^|{SEP})\.{NOT_SEP}*{SEP}+{NOT_SEP}")), "EXCLUDED_PATH")

@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema as S
 from ..functions import paths, text
 from .checkpoints import checkpoint
-from .common import BROADCAST_ROWS, broadcast_if_small, running_max
+from .common import BROADCAST_ROWS, RANK_BLOCKS, broadcast_if_small, running_max
 
 # A note with more commands, or more command text, than this is a hot note.
 FOLD_COMMANDS = 1000
 FOLD_CHARS = 32 << 20
-# Hot notes are scanned in blocks of this many command numbers.
-BLOCK_SIZE = 1 << 16
+# Above so many commands on one note the length of the note itself is looked at.
+SOME_COMMANDS = 16
 
 OUTCOME = (
     "kind string, seq bigint, vault string, path string, status string, "
@@ -326,7 +326,7 @@ def _stream_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(last, columns=columns).astype({"seq": "Int64", "segment": "Int64"})
 
 
-def _fold_hot(commands: DataFrame, base: DataFrame, block_size: int) -> DataFrame:
+def _fold_hot(commands: DataFrame, base: DataFrame, blocks: int) -> DataFrame:
     """Fold notes with any number of commands.
 
     ``create`` and ``append_daily`` always leave a note, ``delete`` never does and
@@ -337,7 +337,7 @@ def _fold_hot(commands: DataFrame, base: DataFrame, block_size: int) -> DataFram
     op, seq = F.col("op"), F.col("seq")
     mark = F.when(op.isin("create", "append_daily"), seq * 2 + 1).when(op == "delete", seq * 2)
     marked = running_max(
-        commands, _KEY, "seq", mark, "mark", inclusive=False, block_size=block_size
+        commands, _KEY, "seq", mark, "mark", inclusive=False, blocks=blocks
     )
     present = base.select(*_KEY, F.lit(True).alias("present"))
     existed = (
@@ -358,7 +358,7 @@ def _fold_hot(commands: DataFrame, base: DataFrame, block_size: int) -> DataFram
         seq,
     )
     rows = running_max(
-        existed, _KEY, "seq", start, "segment", inclusive=True, block_size=block_size
+        existed, _KEY, "seq", start, "segment", inclusive=True, blocks=blocks
     ).withColumn("segment", F.coalesce("segment", F.lit(-1).cast("bigint")))
     columns = [*_KEY, "segment", "seq", "op", "body", "expected_hash", "overwrite", "existed"]
     opening = base.select(
@@ -434,9 +434,18 @@ def _fold(
     load: _Load,
     fold_commands: int,
     fold_chars: int,
-    block_size: int,
+    blocks: int,
 ) -> DataFrame:
-    if load.max_commands <= fold_commands and load.max_chars <= fold_chars:
+    if load.max_commands > SOME_COMMANDS:
+        # Touched notes are read once, however often their text is used below; a long note counts
+        # for every command, as each step of the built-in fold copies it.
+        base = checkpoint(base)
+        sizes = base.select(*_KEY, F.length("content").alias("size"))
+        loads = checkpoint(loads.join(sizes, _KEY, "left").withColumn("chars", F.col("chars") + F.col("n") * F.coalesce("size", F.lit(0))))
+        most = loads.agg(F.coalesce(F.max("chars"), F.lit(0))).first()[0]
+    else:
+        most = load.max_chars
+    if load.max_commands <= fold_commands and most <= fold_chars:
         return _fold_collected(accepted, base)
     is_hot = (F.col("n") > fold_commands) | (F.col("chars") > fold_chars)
     hot = broadcast_if_small(loads.filter(is_hot).select(*_KEY))
@@ -444,7 +453,7 @@ def _fold(
         accepted.join(hot, _KEY, "left_anti"), base.join(hot, _KEY, "left_anti")
     )
     return cold.unionByName(
-        _fold_hot(accepted.join(hot, _KEY, "left_semi"), base.join(hot, _KEY, "left_semi"), block_size)
+        _fold_hot(accepted.join(hot, _KEY, "left_semi"), base.join(hot, _KEY, "left_semi"), blocks)
     )
 
 
@@ -533,7 +542,7 @@ def apply_commands(
     *,
     fold_commands: int = FOLD_COMMANDS,
     fold_chars: int = FOLD_CHARS,
-    block_size: int = BLOCK_SIZE,
+    blocks: int = RANK_BLOCKS,
 ) -> Applied:
     """Apply a batch of mixed commands in ``seq`` order.
 
@@ -543,7 +552,7 @@ def apply_commands(
     accepted = judged.filter(F.col("status") == S.OK).drop("status")
     loads, load = _Load.of(accepted)
     few_keys = load.keys + load.moves <= BROADCAST_ROWS
-    limits = (fold_commands, fold_chars, block_size)
+    limits = (fold_commands, fold_chars, blocks)
     if load.moves:
         steps = _apply_in_layers(notes, accepted, few_keys, limits)
     else:
@@ -626,6 +635,9 @@ def _apply_in_layers(
             F.when(F.col("dest_rule") == S.OK, paths.normalize_path(F.col("dest"))),
         )
     )
+    # All notes that any layer can need, read once.
+    keys = pending.select("vault", F.explode(F.array_compact(F.array("key", "dest_key"))).alias("key")).distinct()
+    notes = checkpoint(_base(notes, keys, few_keys)).withColumnRenamed("key", "path")
     done: DataFrame | None = None
     changes: DataFrame | None = None
     while not pending.isEmpty():
@@ -755,19 +767,27 @@ def daily_notes_from_events(events: DataFrame, vaults: DataFrame) -> DataFrame:
 def first_writer_wins(notes: DataFrame, updates: DataFrame) -> DataFrame:
     """Status of racing updates ``(seq, vault, path, expected_hash)``.
 
-    Of those that expect the current hash the lowest ``seq`` wins.  The winner
-    comes from a pre-aggregated minimum and is joined back by command, so a note
-    with very many writers is not gathered anywhere.
+    An update without expected hash (NULL or blank) always succeeds.  Of those that expect the
+    current hash the lowest ``seq`` wins, unless an unconditional one came before.  A
+    missing note is ``NOT_FOUND``.  The first success comes from a pre-aggregated
+    minimum, so a note with very many writers is not gathered anywhere.
     """
     keys = broadcast_if_small(updates.select("vault", "path").distinct())
-    current = notes.select("vault", "path", "content_hash").join(keys, ["vault", "path"])
-    winners = (
-        updates.groupBy("vault", "path", F.col("expected_hash").alias("content_hash"))
+    current = notes.select("vault", "path", F.col("content_hash").alias("now")).join(keys, ["vault", "path"])
+    asked = updates.select("seq", "vault", "path", F.coalesce("expected_hash", F.lit("")).alias("expected"))
+    free = F.trim("expected") == ""
+    first = (
+        asked.groupBy("vault", "path", F.when(~free, F.col("expected")).alias("expected"))
         .agg(F.min("seq").alias("seq"))
-        .join(current, ["vault", "path", "content_hash"])
-        .select("vault", "path", "seq", F.lit(True).alias("wins"))
+        .join(current, ["vault", "path"])
+        .groupBy("vault", "path")
+        .agg(F.min(F.when(F.col("expected").isNull() | (F.col("expected") == F.col("now")), F.col("seq"))).alias("first"))
+        .withColumn("found", F.lit(True))
     )
-    return updates.join(winners, ["vault", "path", "seq"], "left").select(
+    return asked.join(broadcast_if_small(first), ["vault", "path"], "left").select(
         "seq", "vault", "path",
-        F.when(F.col("wins"), S.OK).otherwise(S.HASH_MISMATCH).alias("status"),
+        F.when(F.col("found").isNull(), S.NOT_FOUND)
+        .when(free | (F.col("seq") == F.col("first")), S.OK)
+        .otherwise(S.HASH_MISMATCH)
+        .alias("status"),
     )

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .checkpoints import checkpoint
+
 # Keys and registry rows are a few hundred bytes; this many stay far below what
 # one executor can hold.
 BROADCAST_ROWS = 200_000
+# Runs that the rows of a hot key are cut into.
+RANK_BLOCKS = 256
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -26,6 +30,39 @@ def listing_key(c: Column | str, collation: str | None = "UNICODE") -> Column:
     return c if collation is None else F.collate(c, collation)
 
 
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """``df`` with dense numbers from 0 in the order of its partitions and rows.
+
+    One pass counts the partitions, one row each, and a second adds their offsets.
+    """
+    placed = checkpoint(df.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(part.alias("__part"))
+        .count()
+        .select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
+    )
+    return (
+        placed.withColumn("__part", part)
+        .join(F.broadcast(offsets), "__part")
+        .withColumn(out, F.col("__offset") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("__at", "__part", "__offset")
+    )
+
+
+def rank_blocks(df: DataFrame, keys: list[str], order: str, out: str, blocks: int = RANK_BLOCKS) -> DataFrame:
+    """Number runs of about equal size of each key's rows in ``order``.
+
+    The cuts are approximate quantiles, at most ``blocks`` of them per key, so it does not matter
+    how the numbers of ``order`` are spread.
+    """
+    fractions = [i / blocks for i in range(1, blocks)] or [0.5]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, fractions, 100 * blocks).alias("__cuts"))
+    cut = F.size(F.filter("__cuts", lambda c: c < F.col(order))).cast("bigint")
+    return df.join(broadcast_if_small(cuts), keys).withColumn(out, cut).drop("__cuts")
+
+
 def running_max(
     df: DataFrame,
     keys: list[str],
@@ -34,17 +71,16 @@ def running_max(
     out: str,
     *,
     inclusive: bool,
-    block_size: int,
+    blocks: int = RANK_BLOCKS,
 ) -> DataFrame:
     """Running maximum of ``value`` per key in ``order``, safe for hot keys.
 
-    A plain window would put all rows of a key into one task.  Here ``order`` is
-    cut into blocks of ``block_size`` numbers, so one (key, block) holds at most
-    that many rows; a second window runs over one summary row per block, and its
-    carry is joined back to the rows of the block.
+    A plain window would put all rows of a key into one task.  Here the rows of a key are
+    cut into ``blocks`` runs by rank; a second window runs over one summary row per
+    block, and its carry is joined back to the rows of the block.
     """
     block, carry = f"__{out}_block", f"__{out}_carry"
-    rows = df.withColumn(block, F.floor(F.col(order) / block_size)).withColumn(f"__{out}_value", value)
+    rows = rank_blocks(df, keys, order, block, blocks).withColumn(f"__{out}_value", value)
     end = 0 if inclusive else -1
     inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions import frontmatter as fm, paths, text
+from .checkpoints import checkpoint
 from .common import broadcast_if_small, listing_key
 
 SEARCH_LIMITS = (1, 100)  # Fixed values: bounds of a search limit.
@@ -140,29 +139,36 @@ def _has(value: Column, needle: str) -> Column:
 def match_kinds(query: str) -> Column:
     """Which of file name, content and property text hold the query, in order."""
     q = _needle(query)
-    content = F.col("content")
     kinds = [
         F.when(_has(F.col("path"), q), "filename"),
-        F.when(_has(content, q), "content"),
+        F.when(_has(F.col("content"), q), "content"),
         F.when(_has(fm.frontmatter_text("content"), q), "frontmatter"),
     ]
     return F.filter(F.array(*kinds), lambda k: k.isNotNull())
 
 
-def match_notes(notes: DataFrame, query: str) -> DataFrame:
-    """Notes whose path, text or property text contain the query, any case.
+def _hits(notes: DataFrame, query: str, *columns: str) -> DataFrame:
+    """``columns`` and ``kinds`` of the matching notes.
 
-    The three parts are tested one by one, cheapest first; joined text is only
-    built for a query with a line break, which may match across two parts.
+    The rows come out of a generator, so the property parser stands in the plan once: a filter over
+    the kinds would be pushed below them and evaluate it again.  Joined text is only built for a
+    query with a line break, which may match across two parts.
     """
     q = _needle(query)
     if not q:
-        return notes.filter(F.lit(False))
-    content = F.col("content")
-    parts = [F.col("path"), content, fm.frontmatter_text("content")]
+        return notes.filter(F.lit(False)).select(*columns, F.array().cast("array<string>").alias("kinds"))
     if "\n" in q:
-        return notes.filter(_has(F.concat_ws("\n", *parts), q))
-    return notes.filter(reduce(lambda a, b: a | b, [_has(p, q) for p in parts]))
+        whole = F.concat_ws("\n", "path", "content", fm.frontmatter_text("content"))
+        hit = F.struct(match_kinds(query).alias("kinds"), _has(whole, q).alias("hit"))
+    else:
+        hit = text.let(match_kinds(query), lambda kinds: F.struct(kinds.alias("kinds"), (F.size(kinds) > 0).alias("hit")))
+    rows = F.filter(F.array(hit), lambda h: h["hit"])
+    return notes.select(*columns, F.inline(rows)).drop("hit")
+
+
+def match_notes(notes: DataFrame, query: str) -> DataFrame:
+    """Notes whose path, text or property text contain the query, any case."""
+    return _hits(notes, query, *notes.columns).drop("kinds")
 
 
 def search_notes(
@@ -174,19 +180,19 @@ def search_notes(
 ) -> DataFrame:
     """First ``limit`` matches of every vault in listing order.
 
-    ``(vault, rank, path, excerpt, matches)``.  The excerpt replaces the text
-    before the ranking, so whole notes are neither sorted nor shuffled.
+    ``(vault, rank, path, excerpt, matches)``.  Only names and kinds are ranked; excerpts are
+    made of the winners' text.
     """
     n = text.clamp(limit, *SEARCH_LIMITS)
-    hits = match_notes(markdown_only(visible_notes(in_directory(notes, directory))), query).select(
-        "vault",
-        "path",
-        text.excerpt(F.col("content"), _needle(query)).alias("excerpt"),
-        match_kinds(query).alias("matches"),
-    )
+    kept = markdown_only(visible_notes(in_directory(notes, directory)))
     order = Window.partitionBy("vault").orderBy(listing_key("path", collation), "path")
-    return (
-        hits.withColumn("rank", F.row_number().over(order))
+    ranked = (
+        _hits(kept, query, "vault", "path")
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
-        .select("vault", "rank", "path", "excerpt", "matches")
+    )
+    # At most ``limit`` rows of each vault.
+    winners = broadcast_if_small(checkpoint(ranked))
+    return kept.select("vault", "path", "content").join(winners, ["vault", "path"]).select(
+        "vault", "rank", "path", text.excerpt(F.col("content"), _needle(query)).alias("excerpt"), F.col("kinds").alias("matches")
     )

@@ -212,8 +212,20 @@ def project_activity(
     return tasks.unionByName(parts).unionByName(daily)
 
 
-def project_activity_nested(activity: DataFrame) -> DataFrame:
-    """One row per vault with the five lists of :func:`project_activity`."""
+def _every_vault(rows: DataFrame, vaults: DataFrame | None, empty) -> DataFrame:
+    """``rows`` with one of ``empty(column, type)`` values for each registered vault that has none."""
+    if vaults is None:
+        return rows
+    full = vaults.select(F.col("name").alias("vault")).join(rows, "vault", "left")
+    kinds = {f.name: f.dataType for f in rows.schema.fields if f.name != "vault"}
+    return full.select("vault", *[F.coalesce(c, empty(t)).alias(c) for c, t in kinds.items()])
+
+
+def project_activity_nested(activity: DataFrame, vaults: DataFrame | None = None) -> DataFrame:
+    """One row per vault with the five lists of :func:`project_activity`.
+
+    With ``vaults`` every registered vault has its row, if with empty lists.
+    """
 
     def entries(kind: str, *fields: tuple[str, str]) -> Column:
         rows = F.sort_array(
@@ -223,14 +235,18 @@ def project_activity_nested(activity: DataFrame) -> DataFrame:
 
     entry = (("source", "source"), ("content", "content"))
     task = (("completed", "completed"), ("content", "text"), ("source", "source"))
-    return activity.groupBy("vault").agg(
+    nested = activity.groupBy("vault").agg(
         entries("tasks", *task).alias("tasks"),
         *[entries(k, *entry).alias(k) for k in ("decisions", "risks", "changelog", "dailyNotes")],
     )
+    return _every_vault(nested, vaults, lambda kind: F.array().cast(kind))
+
 
+def vault_counts(notes: DataFrame, vaults: DataFrame | None = None) -> DataFrame:
+    """Per vault: notes, daily notes, tasks, tag and link occurrences.
 
-def vault_counts(notes: DataFrame) -> DataFrame:
-    """Per vault: notes, daily notes, tasks, tag and link occurrences."""
+    With ``vaults`` every registered vault is counted, if with zeros.
+    """
     content = F.col("content")
     kept = markdown_only(visible_notes(notes)).select(
         "vault",
@@ -239,13 +255,14 @@ def vault_counts(notes: DataFrame) -> DataFrame:
         (F.size(fm.frontmatter_tags("content")) + F.size(text.hashtags(content))).alias("tags"),
         F.size(text.wikilinks(content)).alias("links"),
     )
-    return kept.groupBy("vault").agg(
+    counts = kept.groupBy("vault").agg(
         F.count("*").alias("notes"),
         F.count_if("daily").alias("daily_notes"),
         F.sum("tasks").alias("tasks"),
         F.sum("tags").alias("tag_occurrences"),
         F.sum("links").alias("link_occurrences"),
     )
+    return _every_vault(counts, vaults, lambda kind: F.lit(0).cast(kind))
 
 
 def count_by_vault(**tables: DataFrame) -> DataFrame:

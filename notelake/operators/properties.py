@@ -12,7 +12,7 @@ from .. import schema as S
 from ..functions import frontmatter as fm, paths, text
 from .checkpoints import checkpoint
 from .commands import FOLD_COMMANDS, Applied, writable_commands
-from .common import BROADCAST_ROWS, broadcast_if_small
+from .common import BROADCAST_ROWS, RANK_BLOCKS, broadcast_if_small, rank_blocks
 
 UNREADABLE = "UNREADABLE_FRONTMATTER"
 _KEY = ["vault", "key"]
@@ -70,14 +70,15 @@ def update_frontmatter(
     commands: DataFrame,
     *,
     fold_commands: int = FOLD_COMMANDS,
-    block_size: int = FOLD_COMMANDS,
+    blocks: int = RANK_BLOCKS,
 ) -> Applied:
     """Merge ``properties`` of ``commands(seq, vault, path, properties)`` into notes.
 
     ``properties`` is an array of ``struct<k, v>`` with ``v`` as JSON text.  The
-    body is kept; values are written back as JSON, which is flow YAML.  A note
-    whose block cannot be read is left alone.  A note with very many updates is
-    cut into blocks of command numbers that start from what earlier blocks left.
+    body is kept; values are written back as JSON, which is flow YAML.  Entries that
+    can't be read are carried over as they stand, unless an update names their key; a note whose block
+    never ends is left alone.  A note with very many updates is cut into blocks by rank
+    that start from what earlier blocks left.
     """
     judged = writable_commands(commands.withColumn("op", F.lit("update")), vaults).select(
         "seq",
@@ -95,12 +96,16 @@ def update_frontmatter(
     loads = accepted.groupBy(*_KEY).agg(F.count("*").alias("n"))
     total, most = loads.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     few_keys = total <= BROADCAST_ROWS
-    block = F.lit(0).cast("bigint")
+    is_last = F.lit(True)
     if most > fold_commands:
-        hot = loads.filter(F.col("n") > fold_commands).select(*_KEY, F.lit(True).alias("hot"))
-        accepted = accepted.join(broadcast_if_small(hot), _KEY, "left")
-        block = F.when(F.col("hot"), F.floor(F.col("seq") / block_size)).otherwise(block)
-    accepted = accepted.withColumn("block", block)
+        hot = broadcast_if_small(loads.filter(F.col("n") > fold_commands).select(*_KEY))
+        cut = rank_blocks(accepted.join(hot, _KEY, "left_semi"), _KEY, "seq", "block", blocks)
+        rest = accepted.join(hot, _KEY, "left_anti").withColumn("block", F.lit(0).cast("bigint"))
+        accepted = checkpoint(rest.unionByName(cut))
+        last_blocks = accepted.groupBy(*_KEY).agg(F.max("block").alias("last_block"))
+        is_last = F.col("block") == F.col("last_block")
+    else:
+        accepted = accepted.withColumn("block", F.lit(0).cast("bigint"))
 
     keys = loads.select(*_KEY)
     content = F.col("content")
@@ -109,11 +114,9 @@ def update_frontmatter(
         .join(F.broadcast(keys) if few_keys else keys, _KEY)
         .select(
             *_KEY,
-            F.transform(
-                fm.entries("content"), lambda e: F.struct(e["k"].alias("k"), e["y"].alias("y"))
-            ).cast(_ENTRIES).alias("base"),
+            fm.kept_entries("content").cast(_ENTRIES).alias("base"),
             fm.frontmatter_body("content").alias("body"),
-            fm.frontmatter_error("content").alias("unreadable"),
+            fm.unclosed("content").alias("unreadable"),
         )
     )
     grouped = (
@@ -124,6 +127,7 @@ def update_frontmatter(
     start = F.col("base")
     if most > fold_commands:
         grouped = grouped.join(_carried(accepted), [*_KEY, "block"], "left")
+        grouped = grouped.join(broadcast_if_small(last_blocks), _KEY)
         start = F.when(
             F.col("carried").isNull(), F.col("base")
         ).otherwise(fm.merge_entries(F.col("base"), F.col("carried")).cast(_ENTRIES))
@@ -182,17 +186,12 @@ def update_frontmatter(
             *_KEY,
             "block",
             "status",
-            F.inline(F.when(ok, F.concat(done, F.array(last))).otherwise(failed)),
+            # Only the last block's text is the note's; the others give digests alone.
+            F.inline(F.when(ok & is_last, F.concat(done, F.array(last))).when(ok, done).otherwise(failed)),
         )
     )
     results = rows.filter(F.col("kind") == "result")
     changes = rows.filter(F.col("kind") == "change")
-    if most > fold_commands:
-        changes = (
-            changes.groupBy(*_KEY, "kind", "status")
-            .agg(F.max_by(F.struct("seq", "content", "content_hash"), "block").alias("last"))
-            .select(*_KEY, "kind", "status", "last.*")
-        )
     rejected = judged.filter(F.col("status") != S.OK).select(
         *_KEY,
         "status",

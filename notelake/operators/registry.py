@@ -57,7 +57,7 @@ def register_vaults(
     With ``root`` the path is ``root/name`` and ``path`` is not needed.  Of equal
     names the lowest ``seq`` wins.  Returns ``(next_vaults, results)``.
     """
-    named = new.withColumn("valid", paths.vault_name_valid(F.col("name"))).withColumn(
+    named = new.withColumn("valid", F.coalesce(paths.vault_name_valid(F.col("name")), F.lit(False))).withColumn(
         "name", paths.vault_name(F.col("name"))
     )
     if root is not None:

@@ -7,6 +7,13 @@ lambdas are avoided.
 
 from __future__ import annotations
 
+from ..schema import ROLES
+
+# The patterns of links, hashtags and tasks, as the checking engine writes them.
+LINK_PATTERN = r"\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]"
+HASHTAG_PATTERN = r"(?m)(?:^|\s)#([\w/-]+)"
+TASK_PATTERN = r"(?m)^\s*-\s*\[([ xX])\]\s+(.+)$"
+
 NOTES_CTE = r"""
 raw_notes AS (
   SELECT source AS vault,
@@ -34,16 +41,8 @@ raw_notes AS (
 notes AS (SELECT *, sha256(content) AS content_hash FROM raw_notes)
 """
 
-ROLES_CTE = """
-roles(idx, role, rpath) AS (
-  VALUES (0, 'home', '00 - Project Home.md'), (1, 'brief', '01 - Brief.md'),
-         (2, 'goals', '02 - Goals & Success Criteria.md'), (3, 'requirements', '03 - Requirements.md'),
-         (4, 'decisions', '04 - Decisions.md'), (5, 'plans', '05 - Plans.md'), (6, 'tasks', '06 - Tasks.md'),
-         (7, 'research', '07 - Research.md'), (8, 'meetings', '08 - Meeting Notes.md'),
-         (9, 'resources', '09 - Resources.md'), (10, 'risks', '10 - Risks & Issues.md'),
-         (11, 'changelog', '11 - Changelog.md')
-)
-"""
+_ROLE_ROWS = ", ".join(f"({i}, '{role}', '{path}')" for i, (role, path) in enumerate(ROLES))
+ROLES_CTE = f"roles(idx, role, rpath) AS (VALUES {_ROLE_ROWS})"
 
 VAULTS_CTE = """
 vaults AS (
@@ -82,22 +81,22 @@ properties AS (
 )
 """
 
-TAGS_CTE = r"""
+TAGS_CTE = rf"""
 tags AS (
   SELECT vault, path, trim(unnest(string_split(regexp_extract(block, 'tags: \[(.*)\]', 1), ','))) AS tag,
          'frontmatter' AS origin
   FROM properties WHERE block <> ''
   UNION ALL
-  SELECT vault, path, unnest(regexp_extract_all(content, '(?m)(?:^|\s)#([\w/-]+)', 1)), 'hashtag'
+  SELECT vault, path, unnest(regexp_extract_all(content, '{HASHTAG_PATTERN}', 1)), 'hashtag'
   FROM notes
 )
 """
 
-LINKS_CTE = r"""
+LINKS_CTE = rf"""
 links AS (
   SELECT DISTINCT vault, path AS src, regexp_replace(replace(raw, '\', '/'), '(?i)\.md$', '') AS link
   FROM (SELECT vault, path,
-               unnest(regexp_extract_all(content, '\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]', 1)) AS raw
+               unnest(regexp_extract_all(content, '{LINK_PATTERN}', 1)) AS raw
         FROM notes)
 ),
 targets AS (SELECT vault, path, regexp_replace(path, '(?i)\.md$', '') AS name FROM notes),
@@ -121,8 +120,8 @@ task_items AS (
   SELECT vault, path AS source,
          generate_subscripts(marks, 1) - 1 AS spot, unnest(marks) AS mark, unnest(texts) AS item
   FROM (SELECT vault, path,
-               regexp_extract_all(content, '(?m)^\s*-\s*\[([ xX])\]\s+(.+)$', 1) AS marks,
-               regexp_extract_all(content, '(?m)^\s*-\s*\[([ xX])\]\s+(.+)$', 2) AS texts
+               regexp_extract_all(content, '{TASK_PATTERN}', 1) AS marks,
+               regexp_extract_all(content, '{TASK_PATTERN}', 2) AS texts
         FROM notes WHERE path = '06 - Tasks.md')
 ),
 tasks AS (

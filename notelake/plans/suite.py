@@ -6,18 +6,21 @@ over the test tables cannot say the same.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import frontmatter as fm, paths, text
 from ..operators import commands as cmd, corpus, graph, project, properties, registry, tags
-from ..operators.checkpoints import scratch
+from ..operators.checkpoints import checkpoint, scratch
+from ..operators.common import numbered
+from ..sources.files import scan_notes as read_folders, scan_trash as read_trash
 from ..sources.registry_file import load_vaults as read_registry, save_vaults
 from ..sources.tables import NoteStore, save_notes as write_snapshot
 from ..streaming import streams
 from . import derived
-from .oracles import DAILY_CTE, REPLAY_CTE, sql
+from .oracles import DAILY_CTE, LINK_PATTERN, REPLAY_CTE, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 SUITE: dict[str, tuple[Query, str | None]] = {}
@@ -50,19 +53,18 @@ _query(
 )
 
 
-@_query("frontmatter", sql("SELECT vault, path, properties AS frontmatter FROM properties WHERE block <> ''", "properties"))
+@_query("frontmatter", sql("SELECT vault, path, properties AS frontmatter FROM properties", "properties"))
 def frontmatter(spark, sf):
     """Property maps read back out of the dynamic value, key by key."""
     content = F.col("content")
     v = fm.frontmatter("content")
-    found = derived.notes(spark, sf).filter(F.startswith(content, F.lit("---\n")))
-    return found.select(
-        "vault",
-        "path",
-        F.concat(
-            F.lit('{"tags":'), F.variant_get(v, "$.tags", "string"),
-            F.lit(',"status":"'), F.variant_get(v, "$.status", "string"), F.lit('"}'),
-        ).alias("frontmatter"),
+    by_key = F.concat(
+        F.lit('{"tags":'), F.variant_get(v, "$.tags", "string"),
+        F.lit(',"status":"'), F.variant_get(v, "$.status", "string"), F.lit('"}'),
+    )
+    has = F.startswith(content, F.lit("---\n"))
+    return derived.notes(spark, sf).select(
+        "vault", "path", F.when(has, by_key).otherwise(F.to_json(v)).alias("frontmatter")
     )
 
 
@@ -112,7 +114,7 @@ _query(
 _query(
     "wikilinks",
     sql(
-        r"""SELECT vault, path, unnest(regexp_extract_all(content, '\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]', 1)) AS link
+        rf"""SELECT vault, path, unnest(regexp_extract_all(content, '{LINK_PATTERN}', 1)) AS link
             FROM notes""",
         "notes",
     ),
@@ -311,6 +313,8 @@ def directory_status(spark, sf):
             (VALUES ('note'), ('directory')) kinds(k)
        WHERE NOT starts_with(url, '/') AND NOT starts_with(url, '../')
        UNION ALL
+       SELECT NULL, k, 'TRAVERSAL' FROM pages, (VALUES ('note'), ('directory')) kinds(k)
+       UNION ALL
        SELECT concat('/', url), k, 'ABSOLUTE_PATH' FROM pages, (VALUES ('note'), ('directory')) kinds(k) WHERE page_id % 6 = 0
        UNION ALL
        SELECT concat('../', url), k, 'TRAVERSAL' FROM pages, (VALUES ('note'), ('directory')) kinds(k) WHERE page_id % 6 = 1""",
@@ -328,7 +332,8 @@ def path_status(spark, sf):
     )
     pages = derived.table(spark, sf, "pages")
     kinds = F.explode(F.array(F.lit("note"), F.lit("directory")))
-    return corpus.path_status(pages.select(path.alias("path"), kinds.alias("kind")))
+    named = pages.select(path.alias("path"), kinds.alias("kind"))
+    return corpus.path_status(named.unionByName(named.withColumn("path", F.lit(None).cast("string"))))
 
 
 _QUERY_TEXT = "The"
@@ -386,8 +391,10 @@ _query(
 
 _query(
     "list_notes",
-    sql("SELECT vault, path, content_hash FROM notes", "notes"),
-)(lambda spark, sf: corpus.list_notes(derived.notes(spark, sf), collation=None))
+    sql(
+        "SELECT vault, path, content_hash, row_number() OVER (ORDER BY vault, path) - 1 AS pos FROM notes", "notes"
+    ),
+)(lambda spark, sf: numbered(corpus.list_notes(derived.notes(spark, sf), collation=None), "pos"))
 
 _query(
     "list_directory",
@@ -476,13 +483,13 @@ def register_vaults(spark, sf):
         """SELECT name, 'kept' AS status FROM vaults WHERE name NOT IN (SELECT name FROM asked)
            UNION ALL
            SELECT name, CASE WHEN name IN (SELECT name FROM vaults) THEN 'OK' ELSE 'NOT_REGISTERED' END FROM asked""",
-        "vaults", extra=_ASKED.replace("FROM events", "FROM events WHERE event_type = 'error'"),
+        "vaults", extra=_ASKED.replace("user_id % 30", "user_id % 30 + 10"),
     ),
 )
 def unregister_vaults(spark, sf):
-    events = derived.table(spark, sf, "events").filter("event_type = 'error'")
+    events = derived.table(spark, sf, "events")
     names = events.select(
-        F.concat(F.lit("src"), (F.col("user_id") % 30).cast("string")).alias("name")
+        F.concat(F.lit("src"), (F.col("user_id") % 30 + 10).cast("string")).alias("name")
     ).distinct()
     after, results = registry.unregister_vaults(derived.vaults(spark, sf), names)
     return after.select("name", F.lit("kept").alias("status")).unionByName(results)
@@ -493,9 +500,14 @@ def unregister_vaults(spark, sf):
 _query("tag_counts", sql("SELECT vault, tag, count(*) AS count FROM tags GROUP BY vault, tag", "tags"))(
     lambda spark, sf: tags.tag_counts(derived.notes(spark, sf))
 )
-_query("list_tags", SUITE["tag_counts"][1])(
-    lambda spark, sf: tags.list_tags(derived.notes(spark, sf), collation=None)
-)
+_query(
+    "list_tags",
+    sql(
+        """SELECT vault, tag, count(*) AS count, row_number() OVER (ORDER BY vault, tag) - 1 AS pos
+           FROM tags GROUP BY vault, tag""",
+        "tags",
+    ),
+)(lambda spark, sf: numbered(tags.list_tags(derived.notes(spark, sf), collation=None), "pos"))
 _query("note_tags", sql("SELECT vault, path, tag, origin FROM tags", "tags"))(
     lambda spark, sf: tags.note_tags(derived.notes(spark, sf))
 )
@@ -605,37 +617,55 @@ _query(
 )(lambda spark, sf: project.project_activity(derived.notes(spark, sf), collation=None))
 
 
+_LISTS = ("tasks", "decisions", "risks", "changelog", "dailyNotes")
+
+
 @_query(
     "project_activity_nested",
     sql(
-        """SELECT v.name AS vault, (SELECT count(*) FROM tasks t WHERE t.vault = v.name) AS tasks,
-                  (SELECT count(*) FROM sections s WHERE s.vault = v.name AND kind = 'decisions') AS decisions,
-                  (SELECT count(*) FROM sections s WHERE s.vault = v.name AND kind = 'risks') AS risks,
-                  (SELECT count(*) FROM sections s WHERE s.vault = v.name AND kind = 'changelog') AS changelog,
-                  count(d.path) AS daily, max(d.path) AS newest
-           FROM vaults v LEFT JOIN daily d ON d.vault = v.name GROUP BY v.name""",
+        """SELECT vault, 'tasks' AS list, pos, source, text AS content, completed FROM tasks
+           UNION ALL SELECT vault, kind, pos, source, content, NULL FROM sections
+           UNION ALL SELECT vault, 'dailyNotes', rank - 1, path, content, NULL FROM daily
+           UNION ALL
+           SELECT v.name, l.list, -1, NULL, NULL, NULL
+           FROM vaults v CROSS JOIN (VALUES ('tasks'), ('decisions'), ('risks'), ('changelog'), ('dailyNotes')) l(list)
+           WHERE NOT EXISTS (SELECT 1 FROM (SELECT vault, 'tasks' AS list FROM tasks UNION ALL SELECT vault, kind FROM sections
+                                            UNION ALL SELECT vault, 'dailyNotes' FROM daily) h
+                             WHERE h.vault = v.name AND h.list = l.list)""",
         "tasks", "sections", "vaults", extra=DAILY_CTE.format(chars=20000, limit=10),
     ),
 )
 def project_activity_nested(spark, sf):
+    """The five lists of every vault, entry by entry; an empty list is one row at -1."""
     nested = project.project_activity_nested(
-        project.project_activity(derived.notes(spark, sf), collation=None)
+        project.project_activity(derived.notes(spark, sf), collation=None), derived.vaults(spark, sf)
     )
-    return nested.select(
-        "vault",
-        *[F.size(k).cast("bigint").alias(k) for k in ("tasks", "decisions", "risks", "changelog")],
-        F.size("dailyNotes").cast("bigint").alias("daily"),
-        F.get("dailyNotes", F.lit(0))["source"].alias("newest"),
+
+    def entries(name):
+        task = name == "tasks"
+        return F.transform(
+            name,
+            lambda e: F.struct(
+                e["source"].alias("source"),
+                e["text" if task else "content"].alias("content"),
+                (e["completed"] if task else F.lit(None).cast("boolean")).alias("completed"),
+            ),
+        )
+
+    lists = F.explode(F.array(*[F.struct(F.lit(n).alias("list"), entries(n).alias("entries")) for n in _LISTS]))
+    rows = nested.select("vault", lists.alias("l")).select("vault", "l.list", F.posexplode_outer("l.entries").alias("pos", "e"))
+    return rows.select(
+        "vault", "list", F.coalesce("pos", F.lit(-1)).alias("pos"), "e.source", "e.content", "e.completed"
     )
 
 
 _query(
     "vault_counts",
     sql(
-        """SELECT vault, count(*) AS notes, count(*) FILTER (WHERE path LIKE 'Daily/%') AS daily_notes,
+        f"""SELECT vault, count(*) AS notes, count(*) FILTER (WHERE path LIKE 'Daily/%') AS daily_notes,
                   coalesce((SELECT count(*) FROM tasks t WHERE t.vault = n.vault), 0) AS tasks,
                   (SELECT count(*) FROM tags t WHERE t.vault = n.vault) AS tag_occurrences,
-                  cast(sum(len(regexp_extract_all(content, '\\[\\[([^\\]|#]+)(?:[|#][^\\]]+)?\\]\\]', 1))) AS bigint) AS link_occurrences
+                  cast(sum(len(regexp_extract_all(content, '{LINK_PATTERN}', 1))) AS bigint) AS link_occurrences
            FROM notes n GROUP BY vault""",
         "tags", "tasks",
     ),
@@ -811,31 +841,40 @@ def daily_notes_from_events(spark, sf):
 @_query(
     "first_writer_wins",
     sql(
-        """SELECT u.seq AS seq, u.vault AS vault, u.path AS path,
-                  CASE WHEN u.expected = n.content_hash
-                        AND u.seq = min(u.seq) OVER (PARTITION BY u.vault, u.path, u.expected) THEN 'OK'
-                       ELSE 'HASH_MISMATCH' END AS status
-           FROM racing u LEFT JOIN notes n ON n.vault = u.vault AND n.path = u.path""",
+        """SELECT seq, vault, path,
+                  CASE WHEN now IS NULL THEN 'NOT_FOUND'
+                       WHEN free OR seq = min(CASE WHEN free OR expected = now THEN seq END) OVER (PARTITION BY vault, path)
+                       THEN 'OK' ELSE 'HASH_MISMATCH' END AS status
+           FROM (SELECT r.*, n.content_hash AS now, coalesce(trim(expected), '') = '' AS free
+                 FROM racing r LEFT JOIN notes n ON n.vault = r.vault AND n.path = r.path)""",
         "notes", "commands",
         extra="""racing AS (
-                   SELECT c.seq, c.vault, concat('Daily/', cast(c.day AS varchar), '.md') AS path,
-                          CASE WHEN c.overwrite THEN 'stale' ELSE m.content_hash END AS expected
+                   SELECT c.seq, c.vault, concat('Daily/', CASE WHEN c.seq % 11 = 0 THEN 'no-' ELSE '' END, cast(c.day AS varchar), '.md') AS path,
+                          CASE WHEN c.seq % 7 = 0 THEN 'stale' WHEN c.seq % 13 = 0 THEN ' ' WHEN c.seq % 17 = 0 THEN NULL
+                               ELSE m.content_hash END AS expected
                    FROM commands c JOIN notes m ON m.vault = c.vault AND m.path = concat('Daily/', cast(c.day AS varchar), '.md'))""",
     ),
 )
 def first_writer_wins(spark, sf):
-    """All of a day's events race to replace that day's note."""
+    """All of a day's events race to replace that day's note, some without a hash, some at a missing note."""
     notes, _, _ = _tables(spark, sf)
+    day, seq = derived.event_day().cast("string"), F.col("seq")
     racers = derived.table(spark, sf, "events").select(
         F.col("event_id").alias("seq"),
         derived.event_vault().alias("vault"),
-        F.concat(F.lit("Daily/"), derived.event_day().cast("string"), F.lit(".md")).alias("path"),
-        (F.col("event_id") % 7 == 0).alias("stale"),
+        F.concat(F.lit("Daily/"), day, F.lit(".md")).alias("path"),
+        F.concat(F.lit("Daily/no-"), day, F.lit(".md")).alias("missing"),
     )
     seen = notes.select("vault", "path", "content_hash")
     updates = racers.join(seen, ["vault", "path"]).select(
-        "seq", "vault", "path",
-        F.when(F.col("stale"), "stale").otherwise(F.col("content_hash")).alias("expected_hash"),
+        "seq",
+        "vault",
+        F.when(seq % 11 == 0, F.col("missing")).otherwise(F.col("path")).alias("path"),
+        F.when(seq % 7 == 0, "stale")
+        .when(seq % 13 == 0, " ")
+        .when(seq % 17 == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("content_hash"))
+        .alias("expected_hash"),
     )
     return cmd.first_writer_wins(notes, updates)
 
@@ -845,20 +884,16 @@ def first_writer_wins(spark, sf):
     sql(
         """SELECT n.vault AS vault,
                   CASE WHEN moves THEN concat('Archive/', n.path) ELSE n.path END AS path, n.content_hash AS content_hash
-           FROM (SELECT n.*, n.path NOT LIKE 'Daily/%' AND coalesce(NOT read_only, false) AS moves
+           FROM (SELECT n.*, coalesce(NOT read_only, false) AS moves
                  FROM notes n LEFT JOIN vaults v ON v.name = n.vault) n""",
         "notes", "vaults",
     ),
 )
 def move_notes(spark, sf):
-    """Everything but daily notes is moved to an archive folder."""
+    """Every note is moved to an archive folder."""
     notes, vaults, _ = _tables(spark, sf)
-    moves = notes.filter(~F.startswith("path", F.lit("Daily/"))).select(
-        F.shiftright(F.xxhash64("vault", "path"), 2).alias("seq"),
-        "vault",
-        "path",
-        F.concat(F.lit("Archive/"), "path").alias("dest"),
-    ).withColumn("seq", F.abs("seq"))
+    moves = notes.select("vault", "path", F.concat(F.lit("Archive/"), "path").alias("dest"))
+    moves = numbered(moves, "seq")
     return cmd.move_notes(notes, vaults, moves).notes.select("vault", "path", "content_hash")
 
 
@@ -866,20 +901,20 @@ def move_notes(spark, sf):
     "update_frontmatter",
     sql(
         r"""SELECT p.vault AS vault, p.path AS path,
-                   concat('{"tags":["', regexp_extract(block, 'tags: \[(.*), (.*)\]', 1), '","',
-                          regexp_extract(block, 'tags: \[(.*), (.*)\]', 2), '"],"status":"seen","events":',
-                          cast(e.n AS varchar), ',"last":"', e.last, '"}') AS properties,
-                   sha256(substring(content, length(block) + 9)) AS body_hash
+                   concat('{', CASE WHEN block <> '' THEN
+                            concat('"tags":["', regexp_extract(block, 'tags: \[(.*), (.*)\]', 1), '","',
+                                   regexp_extract(block, 'tags: \[(.*), (.*)\]', 2), '"],') ELSE '' END,
+                          '"status":"seen","events":', cast(e.n AS varchar), ',"last":"', e.last, '"}') AS properties,
+                   sha256(CASE WHEN block = '' THEN content ELSE substring(content, length(block) + 9) END) AS body_hash
             FROM properties p
             JOIN (SELECT concat('src', cast(user_id % 20 AS varchar)) AS vault, count(*) AS n,
                          arg_max(event_type, event_id) AS last FROM events GROUP BY 1) e ON e.vault = p.vault
-            JOIN vaults v ON v.name = p.vault AND NOT v.read_only
-            WHERE block <> ''""",
+            JOIN vaults v ON v.name = p.vault AND NOT v.read_only""",
         "properties", "vaults",
     ),
 )
 def update_frontmatter(spark, sf):
-    """Every document note gets its vault's event count and last event type."""
+    """Every note gets its vault's event count and last event type."""
     notes, vaults, _ = _tables(spark, sf)
     seen = (
         derived.table(spark, sf, "events")
@@ -890,9 +925,7 @@ def update_frontmatter(spark, sf):
     def pair(k, v):
         return F.struct(F.lit(k).alias("k"), v.alias("v"))
 
-    documents = derived.document_notes(spark, sf).select("vault", "path")
-    updates = documents.join(seen, "vault").select(
-        F.shiftright(F.xxhash64("vault", "path"), 2).alias("seq"),
+    updates = notes.select("vault", "path").join(seen, "vault").select(
         "vault",
         "path",
         F.array(
@@ -900,7 +933,8 @@ def update_frontmatter(spark, sf):
             pair("events", F.col("n").cast("string")),
             pair("last", fm.json_string(F.col("last"))),
         ).alias("properties"),
-    ).withColumn("seq", F.abs("seq"))
+    )
+    updates = numbered(updates, "seq")
     changed = properties.update_frontmatter(notes, vaults, updates).changes
     content = F.col("content")
     return changed.select(
@@ -922,6 +956,43 @@ def save_notes(spark, sf):
     return NoteStore(spark, place).notes().select("vault", "path", "content_hash")
 
 
+def _as_files(notes: DataFrame, place: str) -> DataFrame:
+    """Write notes as files below ``place``, which all tasks must reach; gives the vaults."""
+    folder = place.removeprefix("file://").removeprefix("file:")
+
+    def put(batches):
+        for batch in batches:
+            for vault, path, content in zip(batch["vault"], batch["path"], batch["content"], strict=True):
+                target = os.path.join(folder, vault, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+            yield batch[["vault"]].drop_duplicates()
+
+    written = notes.select("vault", "path", "content").mapInPandas(put, "vault string")
+    names = checkpoint(written.distinct())
+    return names.select(F.col("vault").alias("name"), F.concat(F.lit(f"{folder}/"), "vault").alias("path"))
+
+
+@_query("scan_notes", sql("SELECT vault, path, content_hash FROM notes", "notes"))
+def scan_notes(spark, sf):
+    """The corpus written as files and read back from the folders."""
+    vaults = _as_files(derived.notes(spark, sf), scratch(spark, "folders"))
+    return read_folders(spark, vaults).select("vault", "path", "content_hash")
+
+
+@_query(
+    "scan_trash",
+    sql("SELECT vault, concat('.trash/', replace(path, '/', '_')) AS path, content_hash FROM notes", "notes"),
+)
+def scan_trash(spark, sf):
+    """The corpus written into the trash folders and read back."""
+    notes = derived.notes(spark, sf)
+    binned = notes.withColumn("path", F.concat(F.lit(".trash/"), F.replace("path", F.lit("/"), F.lit("_"))))
+    vaults = _as_files(binned, scratch(spark, "folders"))
+    return read_trash(spark, vaults).select("vault", "path", "content_hash")
+
+
 def _run_stream(writer, place: str) -> None:
     """Take in all there is, then stop."""
     query = (
@@ -997,12 +1068,15 @@ def windowed_daily_notes(spark, sf):
 
 @_query(
     "stream_tag_counts",
-    sql("SELECT vault, tag, count(*) AS count FROM tags WHERE path NOT LIKE 'Daily/%' AND path NOT LIKE '__ - %' GROUP BY vault, tag", "tags"),
+    sql("SELECT vault, tag, count(*) AS count FROM tags GROUP BY vault, tag", "tags"),
 )
 def stream_tag_counts(spark, sf):
-    """Tag counts of the document notes kept by a stream."""
+    """Tag counts kept by a stream of all notes, several batches long."""
     place = scratch(spark, "stream-tags")
-    counts = streams.stream_tag_counts(derived.document_notes(spark, sf, streaming=True))
+    notes = derived.notes(spark, sf)
+    notes.repartition(3, "vault", "path").write.parquet(f"{place}/notes")
+    arriving = spark.readStream.schema(notes.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/notes")
+    counts = streams.stream_tag_counts(arriving)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/counts/batch={batch_id}")

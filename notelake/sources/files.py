@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
+from ..operators.checkpoints import checkpoint
 from ..operators.commands import TRASH_FOLDER
 
 _FOUND = "vault string, root string, path string, folder boolean"
@@ -49,24 +50,13 @@ def _children(root: str, folder: str) -> Iterator[tuple[str, bool]]:
                 yield path, False
 
 
-def _below(root: str, folder: str) -> Iterator[tuple[str, bool]]:
-    for path, is_folder in _children(root, folder):
-        if is_folder:
-            yield from _below(root, path)
-        else:
-            yield path, False
-
-
 def _walk(expand):
-    """Replace each folder row by what ``expand`` finds; pass file rows on."""
+    """Replace each folder row by what ``expand`` finds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
             for r in batch.itertuples(index=False):
-                if not r.folder:
-                    rows.append(tuple(r))
-                    continue
                 for path, is_folder in expand(r.root, r.path):
                     rows.append((r.vault, r.root, path, is_folder))
                     if len(rows) >= 10_000:
@@ -107,36 +97,35 @@ def _partitions(spark: SparkSession, asked: int | None) -> int:
     )
 
 
-def list_files(
-    spark: SparkSession, vaults: DataFrame, partitions: int | None = None, spread_levels: int = 3
-) -> DataFrame:
+def list_files(spark: SparkSession, vaults: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(vault, root, path)`` of every note file below the vaults' folders.
 
-    ``spread_levels`` levels of folders are listed one shuffle at a time; deeper
-    trees are walked by the task that holds their top.
+    Folders are listed one level at a time, as many levels as there are, each spread over
+    all tasks; a level is checkpointed, so no folder is listed twice.
     """
     n = _partitions(spark, partitions)
-    found = vaults.select(
+    level = vaults.select(
         F.col("name").alias("vault"),
         F.col("path").alias("root"),
         F.lit("").alias("path"),
         F.lit(True).alias("folder"),
     )
-    for _ in range(spread_levels):
-        found = found.repartition(n, "vault", "path").mapInPandas(_walk(_children), _FOUND)
-    found = found.repartition(n, "vault", "path").mapInPandas(_walk(_below), _FOUND)
-    return found.select("vault", "root", "path")
+    files = None
+    while files is None or not level.isEmpty():
+        listed = checkpoint(level.repartition(n, "vault", "path").mapInPandas(_walk(_children), _FOUND))
+        found = listed.filter(~F.col("folder")).select("vault", "root", "path")
+        files = found if files is None else files.unionByName(found)
+        level = listed.filter("folder")
+    return files
 
 
-def scan_notes(
-    spark: SparkSession, vaults: DataFrame, partitions: int | None = None, spread_levels: int = 3
-) -> DataFrame:
+def scan_notes(spark: SparkSession, vaults: DataFrame, partitions: int | None = None) -> DataFrame:
     """All notes ``(vault, path, content, content_hash)`` below the vaults' folders.
 
     Set ``partitions`` so that each holds at most a few hundred megabytes of text.
     """
     n = _partitions(spark, partitions)
-    return _read_found(list_files(spark, vaults, n, spread_levels), n)
+    return _read_found(list_files(spark, vaults, n), n)
 
 
 def _trash_entries(root: str, _folder: str) -> Iterator[tuple[str, bool]]:

@@ -4,6 +4,7 @@
 
     <path>/snapshot=<n>/vault=<vault>/*.parquet     all notes after batch n
     <path>/batch=<n>/kind=<kind>/*.parquet          outcome of command batch n
+    <path>/claim=<n>/<writer>                       who has taken number n for a batch to come
 
 A directory counts once its ``_SUCCESS`` mark is there, and no directory is ever
 written while it is being read.  A batch stores only what it changed, so applying
@@ -20,15 +21,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema as S
 from ..operators.commands import OUTCOME, Applied, merge_changes
 
-def _finished(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the finished ``<prefix>=<n>`` directories, ascending."""
+def _found(spark: SparkSession, path: str, prefix: str, name: str) -> list[int]:
+    """Numbers of the ``<prefix>=<n>`` directories that hold a file of this name, ascending."""
     jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}=*/_SUCCESS")
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}=*/{name}")
     fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(pattern) or []
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
 
+def _finished(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the finished ``<prefix>=<n>`` directories, ascending."""
+    return _found(spark, path, prefix, "_SUCCESS")
+
+
+def _next_number(spark: SparkSession, path: str) -> int:
+    """Above all numbers that snapshots, batches and claims of the store have."""
+    used = [n for prefix in ("snapshot", "batch") for n in _finished(spark, path, prefix)]
+    return max(used + _found(spark, path, "claim", "*"), default=-1) + 1
+
+
 def save_notes(notes: DataFrame, path: str, number: int | None = None) -> int:
     """Write all notes as a fresh snapshot and return its number.
 
@@ -37,8 +49,7 @@ def save_notes(notes: DataFrame, path: str, number: int | None = None) -> int:
     """
     spark = notes.sparkSession
     if number is None:
-        used = _finished(spark, path, "snapshot") + _finished(spark, path, "batch")
-        number = max(used, default=-1) + 1
+        number = _next_number(spark, path)
     (
         notes.select("vault", "path", "content", "content_hash")
         .hint("rebalance", "vault")
@@ -102,11 +113,25 @@ class NoteStore:
         rows = self._outcome(numbers).filter(F.col("kind") == "result")
         return rows.select("batch", "seq", "vault", "path", "content_hash", "status")
 
+    def claim(self, writer: str) -> int:
+        """The number of this writer's batch: the one it has, or the next free one."""
+        has = _found(self.spark, self.path, "claim", writer)
+        if has:
+            return has[-1]
+        number = _next_number(self.spark, self.path)
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claim={number}/{writer}")
+        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, False).close()
+        return number
+
+    def folded(self, number: int) -> bool:
+        """Whether a snapshot holds the batch of this number."""
+        start = self._snapshot(None)
+        return start is not None and number <= start
+
     def append(self, applied: Applied, number: int | None = None) -> int:
         """Store what a batch did.  The same number again replaces it."""
         if number is None:
-            used = _finished(self.spark, self.path, "snapshot") + self._batches(-1, None)
-            number = max(used, default=-1) + 1
+            number = _next_number(self.spark, self.path)
         applied.outcome.write.mode("overwrite").partitionBy("kind").parquet(
             f"{self.path}/batch={number}"
         )

@@ -14,14 +14,18 @@ from ..sources.tables import NoteStore
 def stream_commands(commands: DataFrame, store: NoteStore, vaults: DataFrame, **limits) -> DataStreamWriter:
     """Apply a stream of commands to a stored note table, batch by batch.
 
-    Each micro-batch is applied in ``seq`` order to the notes before it and
-    stored under its own number, so a replayed batch replaces its own outcome.
-    The caller adds trigger and checkpoint location and starts the writer.
+    Each micro-batch is applied in ``seq`` order to the notes before it and stored under
+    the next free number of the store, which is kept with the query's id and the batch's
+    number: only a replay of the same batch of the same query gets that number again and
+    replaces its outcome.  The caller adds trigger and checkpoint location and starts the writer.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        number = batch_id + 1  # number 0 is left to the first snapshot
         here = NoteStore(batch.sparkSession, store.path)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        number = here.claim(f"{query}-{batch_id}")
+        if here.folded(number):
+            return  # a replay of what a snapshot holds already
         batch.persist()
         try:
             applied = apply_commands(

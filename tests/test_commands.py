@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import model
 from notelake.operators import commands as cmd
@@ -36,7 +37,7 @@ def test_command_sequence(make_notes, make_vaults, make_commands):
 @pytest.mark.parametrize("hot", [False, True])
 def test_racing_updates_have_one_winner(make_notes, make_vaults, make_commands, hot):
     expected = model.sha("start")
-    limits = dict(fold_commands=3, block_size=4) if hot else {}
+    limits = dict(fold_commands=3, blocks=4) if hot else {}
     applied = cmd.apply_commands(
         make_notes([("v", "a.md", "start")]),
         None,
@@ -176,11 +177,11 @@ PLAIN = ["create", "update", "update", "append", "append", "append_daily", "dele
     "seed,ops,names,limits",
     [
         (1, PLAIN, ["a.md", "b.md", "x/a.md"], {}),
-        (2, PLAIN, ["a.md", "b.md", "x/a.md"], dict(fold_commands=5, block_size=7)),
-        (3, PLAIN, ["a.md"], dict(fold_commands=0, block_size=3)),
-        (4, ["update", "append", "append"], ["a.md", "b.md"], dict(fold_commands=2, block_size=5)),
+        (2, PLAIN, ["a.md", "b.md", "x/a.md"], dict(fold_commands=5, blocks=7)),
+        (3, PLAIN, ["a.md"], dict(fold_commands=0, blocks=3)),
+        (4, ["update", "append", "append"], ["a.md", "b.md"], dict(fold_commands=2, blocks=5)),
         (5, PLAIN + ["move", "move"], ["a.md", "b.md", "x//a.md", "c.md", "d.md"], {}),
-        (6, PLAIN + ["move"], ["a.md", "b.md", "c.md"], dict(fold_commands=2, block_size=3)),
+        (6, PLAIN + ["move"], ["a.md", "b.md", "c.md"], dict(fold_commands=2, blocks=3)),
     ],
 )
 def test_against_sequential_model(spark, make_notes, make_vaults, make_commands, seed, ops, names, limits):
@@ -202,3 +203,22 @@ def test_against_sequential_model(spark, make_notes, make_vaults, make_commands,
     assert got[2] == expected[2]
     assert got[0] == expected[0]
     assert got[1] == expected[1]
+
+
+def test_null_keys_and_racing_writers(spark, make_notes, make_vaults, make_commands):
+    notes, vaults = make_notes([("v", "a.md", "A")]), make_vaults("v")
+    applied = cmd.apply_commands(notes, None, vaults, make_commands({"vault": "v", "op": "create", "body": "x"}))
+    assert [(r.path, r.status) for r in applied.results.collect()] == [(None, "TRAVERSAL")]
+    assert applied.notes.count() == 1
+    entries = spark.createDataFrame([(1, "v", None, "x")], "seq bigint, vault string, day date, body string")
+    assert [r.status for r in cmd.append_daily_notes(notes, vaults, entries).results.collect()] == ["TRAVERSAL"]
+    sha = model.sha("A")
+    rows = [
+        (1, "v", "a.md", "stale"), (2, "v", "a.md", sha), (3, "v", "a.md", sha), (4, "v", "a.md", ""), (5, "v", "a.md", None),
+        (6, "v", "none.md", sha), (7, "v", "none.md", None),
+    ]
+    updates = spark.createDataFrame(rows, "seq bigint, vault string, path string, expected_hash string")
+    got = {r.seq: r.status for r in cmd.first_writer_wins(notes, updates).collect()}
+    assert got == {1: "HASH_MISMATCH", 2: "OK", 3: "HASH_MISMATCH", 4: "OK", 5: "OK", 6: "NOT_FOUND", 7: "NOT_FOUND"}
+    late = cmd.first_writer_wins(notes, updates.filter("seq in (3, 4)").withColumn("seq", 7 - F.col("seq")))
+    assert {r.seq: r.status for r in late.collect()} == {3: "OK", 4: "HASH_MISMATCH"}

@@ -3,8 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import Window, functions as F
 
+from notelake.functions import frontmatter
 from notelake.operators import corpus, graph, project, tags
+from notelake.operators.commands import apply_commands
 from notelake.plans import derived
 from notelake.sources.tables import NoteStore, save_notes
 
@@ -24,10 +27,14 @@ def exchanges(text):
     return len(re.findall(r"\bExchange\b", text))
 
 
-def test_search_ranks_in_each_task_first(stored):
-    text = plan(corpus.search_notes(stored, "the", directory="Daily"))
+def test_search_ranks_names_only_and_parses_once(stored):
+    hits = corpus._hits(corpus.in_directory(stored, "Daily"), "the", "vault", "path")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("vault").orderBy("path"))).filter("rank <= 20")
+    text = plan(ranked)
     assert "Partial" in text and text.count("WindowGroupLimit") == 2 and exchanges(text) == 1
     assert "StringStartsWith(path,Daily/)" in text
+    once = plan(stored.select(frontmatter.frontmatter_text("content")))
+    assert 0 < text.count("regexp_extract_all") <= once.count("regexp_extract_all")
 
 
 def test_tag_counts_combine_before_the_shuffle(stored):
@@ -62,3 +69,24 @@ def test_reading_few_notes_leaves_the_corpus_in_place(stored, make_vaults, spark
     text = plan(corpus.read_notes(stored, make_vaults("src1"), asked))
     joins = [line for line in text[: text.index("FileScan")].splitlines() if "Join" in line]
     assert "BroadcastHashJoin" in joins[-1]
+
+
+def test_moves_read_the_notes_once(spark, make_notes, make_vaults, make_commands):
+    """One read of the touched notes for one move and for a chain of many."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    plain = make_notes([("v", f"n{i:02d}.md", str(i)) for i in range(30)])
+    notes = plain.mapInPandas(count, plain.schema)
+    read = []
+    for moves in (1, 6):
+        chain = [{"vault": "v", "op": "move", "path": f"m{i}.md" if i else "n00.md", "dest": f"m{i + 1}.md"} for i in range(moves)]
+        before = seen.value
+        applied = apply_commands(notes, None, make_vaults("v"), make_commands(*chain))
+        assert {r.status for r in applied.results.collect()} == {"OK"}
+        read.append(seen.value - before)
+    assert read == [30, 30]

@@ -12,7 +12,7 @@ def one(spark, column, value):
 
 
 NOTES = [
-        ("---\ntags: [important]\nstatus: open\n---\nText.", {"tags": ["important"], "status": "open"}, ["important"]),
+        ("---\ntags: [mast]\ncrew: four\n---\nText.", {"tags": ["mast"], "crew": "four"}, ["mast"]),
         ("no block", {}, []),
         ("---\n---\nempty block", {}, []),
         ("---\r\ntags: '#one, two'\r\n---\r\nx", {"tags": "#one, two"}, ["one", "two"]),
@@ -42,13 +42,37 @@ def test_read(spark):
         assert row.error is False and row.tags == tags, note
 
 
-UNREADABLE = ["---\na:\n  b: 1\n---\nx", "---\na: 1\na: 2\n---\n", "---\nnever closed", "---\na: |\n  x\n---\n",
-     "---\n- just\n- a list\n---\n", "---\na: b: c\n---\n", "---\nplain text\n---\n"]
+NESTED = [
+    ("---\nauthor:\n  name: B\n  born: 1902\n  'odd key': [x, 2]\ntags: [keep]\n---\nx",
+     {"author": {"name": "B", "born": 1902, "odd key": ["x", 2]}, "tags": ["keep"]}, ["keep"]),
+    ("---\nsummary: |\n  first line\n    # no comment\n\n  last: line\ntags: [keep]\n---\n",
+     {"summary": "first line\n  # no comment\n\nlast: line\n", "tags": ["keep"]}, ["keep"]),
+    ("---\nfolded: >-\n  one\n  two\n\n  three\ntags:\n- keep\n---\n", {"folded": "one two\nthree", "tags": ["keep"]}, ["keep"]),
+    ("---\ntags: [a,\n  b,\n  'c d'\n  ]\nn: 1\n---\n", {"tags": ["a", "b", "c d"], "n": 1}, ["a", "b", "c", "d"]),
+    ("---\nm:\n  day: 2026-01-02\n  # between\n  e:\n---\n", {"m": {"day": "2026-01-02T00:00:00.000Z", "e": None}}, []),
+]
+
+
+def test_nested_values(spark):
+    for (note, properties, tags), row in zip(NESTED, read(spark, [n for n, _, _ in NESTED])):
+        assert json.loads(row.text) == properties, note
+        assert row.error is False and row.tags == tags, note
+
+
+# What cannot be read is left out by itself and flagged.
+ODD = [
+    ("---\na:\n  b:\n    c: 1\ntags: [keep]\n---\nx", {"tags": ["keep"]}),
+    ("---\na: 1\na: 2\ntags: [keep]\n---\n", {"a": 1, "tags": ["keep"]}),
+    ("---\nnever closed", {}),
+    ("---\n- just\n- a list\n---\n", {}),
+    ("---\na: b: c\ntags: [keep]\n---\n", {"tags": ["keep"]}),
+    ("---\nplain text\ntags: [keep]\n---\n", {"tags": ["keep"]}),
+]
 
 
-def test_unreadable_blocks_are_flagged(spark):
-    for note, row in zip(UNREADABLE, read(spark, UNREADABLE)):
-        assert (row.text, row.error, row.tags) == ("{}", True, []), note
+def test_odd_entries_hide_no_others(spark):
+    for (note, want), row in zip(ODD, read(spark, [n for n, _ in ODD])):
+        assert (json.loads(row.text), row.error, row.tags) == (want, True, want.get("tags", [])), note
 
 
 def test_body(spark):
@@ -61,6 +85,7 @@ def test_flatten_tags(spark):
     for value, want in [
         ('"a, #b  ##c"', ["a", "b", "#c"]), ('[["x"],["y z"]]', ["x", "y", "z"]), ("2", []),
         ("null", []), ('{"a":"b"}', []), ('[1,true,null,"k"]', ["k"]), ('"#"', [""]), ('[{"m":["{x}"]},"n"]', ["n"]),
+        ("[" + '{"k":[' * 12 + '"k"' + "]}" * 12 + ',"n"]', ["n"]),
     ]:
         assert one(spark, fm.flatten_tags, value) == want, value
 
@@ -72,21 +97,21 @@ def commands(spark, rows):
 
 def test_merge_keeps_body_and_order(spark, make_notes, make_vaults):
     notes = make_notes([
-        ("v", "a.md", "---\ntags: [one]\nstatus: open\nday: 2026-01-02\n---\nBody stays here."),
+        ("v", "a.md", "---\ntags: [hull]\nstage: wet\nday: 2026-01-02\n---\nPlanks and pitch."),
         ("v", "plain.md", "Only text"),
-        ("v", "odd.md", "---\na:\n  b: c\n---\n"),
+        ("v", "odd.md", "---\na:\n  b:\n    c: d\nstage: wet\n---\nx"), ("v", "open.md", "---\na: b\n"),
     ])
-    done = [("status", '"done"'), ("aliases", '["n", "m"]')]
+    done = [("stage", '"dry"'), ("berths", '["n", "m"]')]
     applied = update_frontmatter(
         notes, make_vaults("v", "locked", read_only=("locked",)),
         commands(spark, [
-            (1, "v", "a.md", done), (2, "v", "a.md", [("aliases", "null"), ("new key:", "1"), ("aliases", "2")]),
-            (3, "v", "plain.md", done), (4, "v", "odd.md", done), (5, "v", "none.md", done), (6, "locked", "a.md", done),
+            (1, "v", "a.md", done), (2, "v", "a.md", [("berths", "null"), ("new key:", "1"), ("berths", "2")]),
+            (3, "v", "plain.md", done), (4, "v", "odd.md", done), (7, "v", "open.md", done), (5, "v", "none.md", done), (6, "locked", "a.md", done),
         ]),
     )
     results = {r.seq: r for r in applied.results.collect()}
-    assert [results[i].status for i in range(1, 7)] == [
-        "OK", "OK", "OK", "UNREADABLE_FRONTMATTER", "NOT_FOUND", "READ_ONLY",
+    assert [results[i].status for i in range(1, 8)] == [
+        "OK", "OK", "OK", "OK", "NOT_FOUND", "READ_ONLY", "UNREADABLE_FRONTMATTER",
     ]
     after = applied.notes.select(
         "path", "content", "content_hash", fm.frontmatter_text(F.col("content")).alias("p"),
@@ -94,12 +119,13 @@ def test_merge_keeps_body_and_order(spark, make_notes, make_vaults):
     ).collect()
     rows = {r.path: r for r in after}
     assert rows["a.md"].p == (
-        '{"tags":["one"],"status":"done","day":"2026-01-02T00:00:00.000Z","aliases":2,"new key:":1}'
+        '{"tags":["hull"],"stage":"dry","day":"2026-01-02T00:00:00.000Z","berths":2,"new key:":1}'
     )
-    assert rows["a.md"].body == "Body stays here."
+    assert rows["a.md"].body == "Planks and pitch."
     assert rows["a.md"].content_hash == results[2].content_hash != results[1].content_hash
-    assert rows["plain.md"].p == '{"status":"done","aliases":["n","m"]}' and rows["plain.md"].body == "Only text"
-    assert rows["odd.md"].content == "---\na:\n  b: c\n---\n"
+    assert rows["plain.md"].p == '{"stage":"dry","berths":["n","m"]}' and rows["plain.md"].body == "Only text"
+    assert rows["odd.md"].content == '---\na:\n  b:\n    c: d\nstage: "dry"\nberths: ["n", "m"]\n---\nx'
+    assert rows["open.md"].content == "---\na: b\n"
 
 
 def test_many_updates_equal_one_by_one(spark, make_notes, make_vaults):
@@ -109,7 +135,7 @@ def test_many_updates_equal_one_by_one(spark, make_notes, make_vaults):
     notes = make_notes([("v", "hot.md", "---\nx3: no\n---\nbody"), ("v", "cold.md", "c")])
     together = update_frontmatter(notes, make_vaults("v"), commands(spark, rows))
     cut = update_frontmatter(
-        notes, make_vaults("v"), commands(spark, rows), fold_commands=5, block_size=10
+        notes, make_vaults("v"), commands(spark, rows), fold_commands=5, blocks=10
     )
     held = {"x3": "no"}
     for _, _, _, properties in rows[:-1]:

@@ -35,7 +35,7 @@ def folder(tmp_path):
 
 def test_scan(spark, folder, tmp_path):
     vaults = spark.createDataFrame([("v", str(folder))], "name string, path string")
-    rows = {r.path: r for r in scan_notes(spark, vaults, 4, spread_levels=2).collect()}
+    rows = {r.path: r for r in scan_notes(spark, vaults, 4).collect()}
     assert set(rows) == {
         "Sub/a.md", "a/b/c/d/e/f.md", "_b.md", "_under/e.md", ".g.md", "UP.MD", "dir.md/n.md",
         "empty.md", "bad.md", "bom.md",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import model
 from notelake import schema as S
+from notelake.operators.commands import apply_commands
 from notelake.plans import derived
 from notelake.sources.tables import NoteStore, save_notes
 from notelake.streaming import streams
@@ -32,6 +33,39 @@ def run(writer, checkpoint):
     assert query.exception() is None
 
 
+def replay(checkpoint, batch):
+    """Forget that a batch was committed."""
+    for name in (str(batch), f".{batch}.crc"):
+        file = checkpoint / "commits" / name
+        if file.exists():
+            file.unlink()
+
+
+def test_no_writer_replaces_what_another_stored(spark, tmp_path, make_notes, make_vaults):
+    def appends(seq, body):
+        return [{"seq": seq, "vault": "v", "op": "append", "path": "a.md", "body": body}]
+
+    def stored():
+        return store.notes().first().content
+
+    vaults = make_vaults("v")
+    store = NoteStore(spark, str(tmp_path / "store"))
+    save_notes(make_notes([("v", "a.md", "A")]), store.path)
+    names = [f.name for f in S.COMMANDS.fields]
+    batch = spark.createDataFrame([tuple(c.get(n) for n in names) for c in appends(1, "+batch")], S.COMMANDS)
+    store.append(apply_commands(store.notes(), store.trash(), vaults, batch))
+    for name, body in (("one", "+first"), ("two", "+second")):
+        (tmp_path / name).mkdir()
+        stream = feed(spark, tmp_path / name, appends(1, body), 1)
+        run(streams.stream_commands(stream, store, vaults), tmp_path / f"cp-{name}")
+    assert stored() == "A+batch+first+second"
+    store.compact()
+    save_notes(store.notes(), store.path)
+    (tmp_path / "three").mkdir()
+    run(streams.stream_commands(feed(spark, tmp_path / "three", appends(1, "+third"), 1), store, vaults), tmp_path / "cp-three")
+    assert stored() == "A+batch+first+second+third"
+
+
 def test_commands_in_one_or_many_batches(spark, tmp_path, make_notes, make_vaults):
     notes, vaults, batch = random_batch(random.Random(11), 40, PLAIN, ["a.md", "b.md", "x/a.md"])
     want = model.run(notes, vaults, batch)
@@ -45,8 +79,15 @@ def test_commands_in_one_or_many_batches(spark, tmp_path, make_notes, make_vault
         assert {(r.vault, r.path): r.content for r in store.trash().collect()} == want[1]
         results = {r.seq: (r.vault, r.path, r.content_hash, r.status) for r in store.results().collect()}
         assert results == want[2]
-        # a replay under the same numbers leaves the same state
-        run(streams.stream_commands(stream, store, table), tmp_path / f"again{parts}")
+        # the last batch once more, as after a lost commit: it replaces its own outcome
+        replay(tmp_path / f"cp{parts}", parts - 1)
+        run(streams.stream_commands(stream, store, table), tmp_path / f"cp{parts}")
+        assert {(r.vault, r.path): r.content for r in store.notes().collect()} == want[0]
+        assert store.results().count() == len(results)
+        # ... and nothing if a snapshot holds it already
+        store.compact()
+        replay(tmp_path / f"cp{parts}", parts - 1)
+        run(streams.stream_commands(stream, store, table), tmp_path / f"cp{parts}")
         assert {(r.vault, r.path): r.content for r in store.notes().collect()} == want[0]
 
 
