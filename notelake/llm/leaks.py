@@ -17,7 +17,7 @@ STRIDE = 48
 RATE = 0.05  # edits allowed per code point
 LEAST = 24  # reserved texts with fewer code points than this are no passages
 QGRAMS = (16, 8, 4, 2, 1)
-BLOCK = 4 << 20  # code points of reserved text looked for at once
+BLOCK = 1 << 20  # code points of reserved text looked for at once; its index takes about 50 MB
 
 LEAKS = (
     "vault string, path string, reserved_vault string, reserved_path string, passages int, found int, "
