@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,27 +15,30 @@ from notelake.llm import common
 from notelake.llm.suffixes import equal_neighbours, suffix_array
 
 LENGTH = 100  # bytes of a repeated string
-GRAM = 64  # bytes hashed at an anchor, a power of two below LENGTH
+GRAM = 32  # bytes hashed at an anchor, a power of two below LENGTH
 SORTED = 1 << 20  # bytes in one suffix array, about
 CROWD = 4096  # different surroundings of one anchor in a suffix array; beyond, windows are shuffled one by one
 
-KEY = "vault string, path string, tie bigint"
+KEY = "vault string, path string, tie int"
+_KEY = ["vault", "path", "tie"]
 
 
-def anchors(flat: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in ``flat``) and hashes of the least gram of every window of ``length`` bytes of a text.
-
-    Equal windows have equal least grams at the same places in them.
-    """
-    n, width = len(flat), length - gram + 1
-    if n < length:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+def gram_hashes(flat: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each place on."""
     h, size = common.mix64(flat.astype(np.uint64) + np.uint64(1)), 1
     with np.errstate(over="ignore"):
         while size < gram:
             h = h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size) + (h[size:] ^ (h[size:] >> np.uint64(31)))
             size *= 2
-    h = np.maximum(common.mix64(h), np.uint64(1))
+    return np.maximum(common.mix64(h), np.uint64(1))
+
+
+def anchors(h: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Places of the least gram of every window of ``length`` bytes of a text.
+
+    Equal windows have equal least grams at the same places in them.
+    """
+    n, width = len(h) + gram - 1, length - gram + 1
     least, span = h, 1
     while span < width:
         step = min(span, width - span)
@@ -52,81 +56,129 @@ def anchors(flat: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
         step = min(span, width - span)
         most = np.maximum(most[:-step], most[step:])
         span += step
-    place = np.flatnonzero(most == h)
-    return place, h[place]
+    return np.flatnonzero(most == h)
+
+
+ANCHORS = f"h bigint, ch bigint, {KEY}, begin bigint, end bigint"
 
 
 def _anchor_rows(length: int, gram: int):
+    """Anchors ``h`` with where the windows that hold them lie and a hash ``ch`` of all these bytes."""
+    reach = length - gram
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "content", 2 << 20):
-            flat, at = common.utf8(batch.column(0))
-            place, h = anchors(flat, at, length, gram)
+            flat, at = common.utf8(batch.column(3))
+            place, h = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+            if len(flat) >= length:
+                h = gram_hashes(flat, gram)
+                place = anchors(h, at, length, gram)
             owner = np.searchsorted(at, place, side="right") - 1
+            begin, end = np.maximum(at[owner], place - reach), np.minimum(at[owner + 1], place + gram + reach)
+            ch = (end - begin).astype(np.uint64) << np.uint64(32) | (place - begin).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                for step in range(0, gram + 2 * reach, gram):
+                    ch = common.mix64(ch * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(begin + step, end - gram)])
+            who = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(batch.column(1).to_numpy()[owner]), pa.array((place - at[owner]).astype(np.int64))],
-                names=["h", "note", "pos"],
+                [pa.array(h[place].view(np.int64)), pa.array(ch.view(np.int64))]
+                + [batch.column(i).take(who) for i in range(3)]
+                + [pa.array(begin - at[owner]), pa.array(end - at[owner])],
+                names=["h", "ch", "vault", "path", "tie", "begin", "end"],
             )
 
     return run
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of h, those whose h occurs more than once."""
-    held: pa.RecordBatch | None = None
-    known = False  # whether the held row's h has occurred before it
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        if held is not None:
-            batch = pa.concat_batches([held, batch])
-        h = batch.column(0).to_numpy()
-        same = h[1:] == h[:-1]
-        before = np.concatenate([[known], same])
-        keep = before[:-1] | same
-        held, known = batch.slice(batch.num_rows - 1), bool(before[-1])
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep))
-    if held is not None and known:
-        yield held
+#: kind 0: all windows there are earlier elsewhere; 1: they may be, the bytes have to be compared; 2: so, around a crowded anchor.
+MARKED = f"kind tinyint, h bigint, {KEY}, begin bigint, end bigint"
 
 
-FOUND = f"{KEY}, h bigint, ch bigint, begin bigint, end bigint, around binary"
+def _like_before(batch: pa.RecordBatch, columns) -> np.ndarray:
+    """Whether each row but the first equals the one before it in these columns."""
+    same = np.ones(max(0, batch.num_rows - 1), dtype=bool)
+    for k in columns:
+        column = batch.column(k)
+        same &= pc.equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+    return same
 
 
-def _surroundings(length: int, gram: int):
-    """Around each repeated anchor all bytes of windows that hold it; ``around`` is NULL where the stretch repeats already."""
-    reach = length - gram
+def _marked(crowd: int):
+    """Of anchors in order of h, ch, note and place: what repeats, and what differs around one anchor."""
+
+    def rows(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        kinds = pa.array(np.full(batch.num_rows, kind, dtype=np.int8))
+        return pa.RecordBatch.from_arrays([kinds, batch.column(0), *batch.columns[2:]], names=[f.split()[0] for f in MARKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "content", 2 << 20):
-            flat, at = common.utf8(batch.column(batch.schema.get_field_index("content")))
-            whole = flat.tobytes()
-            vaults, paths, ties = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("vault", "path", "tie"))
-            marks = batch.column(batch.schema.get_field_index("marks")).to_pylist()
-            order = sorted(range(batch.num_rows), key=lambda i: (vaults[i], paths[i], ties[i]))
-            seen: dict[tuple[int, bytes], bool] = {}
-            rows, done = [], None
-            for i in order:
-                if done == (vaults[i], paths[i], ties[i]):
-                    continue  # a repeated row is the same note
-                done = (vaults[i], paths[i], ties[i])
-                start, size = int(at[i]), int(at[i + 1] - at[i])
-                for mark in sorted(set((m["pos"], m["h"]) for m in marks[i])):
-                    pos, h = mark
-                    begin, end = max(0, pos - reach), min(size, pos + gram + reach)
-                    if end - begin < length:
-                        continue
-                    around = whole[start + begin : start + end]
-                    # Here already before, with the same bytes around: all of it repeats.
-                    again = (h, around) in seen
-                    seen[h, around] = True
-                    ch = int.from_bytes(hashlib.blake2b(around, digest_size=8).digest(), "little", signed=True)
-                    rows.append((*done, h, ch, begin, end, None if again else around))
-            yield _batch(rows, FOUND)
+        held: list[pa.RecordBatch] = []  # the first rows of the surroundings of the last anchor so far
+        kept, last, spot = 0, None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            h, ch = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.concatenate([[last is None or last != (h[0], ch[0])], (h[1:] != h[:-1]) | (ch[1:] != ch[:-1])])
+            # A repeated row of a note is no later occurrence.
+            same = np.concatenate([[spot == tuple(batch.column(k)[0].as_py() for k in range(2, 6))], _like_before(batch, range(2, 6))])
+            spot = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in range(2, 6))
+            yield rows(batch.filter(pa.array(~new & ~same)), 0)
+            firsts = batch.filter(pa.array(new))
+            fh = h[new]
+            if held and (not len(fh) or fh[0] != last[0]) and h[0] != last[0]:
+                if kept > 1:
+                    yield from (rows(b, 2 if kept > crowd else 1) for b in held)
+                held, kept = [], 0
+            last = (h[-1], ch[-1])
+            if not len(fh):
+                continue
+            edge = np.append(np.flatnonzero(np.concatenate([[True], fh[1:] != fh[:-1]])), len(fh))
+            size = np.diff(edge)
+            if held and fh[0] != held[-1].column(0)[0].as_py():
+                if kept > 1:
+                    yield from (rows(b, 2 if kept > crowd else 1) for b in held)
+                held, kept = [], 0
+            if held:
+                # The anchor of the batch before goes on.
+                held.append(firsts.slice(0, int(size[0])))
+                kept += int(size[0])
+                if len(size) == 1:
+                    if kept > 2 * crowd:
+                        yield from (rows(b, 2) for b in held)
+                        held = [held[-1].slice(held[-1].num_rows - 1)]
+                    continue
+                if kept > 1:
+                    yield from (rows(b, 2 if kept > crowd else 1) for b in held)
+                held, kept = [], 0
+                edge, size = edge[1:], size[1:]
+            whole = np.repeat(size, size)[: int(edge[-2] - edge[0])]
+            inner = firsts.slice(int(edge[0]), int(edge[-2] - edge[0]))
+            yield rows(inner.filter(pa.array((whole > 1) & (whole <= crowd))), 1)
+            yield rows(inner.filter(pa.array(whole > crowd)), 2)
+            held, kept = [firsts.slice(int(edge[-2]))], int(size[-1])
+        if kept > 1:
+            yield from (rows(b, 2 if kept > crowd else 1) for b in held)
 
     return run
 
 
-_TYPES = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+FOUND = f"kind tinyint, h bigint, {KEY}, begin bigint, end bigint, around binary"
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the stretches to compare."""
+    for batch in common.pieces(batches, "content", 2 << 20):
+        flat, at = common.utf8(batch.column(3))
+        whole, rows = flat.tobytes(), []
+        marks = batch.column(4).to_pylist()
+        for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            start = int(at[i])
+            rows += [
+                (m["kind"], m["h"], *key, m["begin"], m["end"], whole[start + m["begin"] : start + m["end"]]) for m in marks[i]
+            ]
+        yield _batch(rows, FOUND)
+
+
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "tinyint": pa.int8(), "binary": pa.binary()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -135,40 +187,21 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-SPANS = f"{KEY}, begin bigint, end bigint, around binary"
+SPANS = f"{KEY}, begin bigint, end bigint"
 
 
 class _Sorter:
-    """Finds repeated windows among surroundings that come in order of ``h``, then of their notes and places."""
+    """Finds repeated windows among surroundings, those of an anchor one after the other."""
 
-    def __init__(self, length: int, crowd: int):
-        self.length, self.crowd = length, crowd
-        self.group: dict[bytes, tuple] = {}  # different surroundings of the present anchor, first occurrences
-        self.crowded = False
+    def __init__(self, length: int):
+        self.length = length
         self.waiting: list[tuple] = []
         self.size = 0
 
-    def close_group(self) -> list[tuple]:
-        out = []
-        if len(self.group) > 1 and not self.crowded:
-            self.waiting += [(*key, around) for around, key in self.group.items()]
-            self.size += sum(len(a) + 1 for a in self.group)
-            if self.size >= SORTED:
-                out = self.sort()
-        self.group, self.crowded = {}, False
-        return out
-
-    def add(self, key: tuple, begin: int, end: int, around: bytes) -> list[tuple]:
-        if around in self.group:
-            return [(*key, begin, end, None)]
-        self.group[around] = (*key, begin)
-        if self.crowded:
-            return [(*key, begin, end, around)]
-        if len(self.group) > self.crowd:
-            # Windows of a crowded anchor are compared elsewhere, one by one.
-            self.crowded = True
-            return [(*k[:3], k[3], k[3] + len(a), a) for a, k in self.group.items()]
-        return []
+    def add(self, rows: list[tuple]) -> list[tuple]:
+        self.waiting += rows
+        self.size += sum(len(r[4]) + 1 for r in rows)
+        return self.sort() if self.size >= SORTED else []
 
     def sort(self) -> list[tuple]:
         """Stretches of the waiting surroundings that occur earlier among them."""
@@ -201,25 +234,22 @@ class _Sorter:
             tails = np.append(heads[1:], len(again)) - 1
             for a, b in zip(again[heads].tolist(), again[tails].tolist(), strict=True):
                 w, shift = waiting[owner[a]], int(place[a]) - a
-                out.append((*w[:3], a + shift, b + shift + length, None))
+                out.append((*w[:3], a + shift, b + shift + length))
         return out
 
 
-def _sorted_spans(length: int, crowd: int):
+def _sorted_spans(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorter, present, last = _Sorter(length, crowd), None, None
+        sorter, group, present = _Sorter(length), {}, None
         for batch in batches:
             out = []
-            for vault, path, tie, h, _, begin, end, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, *row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5, 7)), strict=True):
                 if h != present:
-                    out += sorter.close_group()
-                    present, last = h, None
-                if last == (vault, path, tie, begin, end):
-                    continue
-                last = (vault, path, tie, begin, end)
-                out += sorter.add((vault, path, tie), begin, end, around)
+                    out += sorter.add(list(group))
+                    group, present = {}, h
+                group[tuple(row)] = None  # a repeated row is the same note
             yield _batch(out, SPANS)
-        yield _batch(sorter.close_group() + sorter.sort(), SPANS)
+        yield _batch(sorter.add(list(group)) + sorter.sort(), SPANS)
 
     return run
 
@@ -231,7 +261,7 @@ def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for vault, path, tie, begin, _, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for vault, path, tie, begin, around in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5, 7)), strict=True):
                 for k in range(len(around) - length + 1):
                     digest = hashlib.blake2b(around[k : k + length], digest_size=16).digest()
                     out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), vault, path, tie, begin + k))
@@ -251,7 +281,7 @@ def _later(length: int):
                 if first is None or first[0] != (w1, w2):
                     first = ((w1, w2), (vault, path, tie, begin))
                 elif first[1] != (vault, path, tie, begin):
-                    out.append((vault, path, tie, begin, begin + length, None))
+                    out.append((vault, path, tie, begin, begin + length))
             yield _batch(out, SPANS)
 
     return run
@@ -289,10 +319,11 @@ def remove_repeats(notes: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     Earlier means in a note with a smaller ``(vault, path)``, or before in the same note.
     Strings overlap freely, don't cross notes, and are judged on the input.
 
-    Every such string holds an anchor, its least gram.  Anchors that occur once are let go; around the
-    others all bytes of strings that hold them are taken.  Equal surroundings collapse to the earliest;
-    what differs around one anchor is put into suffix arrays of about a megabyte (some suffixes sorted, the rest
-    induced), where neighbours that share ``length`` bytes repeat each other.  An anchor with more than
+    Every such string holds an anchor, its least gram.  Notes with a text that an earlier one has go as a
+    whole.  Anchors that occur once are let go; around the others, equal surroundings (all bytes of strings
+    that hold the anchor, by a 64-bit hash beside that of the anchor) collapse to the earliest.  What differs
+    around one anchor is put into suffix arrays of about a megabyte (some suffixes sorted, the
+    rest induced), where neighbours that share ``length`` bytes repeat each other.  An anchor with more than
     ``crowd`` different surroundings has its strings shuffled one by one instead.
 
     Returns ``vault, path, n_bytes, spans`` (removed runs, bytes) and ``kept`` (the remaining bytes; they
@@ -300,35 +331,71 @@ def remove_repeats(notes: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     repeat a key and text are one note and all get its result; of rows of one key with different
     texts, those with a smaller hash are earlier.  An empty table gives no rows.
     """
-    notes = common.keyed(notes).withColumn("tie", F.xxhash64("content"))
-    note = F.xxhash64("vault", "path", "tie")
-    places = common.stored(
-        notes.select("content", note.alias("note"))
-        .mapInArrow(_anchor_rows(length, gram), "h bigint, note bigint, pos bigint")
-        .repartition("h").sortWithinPartitions("h")
-        .mapInArrow(_several, "h bigint, note bigint, pos bigint"),
+    notes = common.keyed(notes).withColumn("tie", F.hash("content"))
+    copies = _copies(notes, length)
+    dropped = common.bitmap(copies.select(F.xxhash64(*_KEY).alias("h")))
+    marked = common.stored(
+        _without(notes, copies, dropped)
+        .select(*_KEY, "content")
+        .mapInArrow(_anchor_rows(length, gram), ANCHORS)
+        .repartition("h").sortWithinPartitions("h", "ch", *_KEY, "begin")
+        .mapInArrow(_marked(crowd), MARKED),
         "repeat-anchors",
     )
-    marks = places.groupBy("note").agg(F.collect_list(F.struct("pos", "h")).alias("marks"))
+    unlike = marked.where("kind > 0")
+    wanted = common.stored(
+        unlike.groupBy(*_KEY).agg(F.collect_list(F.struct("kind", "h", "begin", "end")).alias("marks")), "repeat-wanted"
+    )
+    bits = common.bitmap(wanted.select(F.xxhash64(*_KEY).alias("h")))
     found = common.stored(
-        notes.withColumn("note", note).join(marks, "note").select("vault", "path", "tie", "content", "marks")
-        .mapInArrow(_surroundings(length, gram), FOUND),
+        _only(notes, bits).join(wanted, _KEY).select(*_KEY, "content", "marks").mapInArrow(_surroundings, FOUND),
         "repeat-surroundings",
     )
-    spans = common.stored(
-        found.where("around is not null")
-        .repartition("h").sortWithinPartitions("h", "vault", "path", "tie", "begin", "end")
-        .mapInArrow(_sorted_spans(length, crowd), SPANS),
+    spans = (
+        found.where("kind = 1").repartition("h").sortWithinPartitions("h", *_KEY, "begin").mapInArrow(_sorted_spans(length), SPANS)
+    )
+    windows = found.where("kind = 2").mapInArrow(_windows(length), WINDOWS).repartition("w1", "w2")
+    windows = windows.sortWithinPartitions("w1", "w2", *_KEY, "begin").mapInArrow(_later(length), SPANS)
+    merged = common.stored(
+        copies.select(*_KEY, F.lit(0).cast("bigint").alias("begin"), F.col("n_bytes").alias("end"))
+        .unionByName(marked.where("kind = 0").select(*_KEY, "begin", "end"))
+        .unionByName(spans)
+        .unionByName(windows)
+        .groupBy(*_KEY).agg(F.collect_set(F.struct("begin", "end")).alias("found")),
         "repeat-spans",
     )
-    crowded = spans.where("around is not null")
-    windows = crowded.mapInArrow(_windows(length), WINDOWS).repartition("w1", "w2")
-    windows = windows.sortWithinPartitions("w1", "w2", "vault", "path", "tie", "begin").mapInArrow(_later(length), SPANS)
-    key = ["vault", "path", "tie"]
-    merged = (
-        found.where("around is null").select(*key, "begin", "end")
-        .unionByName(spans.where("around is null").select(*key, "begin", "end"))
-        .unionByName(windows.select(*key, "begin", "end"))
-        .groupBy(*key).agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    bits = common.bitmap(merged.select(F.xxhash64(*_KEY).alias("h")))
+    # Notes without any span keep out of the shuffle.
+    whole = _only(notes, bits, inside=False).select("vault", "path", "content", F.lit(None).cast(merged.schema["found"].dataType).alias("found"))
+    cut = _only(notes, bits).join(merged, _KEY, "left").select("vault", "path", "content", "found")
+    return whole.unionByName(cut).mapInArrow(_cut, RESULT)
+
+
+def _copies(notes: DataFrame, length: int) -> DataFrame:
+    """Notes whose whole text an earlier note has."""
+    texts = common.stored(
+        notes.select(*_KEY, F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("bigint").alias("n_bytes"))
+        .where(F.col("n_bytes") >= length).distinct(),
+        "repeat-texts",
     )
-    return notes.join(merged, key, "left").select("vault", "path", "content", "found").mapInArrow(_cut, RESULT)
+    first = common.stored(
+        texts.groupBy("sha").agg(F.min(F.struct(*_KEY)).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeat-firsts"
+    )
+    return common.stored(texts.join(first, "sha").where(F.struct(*_KEY) != F.col("first")).select(*_KEY, "n_bytes"), "repeat-copies")
+
+
+def _only(notes: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """Notes whose key may be (or certainly is not) among those a bitmap was made of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = common.in_bitmap(bits, batch.column(4).to_numpy())
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(hit if inside else ~hit))
+
+    schema = f"{KEY}, content string"
+    return notes.select(*_KEY, "content", F.xxhash64(*_KEY).alias("h")).mapInArrow(run, schema)
+
+
+def _without(notes: DataFrame, dropped: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``notes`` but for the keys in ``dropped``; only those that its bitmap holds are joined."""
+    return _only(notes, bits, inside=False).unionByName(_only(notes, bits).join(dropped.select(*_KEY), _KEY, "left_anti"))

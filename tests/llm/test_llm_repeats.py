@@ -108,7 +108,39 @@ def test_anchors_of_equal_windows_agree():
     for _ in range(20):
         before = bytes(rng.choice(b"abcdef") for _ in range(rng.randrange(0, 200)))
         data = np.frombuffer(before + piece + before, dtype=np.uint8)
-        place, h = repeats.anchors(data, np.array([0, len(data)]), 100, 64)
-        inside = [(p - len(before), x) for p, x in zip(place.tolist(), h.tolist()) if len(before) <= p <= len(before) + 36]
-        places.append(min(inside, key=lambda v: (v[1], v[0])))
+        h = repeats.gram_hashes(data, 32)
+        place = repeats.anchors(h, np.array([0, len(data)]), 100, 32).tolist()
+        places.append(min((int(h[p]), p - len(before)) for p in place if len(before) <= p <= len(before) + 68))
     assert len(set(places)) == 1
+
+
+def test_marks_don_t_depend_on_batches():
+    """Groups of anchors over the ends of Arrow batches are marked as in one batch."""
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(12), rng.randrange(3), "v", f"{rng.randrange(4)}", 0, rng.randrange(9), 200) for _ in range(200))
+    rows = sorted(rows + rows[::5])
+    names = ["h", "ch", "vault", "path", "tie", "begin", "end"]
+    table = repeats.pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
+
+    def run(size, crowd):
+        got = []
+        for batch in repeats._marked(crowd)(iter(table.to_batches(max_chunksize=size))):
+            got += [tuple(r.values()) for r in batch.to_pylist()]
+        return sorted(got)
+
+    def want(crowd):
+        out = []
+        for h in {r[0] for r in rows}:
+            kinds = len({r[1] for r in rows if r[0] == h})
+            seen = set()
+            for r in sorted({r for r in rows if r[0] == h}):
+                if r[1] in seen:
+                    out.append((0, h, *r[2:]))
+                elif kinds > 1:
+                    out.append((2 if kinds > crowd else 1, h, *r[2:]))
+                seen.add(r[1])
+        return sorted(out)
+
+    for size in (200, 17, 5, 2, 1):
+        assert run(size, 100) == want(100), size
+        assert run(size, 2) == want(2), size
