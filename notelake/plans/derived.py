@@ -143,7 +143,7 @@ def vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
-    """One command per event; ``seq`` is the event id."""
+    """One command per event; ``seq`` is the event id, and every fifth one expects a hash that no note has."""
     event = F.col("event_type")
     op = (
         F.when(event == "signup", "create")
@@ -162,7 +162,7 @@ def commands(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataF
         path.alias("path"),
         F.lit(None).cast("string").alias("dest"),
         F.concat(event, F.lit(" "), F.col("event_id").cast("string"), F.lit("\n")).alias("body"),
-        F.lit(None).cast("string").alias("expected_hash"),
+        F.when(F.col("event_id") % 5 == 0, "stale").alias("expected_hash"),
         (F.col("event_id") % 7 == 0).alias("overwrite"),
         F.lit(None).cast(S.COMMANDS["properties"].dataType).alias("properties"),
     )

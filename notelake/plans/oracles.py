@@ -62,7 +62,7 @@ commands AS (
          CASE WHEN event_type = 'view' THEN concat('Daily/', cast(cast(ts AS date) AS varchar), '.md')
               ELSE concat('Log/n', cast(event_id % 25 AS varchar), '.md') END AS path,
          concat(event_type, ' ', cast(event_id AS varchar), chr(10)) AS body,
-         event_id % 7 = 0 AS overwrite,
+         event_id % 7 = 0 AS overwrite, event_id % 5 = 0 AS stale,
          cast(ts AS date) AS day
   FROM events
 )
@@ -189,10 +189,10 @@ def sql(body: str, *tables: str, extra: str = "") -> str:
 
 
 # One judged command stream per key: existence first, then the text since the
-# last command that set it.  The derived commands carry no expected hashes.
+# last command that set it.  Expected hashes of the derived commands are stale ones.
 REPLAY_CTE = """
 accepted AS (
-  SELECT c.seq, c.vault, c.path, c.op, c.body, c.overwrite FROM commands c JOIN vaults v ON v.name = c.vault
+  SELECT c.seq, c.vault, c.path, c.op, c.body, c.overwrite, c.stale FROM commands c JOIN vaults v ON v.name = c.vault
   WHERE NOT v.read_only
 ),
 marked AS (
@@ -206,6 +206,7 @@ existed AS (
 ),
 judged AS (
   SELECT *, CASE WHEN op = 'create' AND was AND NOT overwrite THEN 'EXISTS'
+                 WHEN op = 'update' AND was AND stale THEN 'HASH_MISMATCH'
                  WHEN op IN ('create', 'append_daily') OR was THEN 'OK' ELSE 'NOT_FOUND' END AS status
   FROM existed
 ),

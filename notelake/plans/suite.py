@@ -728,6 +728,28 @@ def apply_commands(spark, sf):
     )
 
 
+_HOT_SQL = (
+    sql(_RESULT, "notes", "vaults", "commands", extra=REPLAY_CTE)
+    .replace("event_id AS seq, concat('src', cast(user_id % 20 AS varchar)) AS vault", "event_id * 1000003 AS seq, 'src1' AS vault")
+    .replace("CASE WHEN event_type = 'view' THEN concat('Daily/', cast(cast(ts AS date) AS varchar), '.md')\n              ELSE concat('Log/n', cast(event_id % 25 AS varchar), '.md') END AS path",
+             "concat('Log/n', cast(event_id % 3 AS varchar), '.md') AS path")
+)
+
+
+@_query("apply_commands_hot", _HOT_SQL)
+def apply_commands_hot(spark, sf):
+    """All commands on three notes of one vault, with numbers far apart."""
+    notes, vaults, commands = _tables(spark, sf)
+    hot = commands.withColumns(
+        {
+            "path": F.concat(F.lit("Log/n"), (F.col("seq") % 3).cast("string"), F.lit(".md")),
+            "vault": F.lit("src1"),
+            "seq": F.col("seq") * 1000003,
+        }
+    )
+    return _results_of(cmd.apply_commands(notes, None, vaults, hot), hot)
+
+
 _FINAL = """
 , last AS (
   SELECT vault, path, arg_max(text, seq) AS text, arg_max(op, seq) AS op FROM texts WHERE status = 'OK' GROUP BY vault, path
