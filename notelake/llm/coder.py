@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 SLOTS = 1 << 12  # contexts of order 1 and of order 2, and counted ids of order 0, per block
+NODES = 1 << 10  # contexts of a literal's later digits, per block
 TOTAL = 1 << 16  # of the frequencies of a step
 TOP, BOTTOM, MASK = np.uint64(48), np.uint64(1 << 40), np.uint64((1 << 56) - 1)
 RATE, GAIN = 5, 1984  # of frequencies: loss by shift, gain of the coded symbol
@@ -19,29 +20,47 @@ _EIGHT, _ONE = np.uint64(8), np.uint64(1)
 
 
 class _Range:
-    """Carry-less range coding of 56 bits in every lane."""
+    """Carry-less range coding of 56 bits in every lane.
+
+    A step narrows the span to a symbol's share; ``settle`` moves finished bytes out.  A span of 2**40 bears two
+    steps of 16 bits before it has to be settled.
+    """
 
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, dtype=np.uint64)
         self.span = np.full(lanes, MASK, dtype=np.uint64)
 
-    def _narrow(self, at: np.ndarray, below: np.ndarray, share: np.ndarray) -> None:
-        unit = self.span[at] >> np.uint64(16)
-        self.low[at] += unit * below.astype(np.uint64)
-        self.span[at] = unit * share.astype(np.uint64)
-        while len(at):
-            low, span = self.low[at], self.span[at]
+    def part(self, at: np.ndarray) -> _Range:
+        """The state of some lanes, for a few steps; ``back`` returns it."""
+        raise NotImplementedError
+
+    def step(self, ends: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
+        """Codes a symbol per lane; ``ends``: cumulated frequencies of a row per lane, the last TOTAL."""
+        unit = self.span >> np.uint64(16)
+        if symbols is None:
+            symbols = self.find(ends, unit)
+        row = np.arange(len(ends)) * ends.shape[1] + symbols
+        flat = ends.ravel()
+        below = np.where(symbols > 0, flat[row - 1], 0)
+        self.low += unit * below.astype(np.uint64)
+        self.span[:] = unit * (flat[row] - below).astype(np.uint64)
+        return symbols
+
+    def settle(self) -> None:
+        go = np.flatnonzero(((self.low ^ (self.low + self.span)) >> TOP == 0) | (self.span < BOTTOM))
+        while len(go):
+            low, span = self.low[go], self.span[go]
             same = (low ^ (low + span)) >> TOP == 0
-            cramped = ~same & (span < BOTTOM)
-            go = same | cramped
-            if not go.any():
-                return
-            at, low, span, cramped = at[go], low[go], span[go], cramped[go]
-            span = np.where(cramped, (~low + _ONE) & (BOTTOM - _ONE), span)
-            self._shift(at, low)
-            self.low[at], self.span[at] = (low << _EIGHT) & MASK, (span << _EIGHT) & MASK
-
-    def _shift(self, at: np.ndarray, low: np.ndarray) -> None:
+            span = np.where(same, span, (~low + _ONE) & (BOTTOM - _ONE))
+            self.shift(go, low)
+            low, span = (low << _EIGHT) & MASK, (span << _EIGHT) & MASK
+            self.low[go], self.span[go] = low, span
+            go = go[((low ^ (low + span)) >> TOP == 0) | (span < BOTTOM)]
+
+    def shift(self, go: np.ndarray, low: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def find(self, ends: np.ndarray, unit: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
 
@@ -50,26 +69,29 @@ class Encoder(_Range):
         super().__init__(lanes)
         self.out = np.zeros((lanes, most), dtype=np.uint8)
         self.size = np.zeros(lanes, dtype=np.int64)
+        self.lanes: np.ndarray | None = None  # of the whole, where this is a part
+
+    def part(self, at: np.ndarray) -> Encoder:
+        made = Encoder.__new__(Encoder)
+        made.low, made.span, made.size, made.out, made.lanes = self.low[at], self.span[at], self.size[at], self.out, at
+        return made
 
-    def _shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        need = int(self.size[at].max()) + 8
-        if need > self.out.shape[1]:
+    def back(self, part: Encoder) -> None:
+        self.low[part.lanes], self.span[part.lanes], self.size[part.lanes] = part.low, part.span, part.size
+
+    def room(self) -> None:
+        """Space for what one position can put out."""
+        if len(self.size) and int(self.size.max()) + 64 > self.out.shape[1]:
             self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-        self.out[at, self.size[at]] = (low >> TOP).astype(np.uint8)
-        self.size[at] += 1
-
-    def code(self, at: np.ndarray, ends: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """``ends``: cumulated frequencies of a row per lane, the last TOTAL."""
-        row = np.arange(len(at))
-        upto = ends[row, symbols]
-        below = np.where(symbols > 0, ends[row, symbols - 1], 0)
-        self._narrow(at, below, upto - below)
-        return symbols
+
+    def shift(self, go: np.ndarray, low: np.ndarray) -> None:
+        lanes = go if self.lanes is None else self.lanes[go]
+        self.out[lanes, self.size[go]] = (low >> TOP).astype(np.uint8)
+        self.size[go] += 1
 
     def finish(self) -> list[bytes]:
-        at = np.arange(len(self.low))
         for _ in range(7):
-            self._shift(at, self.low)
+            self.shift(np.arange(len(self.low)), self.low)
             self.low = (self.low << _EIGHT) & MASK
         return [self.out[i, : self.size[i]].tobytes() for i in range(len(self.low))]
 
@@ -84,98 +106,137 @@ class Decoder(_Range):
         self.value = np.zeros(len(payloads), dtype=np.uint64)
         for k in range(7):
             self.value = self.value << _EIGHT | self.data[:, k]
-        self.place = np.full(len(payloads), 7, dtype=np.int64)
-
-    def _shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        place = np.minimum(self.place[at], self.data.shape[1] - 1)
-        self.value[at] = (self.value[at] << _EIGHT) & MASK | self.data[at, place]
-        self.place[at] += 1
-
-    def code(self, at: np.ndarray, ends: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
-        unit = self.span[at] >> np.uint64(16)
+        self.size = np.full(len(payloads), 7, dtype=np.int64)
+        self.lanes: np.ndarray | None = None
+
+    def part(self, at: np.ndarray) -> Decoder:
+        made = Decoder.__new__(Decoder)
+        made.low, made.span, made.size, made.value, made.data, made.lanes = (
+            self.low[at], self.span[at], self.size[at], self.value[at], self.data, at,
+        )
+        return made
+
+    def back(self, part: Decoder) -> None:
+        self.low[part.lanes], self.span[part.lanes] = part.low, part.span
+        self.size[part.lanes], self.value[part.lanes] = part.size, part.value
+
+    def room(self) -> None:
+        pass
+
+    def shift(self, go: np.ndarray, low: np.ndarray) -> None:
+        lanes = go if self.lanes is None else self.lanes[go]
+        place = np.minimum(self.size[go], self.data.shape[1] - 1)
+        self.value[go] = (self.value[go] << _EIGHT) & MASK | self.data[lanes, place]
+        self.size[go] += 1
+
+    def find(self, ends: np.ndarray, unit: np.ndarray) -> np.ndarray:
         # A broken payload may lie outside; it is kept in range here and found by the checksum.
-        spot = np.minimum((self.value[at] - self.low[at]) // np.maximum(unit, _ONE), np.uint64(TOTAL - 1)).astype(np.int64)
-        symbols = (ends <= spot[:, None]).sum(axis=1)
-        row = np.arange(len(at))
-        below = np.where(symbols > 0, ends[row, symbols - 1], 0)
-        self._narrow(at, below, ends[row, symbols] - below)
-        return symbols
+        spot = np.minimum((self.value - self.low) // np.maximum(unit, _ONE), np.uint64(TOTAL - 1)).astype(np.int32)
+        return (ends <= spot[:, None]).sum(axis=1)
 
 
 def _fresh(*shape: int) -> np.ndarray:
-    """Equal frequencies; with the floor added in ``_ends`` they stay below TOTAL."""
-    return np.full(shape, (TOTAL - 2048) // shape[-1], dtype=np.uint16)
+    """Rows of equal frequencies; with the floor added in ``_ends`` they stay below TOTAL."""
+    return np.full((int(np.prod(shape[:-1])), shape[-1]), (TOTAL - 2048) // shape[-1], dtype=np.int32)
 
 
 def _ends(rows: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(rows.astype(np.int64) + 64, axis=-1)
+    ends = np.cumsum(rows + 64, axis=-1, dtype=np.int32)
     ends[..., -1] = TOTAL
     return ends
 
 
-def _learn(rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    rows = rows - (rows >> np.uint16(RATE))
-    rows[np.arange(len(rows)), symbols] += np.uint16(GAIN)
-    return rows
-
-
 def _run(coder: Encoder | Decoder, sizes: np.ndarray, bits: int, ids: np.ndarray | None) -> np.ndarray:
     """Codes ``ids`` (a row per block) or decodes as many as ``sizes`` says; blocks come longest first."""
     lanes, most = len(sizes), int(sizes.max(initial=0))
-    out = np.zeros((lanes, most), dtype=np.int64) if ids is None else ids
-    one, two = (np.zeros((lanes, SLOTS), dtype=np.int32) for _ in range(2))
-    sure1, sure2 = (np.zeros((lanes, SLOTS), dtype=np.uint8) for _ in range(2))
-    seen, frequent, best = np.zeros((lanes, SLOTS), dtype=np.uint16), np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    hits = [_fresh(lanes, 16, HITS) for _ in range(3)]
-    weight = np.full((lanes, 3), 1 << 12, dtype=np.int64)
-    recent = np.zeros(lanes, dtype=np.int64)
-    levels = -(-bits // 4)
-    tree = [_fresh(lanes, min(16**k, SLOTS), 16) for k in range(levels)]
+    levels, base = -(-bits // 4), np.arange(lanes, dtype=np.int64)
+    given = ids is not None
+    out = np.ascontiguousarray(ids.T) if given else np.zeros((most, lanes), dtype=np.int64)
+    # What followed a context last, and how often in a row it was right (the low 4 bits): order 2, then order 1.
+    followed = np.zeros(lanes * 2 * SLOTS, dtype=np.int32)
+    table = (base * 2 * SLOTS)[:, None] + np.array([0, SLOTS])
+    seen, frequent, best = np.zeros(lanes * SLOTS, dtype=np.uint16), np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    hits = _fresh(lanes, 3, 16, HITS)
+    hit_row = (base * 48)[:, None] + np.array([0, 16, 32])
+    weight, recent = np.full((lanes, 3), 1 << 12, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    nodes = [min(16**k, NODES) for k in range(levels)]
+    tree = [_fresh(lanes, n, 16) for n in nodes]
     last, before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     live = np.searchsorted(-sizes, -np.arange(most), side="left")  # blocks longer than each position
+    whole, now = coder, None
     for t in range(most):
         n = int(live[t])
-        at = np.arange(n)
-        c1 = last[:n] & (SLOTS - 1)
-        c2 = (last[:n] * 0x9E5 + before[:n] * 0x3779 + (last[:n] >> 7)) & (SLOTS - 1)
-        guess = np.stack([two[at, c2], one[at, c1], frequent[:n]], axis=1)
-        context = [sure2[at, c2].astype(np.int64), sure1[at, c1].astype(np.int64), recent[:n]]
-        rows = [h[at, c] for h, c in zip(hits, context, strict=True)]
+        if now is None or n != len(now.low):
+            if now is not None:
+                whole.back(now)
+            now = whole.part(base[:n])
+        whole.room()
+        now_out = getattr(whole, "out", None)
+        if now_out is not None:
+            now.out = now_out
+        at, ids_now = base[:n], out[t, :n]
+        context = np.empty((n, 2), dtype=np.int64)
+        context[:, 0] = last[:n] * 0x9E5 + before[:n] * 0x3779 + (last[:n] >> 7)
+        context[:, 1] = last[:n]
+        context &= SLOTS - 1
+        context += table[:n]
+        known = followed[context]
+        guess = np.empty((n, 3), dtype=np.int64)
+        guess[:, :2], guess[:, 2] = known >> 4, frequent[:n]
+        place = hit_row[:n].copy()
+        place[:, :2] += known & 15
+        place[:, 2] += recent[:n]
+        rows = np.take(hits, place, axis=0)
         w = weight[:n]
-        mixed = sum(r.astype(np.int64) * w[:, k, None] for k, r in enumerate(rows)) // w.sum(axis=1)[:, None]
-        if ids is None:
-            hit = coder.code(at, _ends(mixed), None)
+        # Products and sums are whole numbers below 2**53, so the quotient is the same on every machine.
+        mixed = (np.einsum("nkh,nk->nh", rows, w).astype(np.float64) / w.sum(axis=1)[:, None]).astype(np.int32)
+        if given:
+            equal = guess == ids_now[:, None]
+            hit = np.where(equal[:, 0], 0, np.where(equal[:, 1], 1, np.where(equal[:, 2], 2, 3)))
+            now.step(_ends(mixed), hit)
         else:
-            hit = np.where(out[:n, t] == guess[:, 0], 0, np.where(out[:n, t] == guess[:, 1], 1, np.where(out[:n, t] == guess[:, 2], 2, 3)))
-            coder.code(at, _ends(mixed), hit)
-        for k, (h, c, r) in enumerate(zip(hits, context, rows, strict=True)):
-            weight[:n, k] += (r[at, hit].astype(np.int64) >> 4) + 16 - (weight[:n, k] >> 4)
-            h[at, c] = _learn(r, hit)
-        value = guess[at, np.minimum(hit, 2)].astype(np.int64)
+            hit = now.step(_ends(mixed), None)
+        chosen = rows[at, :, hit]
+        weight[:n] += (chosen >> 4) + 16 - (w >> 4)
+        rows -= rows >> RATE
+        rows[at, :, hit] += GAIN
+        hits[place] = rows
+        value = guess[at, np.minimum(hit, 2)]
         rare = np.flatnonzero(hit == 3)
         if len(rare):
+            some, steps = now.part(rare), 1
+            if now.lanes is not None:
+                some.lanes, inner = now.lanes[rare], rare
             prefix = np.zeros(len(rare), dtype=np.int64)
             for k in range(levels):
-                slot = prefix & (SLOTS - 1)
-                row = tree[k][rare, slot]
-                digit = None if ids is None else (out[rare, t] >> 4 * (levels - 1 - k)) & 15
-                digit = coder.code(rare, _ends(row), digit)
-                tree[k][rare, slot] = _learn(row, digit)
+                node = rare * nodes[k] + (prefix & (NODES - 1))
+                row = tree[k][node]
+                digit = (ids_now[rare] >> 4 * (levels - 1 - k)) & 15 if given else None
+                digit = some.step(_ends(row), digit)
+                row -= row >> RATE
+                row[np.arange(len(rare)), digit] += GAIN
+                tree[k][node] = row
                 prefix = prefix << 4 | digit
+                steps += 1
+                if steps % 2 == 0:
+                    some.settle()
+            some.lanes = inner
+            now.back(some)
             value[rare] = prefix
-        out[:n, t] = value
-        sure = guess == value[:, None]
-        for table, trust, c, right in ((two, sure2, c2, sure[:, 0]), (one, sure1, c1, sure[:, 1])):
-            trust[at, c] = np.where(right, np.minimum(trust[at, c] + 1, 15), 0)
-            table[at, c] = value
-        slot = value & (SLOTS - 1)
-        count = seen[at, slot] + np.uint16(1)
-        seen[at, slot] = count
-        better = count > best[:n]
-        frequent[:n], best[:n] = np.where(better, value, frequent[:n]), np.where(better, count, best[:n])
+        now.settle()
+        out[t, :n] = value
+        right = guess[:, :2] == value[:, None]
+        followed[context] = value[:, None] << 4 | np.where(right, np.minimum((known & 15) + 1, 15), 0)
+        slot = at * SLOTS + (value & (SLOTS - 1))
+        count = seen[slot] + np.uint16(1)
+        seen[slot] = count
+        better = np.flatnonzero(count > best[:n])
+        frequent[better], best[better] = value[better], count[better]
         recent[:n] = (recent[:n] << 2 | hit) & 15
         before[:n], last[:n] = last[:n], value
-    return out
+    if now is not None:
+        whole.back(now)
+    return out.T
 
 
 def _longest_first(sizes: list[int]) -> np.ndarray:
