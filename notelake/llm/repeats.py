@@ -17,7 +17,7 @@ from notelake.llm.suffixes import equal_neighbours, suffix_array
 LENGTH = 100  # bytes of a repeated string
 GRAM = 32  # bytes hashed at an anchor, a power of two below LENGTH
 SORTED = 1 << 20  # bytes in one suffix array, about
-CROWD = 4096  # different surroundings of one anchor in a suffix array; beyond, windows are shuffled one by one
+CROWD = 512  # different surroundings of one anchor in a suffix array; beyond, windows are shuffled one by one
 
 KEY = "vault string, path string, tie int"
 _KEY = ["vault", "path", "tie"]
