@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, text
+from .checkpoints import checkpoint
 from .corpus import markdown_only, visible_notes
 
 
@@ -87,9 +88,9 @@ def dangling_links(notes: DataFrame, edges: DataFrame | None = None) -> DataFram
     """``(vault, src, link)`` of the links that match no note.
 
     Link names are made distinct first, so a name is resolved once however often
-    it is used.
+    it is used.  Links that are not passed in are checkpointed, so note text is read once.
     """
-    edges = links(notes) if edges is None else edges
+    edges = checkpoint(links(notes)) if edges is None else edges
     names = edges.select("vault", "link").distinct()
     wanted = names.select("vault", "link", _kinds(F.array("link"), _shorter_suffixes(F.col("link"))))
     resolved = (
