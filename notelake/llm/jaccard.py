@@ -17,7 +17,7 @@ from notelake.llm.shingles import Sets, shingle_sets
 SMALL = 64  # up to this size, index sets also have their one-deletion neighbourhoods
 SHARE = 0.4  # segments per element of a band's largest set; 1 in the small bands
 PARITY = 2048  # bits of the parity vector of a set
-CROWD = 2000  # a bucket with more sets than this is compared in blocks instead of pair by pair
+CROWD = 20_000  # sets that choose a bucket with more members than this are compared with all others in blocks
 BLOCK = 4096  # sets compared with all others at once
 
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -189,6 +189,32 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of buckets in order of size: each probe with the members not larger, where sizes, components and parity
+    vectors leave a link open.  No other pair leaves the task."""
+    present, held = None, None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        sig, fp, root, probe, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        parity = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
+        edge = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
+        a, b = [], []
+        for start, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            at = start + np.flatnonzero(~probe[start:end])
+            member = (n[at], fp[at], root[at], parity[at])
+            if held is not None and sig[start] == present:
+                member = tuple(np.concatenate(v) for v in zip(held, member, strict=True))
+            present, held = sig[start], member
+            for i in (start + np.flatnonzero(probe[start:end])).tolist():
+                low, high = np.searchsorted(member[0], -(-3 * n[i] // 4)), np.searchsorted(member[0], n[i], side="right")
+                apart = np.bitwise_count(member[3][low:high] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                near = low + np.flatnonzero((apart <= differing(member[0][low:high], n[i])) & (member[2][low:high] != root[i]))
+                a += [fp[i]] * len(near)
+                b += member[1][near].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
@@ -298,12 +324,14 @@ class _Join:
         spare = open_.where("kind >= 2").join(sizes, "fp").withColumn("lane", lane)
         spare = spare.where(F.col("filled")[F.col("lane")] < F.col("needs")[F.col("lane")])
         chosen = common.stored(chosen.unionByName(spare.select("sig", "fp", "n", "root", "size")), "jaccard-chosen")
-        index = open_.where("kind in (0, 2)").join(self.classes.select("fp", F.col("n").alias("m")), "fp")
-        index = index.select("sig", F.col("fp").alias("b"), F.col("root").alias("other"), "m")
+        small = chosen.where(F.col("size") <= CROWD).select("sig", "fp", "root", F.lit(True).alias("probe"))
+        members = open_.where("kind in (0, 2)").join(small.select("sig").distinct(), "sig")
+        rows = members.select("sig", "fp", "root", F.lit(False).alias("probe")).unionByName(small)
         pairs = (
-            chosen.where(F.col("size") <= CROWD).select("sig", F.col("fp").alias("a"), "root", "n").join(index, "sig")
-            .where("root <> other and m <= n and 4 * m >= 3 * n")
-            .select("a", "b").distinct()
+            rows.join(self.classes.select("fp", "n", "parity"), "fp")
+            .select("sig", "fp", "root", "probe", "n", "parity")
+            .repartition("sig").sortWithinPartitions("sig", "n", "probe")
+            .mapInArrow(_meet, "a bigint, b bigint")
         )
         hard = self.classes.where("hard").select("fp").unionByName(chosen.where(F.col("size") > CROWD).select("fp")).distinct()
         for block in self._blocks(common.stored(self.rooted(hard).join(self.classes, "fp"), "jaccard-hard")):
@@ -367,8 +395,8 @@ def jaccard_components(notes: DataFrame) -> DataFrame:
     enough segments, so only classes with an equal segment subset (in small sets also
     one with an element less) are compared.  Each class chooses the segments that
     cost least: those that nobody shares come first.  Candidates pass an exact
-    bound on parity vectors and are verified on their sets.  Crowded buckets
-    that a class can't do without are compared in blocks.
+    bound on parity vectors, which are compared bucket by bucket inside the tasks, and are verified
+    on their sets.  Classes that can't do without a crowded bucket are compared with all others in blocks.
 
     Returns ``vault, path, n_shingles, component_vault, component_path, component_size``,
     the component being named by its smallest ``(vault, path)``.  A note without
