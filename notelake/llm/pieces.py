@@ -14,7 +14,8 @@ from notelake.llm import common
 
 SPACE = "▁"
 STAND_IN = "\ud800"  # not a character, so no text holds it
-DECODED = 1 << 19  # ids decoded at once, about
+DECODED = 1 << 18  # ids decoded at once, about
+LANES = 4000  # segments searched at once
 LANE = 40  # segments up to this length are searched many at a time
 UNKNOWN = 10.0  # a byte costs as much as the worst piece and this
 
@@ -196,8 +197,8 @@ class PieceModel:
         number = dict(zip(known, range(len(known)), strict=True))
         made: list[np.ndarray | None] = [None] * len(known)
         short = [k for k, w in enumerate(known) if len(w) <= LANE]
-        for first in range(0, len(short), 20_000):
-            group = sorted(short[first : first + 20_000], key=lambda k: len(known[k]))
+        for first in range(0, len(short), LANES):
+            group = sorted(short[first : first + LANES], key=lambda k: len(known[k]))
             for k, ids in zip(group, self._lanes([known[k] for k in group]), strict=True):
                 made[k] = ids
         for k, ids in enumerate(made):
