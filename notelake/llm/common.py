@@ -78,8 +78,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "content", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a part holds about ``most`` bytes of text, or one longer text."""
+def pieces(
+    batches: Iterator[pa.RecordBatch], column: str = "content", most: int = 8 << 20, rows: int = 2000
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part holds about ``most`` bytes of text, or one longer text, and ``rows`` texts at most."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -87,7 +89,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "content", most: int
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(at, at[start] + most, side="right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
 
