@@ -189,30 +189,44 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(nearest: bool):
     """Of buckets in order of size: each probe with the members not larger, where sizes, components and parity
-    vectors leave a link open.  No other pair leaves the task."""
-    present, held = None, None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        sig, fp, root, probe, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        parity = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
-        edge = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
-        a, b = [], []
-        for start, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            at = start + np.flatnonzero(~probe[start:end])
-            member = (n[at], fp[at], root[at], parity[at])
-            if held is not None and sig[start] == present:
-                member = tuple(np.concatenate(v) for v in zip(held, member, strict=True))
-            present, held = sig[start], member
-            for i in (start + np.flatnonzero(probe[start:end])).tolist():
-                low, high = np.searchsorted(member[0], -(-3 * n[i] // 4)), np.searchsorted(member[0], n[i], side="right")
-                apart = np.bitwise_count(member[3][low:high] ^ parity[i]).sum(axis=1, dtype=np.int64)
-                near = low + np.flatnonzero((apart <= differing(member[0][low:high], n[i])) & (member[2][low:high] != root[i]))
-                a += [fp[i]] * len(near)
-                b += member[1][near].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    vectors leave a link open; with ``nearest`` the one of these that differs least.  No other pair leaves the task."""
+
+    def pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, held = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            sig, fp, root, probe, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            parity = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
+            edge = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
+            a, b, size = [], [], 0
+            for start, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                at = start + np.flatnonzero(~probe[start:end])
+                member = (n[at], fp[at], root[at], parity[at])
+                if held is not None and sig[start] == present:
+                    member = tuple(np.concatenate(v) for v in zip(held, member, strict=True))
+                present, held = sig[start], member
+                for i in (start + np.flatnonzero(probe[start:end])).tolist():
+                    low, high = np.searchsorted(member[0], -(-3 * n[i] // 4)), np.searchsorted(member[0], n[i], side="right")
+                    apart = np.bitwise_count(member[3][low:high] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                    near = np.flatnonzero((apart <= differing(member[0][low:high], n[i])) & (member[2][low:high] != root[i]))
+                    if nearest and len(near):
+                        near = near[[int(apart[near].argmin())]]
+                    a.append(np.full(len(near), fp[i]))
+                    b.append(member[1][low + near])
+                    size += len(near)
+                    if size >= 100_000:
+                        yield pairs(a, b)
+                        a, b, size = [], [], 0
+            yield pairs(a, b)
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +311,13 @@ class _Join:
             .groupBy("fp").agg(F.max(F.struct("count", "pivot")).alias("best"))
             .select(F.col("fp").alias("a"), F.col("best.pivot").alias("b"))
         )
-        # Then what is left open: buckets with sets of several components.
+        # Then what is left open: first each set against the nearest it meets, which joins most of a large group
+        # of near copies, and last all that is still in different components.
+        for nearest in (True, False):
+            self._open(buckets, nearest)
+
+    def _open(self, buckets: DataFrame, nearest: bool) -> None:
+        """Links between sets of different components that share a bucket."""
         rooted = common.stored(self.rooted(buckets.select("sig", "fp", "kind")), "jaccard-rooted")
         crowds = common.stored(
             rooted.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -331,11 +351,12 @@ class _Join:
             rows.join(self.classes.select("fp", "n", "parity"), "fp")
             .select("sig", "fp", "root", "probe", "n", "parity")
             .repartition("sig").sortWithinPartitions("sig", "n", "probe")
-            .mapInArrow(_meet, "a bigint, b bigint")
+            .mapInArrow(_meet(nearest), "a bigint, b bigint")
         )
         hard = self.classes.where("hard").select("fp").unionByName(chosen.where(F.col("size") > CROWD).select("fp")).distinct()
-        for block in self._blocks(common.stored(self.rooted(hard).join(self.classes, "fp"), "jaccard-hard")):
-            pairs = pairs.unionByName(block)
+        if not nearest:
+            for block in self._blocks(common.stored(self.rooted(hard).join(self.classes, "fp"), "jaccard-hard")):
+                pairs = pairs.unionByName(block)
         self.link(common.stored(pairs.distinct(), "jaccard-candidates"))
 
     def _blocks(self, hard: DataFrame) -> Iterator[DataFrame]:
