@@ -86,3 +86,45 @@ def test_table(spark, make_notes):
     assert sorted(again) == sorted(got)
     assert leaks.find_leaks(make_notes(rows), reserved.limit(0)).collect() == []
     assert leaks.find_leaks(make_notes(rows).limit(0), reserved).collect() == []
+
+
+def test_passages_at_every_offset_are_found(spark, make_notes):
+    rng = random.Random(5)
+    item = leaks.folded(prose(rng, 40))
+    index, n = leaks.Index([("b", "i", item)]), len(item)
+    before, after = leaks.folded(prose(rng, 30)).upper(), leaks.folded(prose(rng, 30)).upper()
+    for long in (96, 110, 130):
+        for at in range(n - long + 1):
+            text = before + item[at : at + long] + after
+            got = index.find(text)
+            assert len(got) == 1 and got[0][0] == 0 and got[0][5] >= long / n, (long, at)
+    for at in range(n - 96 + 1):
+        assert index.find(before + edited(rng, item[at : at + 96], 4) + after), at
+    # Too little of the item, or too much changed.
+    assert all(index.find(before + item[at : at + 88] + after) == [] for at in range(n - 88 + 1))
+    reserved = make_notes([("b", "1", item), ("b", "2", "Who was Ada\nLovelace?"), ("b", "3", "")])
+    rows = [("v", f"{at:03}", before + item[at : at + 96] + after) for at in range(n - 96 + 1)]
+    rows += [("v", "short", "Q: who was ada  lovelace? A: a"), ("v", "other", "who was ada"), ("v", "empty", "")]
+    got = sorted((r.path, r.reserved_path) for r in leaks.find_leaks(make_notes(rows), reserved).collect())
+    assert got == [(p, "1") for _, p, _ in rows[:-3]] + [("short", "2")]
+
+
+def test_found_passages_equal_a_plain_table():
+    rng = random.Random(6)
+    for n in (3, 5, 18, 24):
+        item = leaks.folded(prose(rng, n))
+        index = leaks.Index([("b", "i", item)])
+        for edits in (0, 3, 6, 9):
+            text = leaks.folded(prose(rng, 4) + " " + edited(rng, item, edits) + " " + prose(rng, 4))
+            all_ = leaks.passages(0, item)
+            assert len(all_) == max(1, len(item) - 95) == index.count[0]
+            want = [d for d in (plain(p.text, text) for p in all_) if d <= all_[0].edits]
+            got = index.find(text)
+            assert ([(g[1], g[4]) for g in got] == [(len(want), max(want))]) if want else got == [], (n, edits)
+
+
+def test_a_run_of_one_letter_is_looked_at_in_parts(monkeypatch):
+    monkeypatch.setattr(leaks, "POSTS", 1000)
+    index = leaks.Index([("b", "i", "a" * 150), ("b", "j", "b" * 120 + "c" * 40)])
+    assert index.find("x" * 50 + "a" * 3000)[0][:4] == (0, 55, 50, 50 + 96 + 0)
+    assert [g[:2] for g in index.find("b" * 700 + "c" * 40 + "d" * 700)] == [(1, 65)]
