@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from notelake.llm import common
 
 NOVELTY = 0.6  # marginal compressed bytes per byte from which a string is reported
 AROUND = 400  # code points of surrounding text a candidate is measured against
-SHORTEST, LONGEST = 16, 512  # code points of a candidate
+SHORTEST = 16  # code points of a candidate, at least
 
 # The patterns of plain secrets, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -25,6 +26,7 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words of a sensitive context.
 CONTEXT_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "api key", "credential", "private key", "access key", "bearer", "authorization")
 CONTEXT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)), re.ASCII | re.IGNORECASE)
+KEY_BEGINS, KEY_ENDS = (re.compile(rf"-{{4,}}\x20?{w}\b[^\n-]*PRIVATE KEY[^\n-]*-{{4,}}", re.ASCII | re.IGNORECASE) for w in ("BEGIN", "END"))
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}", re.ASCII)
 
 # Identifiers and words common in code, which prime the compressor.
@@ -83,28 +85,53 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as spans apart from each other, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def contexts(text: str) -> list[tuple[int, int]]:
+    """Whole lines with a sensitive word, and blocks of private keys (one without end goes to the end of the text)."""
+    out, word = [], CONTEXT.search(text)
+    while word:
+        end = text.find("\n", word.end())
+        end = len(text) if end < 0 else end
+        out.append((text.rfind("\n", 0, word.start()) + 1, end))
+        word = CONTEXT.search(text, end)
+    begins = KEY_BEGINS.search(text)
+    while begins:
+        ends = KEY_ENDS.search(text, begins.end())
+        end = ends.end() if ends else len(text)
+        out.append((begins.start(), end))
+        begins = KEY_BEGINS.search(text, end)
+    return _merged(out)
+
+
 def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty, low: str | None = None) -> list[tuple[int, int, float]]:
-    """Strings on a line with a sensitive word, apart from known ones, that the text around and the dictionary don't explain."""
+    """Strings in a sensitive context, apart from known ones, that the text around and the dictionary don't explain."""
     low = text.lower() if low is None else low
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    out, done = [], -1
-    for word in CONTEXT.finditer(text):
-        start, end = text.rfind("\n", 0, word.start()) + 1, text.find("\n", word.end())
-        end = len(text) if end < 0 else end
-        # A line without end is looked at near the word only.
-        start, end = max(start, done, word.start() - AROUND), min(end, word.end() + AROUND)
-        for found in CANDIDATE.finditer(text, max(0, start), end) if end > start else ():
-            a, b = found.span()
-            piece = found[0]
-            if b - a > LONGEST or a <= done or any(s < b and a < e for s, e, _ in known):
-                continue
-            if not (re.search(r"[0-9]", piece) and re.search(r"[A-Za-z]", piece)):
-                continue
-            score = novelty.of(piece, text[max(0, a - AROUND) : a], text[b : b + AROUND])
-            if score >= NOVELTY:
-                out.append((a, b, score))
-            done = b
+    out, within, taken = [], contexts(text), _merged([(s, e) for s, e, _ in known])
+    starts, taken_starts = [s for s, _ in within], [s for s, _ in taken]
+    # Candidates are those of the whole text, so that none is cut at the edge of a context.
+    for found in CANDIDATE.finditer(text, starts[0]) if within else ():
+        a, b = found.span()
+        piece = found[0]
+        k, last = bisect_right(starts, b - 1) - 1, bisect_right(taken_starts, b - 1) - 1
+        if within[k][1] <= a or (last >= 0 and a < taken[last][1]):
+            continue
+        if not (re.search(r"[0-9]", piece) and re.search(r"[A-Za-z]", piece)):
+            continue
+        score = novelty.of(piece, text[max(0, a - AROUND) : a], text[b : b + AROUND])
+        if score >= NOVELTY:
+            out.append((a, b, score))
     return out
 
 
@@ -112,8 +139,9 @@ def find_secrets(notes: DataFrame) -> DataFrame:
     """``vault, path, spans`` of every note: its secrets, by start, then kind.
 
     The kinds ``assign``, ``access`` and ``hex`` come from fixed patterns, leftmost and without overlap
-    in each kind.  ``novel`` adds strings of 16 to 512 code points with letters and
-    digits near a sensitive word: each is compressed with and without the text around
+    in each kind.  ``novel`` adds strings of 16 or more code points with letters and
+    digits on a line with a sensitive word, however long, or in the block of a private key: each is
+    compressed with and without the 400 code points before and after
     it, by a zstandard compressor primed with identifiers, and reported with its ``novelty`` when the
     marginal bytes are 0.6 or more of its own; the other kinds have no novelty.
 

@@ -105,6 +105,29 @@ def test_novelty_tells_random_from_words():
     assert random_ >= 195 and names <= 5
 
 
+def test_novel_strings_are_whole():
+    novelty, rng = secrets.Novelty(), random.Random(8)
+    token = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+
+    def spans(text):
+        return [(a, b) for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text), novelty)]
+
+    filler = ("so we went on to talk of the other things and " * 200)[:380]
+    for size, gap in ((60, 380), (60, 340), (60, 395), (600, 1), (5000, 1), (60, 9000)):
+        piece, between = token(size), (filler * 30)[: gap - 1] + " "
+        for head, tail in (("the private key is " + between, ""), ("", between + " as bearer")):
+            text = f"First line.\n{head}{piece} {tail}\nlast line {token(40)}"
+            at = text.index(piece)
+            assert spans(text) == [(at, at + size)], (size, gap)
+    lines = [token(64) for _ in range(20)]
+    for kind in ("PRIVATE KEY", "RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        for end in (f"-----END {kind}-----\n{token(50)}\n", ""):
+            text = f"{token(50)}\n-----BEGIN {kind}-----\n\n" + "\n".join(lines) + "\n" + end
+            assert spans(text) == [(text.index(x), text.index(x) + 64) for x in lines]
+    cut = "-----BEGIN CERTIFICATE-----\n" + "\n".join(lines)
+    assert spans(cut) == [] and spans(cut + "\n-----END CERTIFICATE-----\nno secret here") == []
+
+
 RULES = urls.RULES
 
 
