@@ -56,6 +56,35 @@ def test_notices(spark, make_notes):
     assert licenses.find_licenses(make_notes(rows).limit(0)).collect() == []
 
 
+def test_notices_get_the_right_name(spark, make_notes):
+    full = {}
+    for name, text in licenses.ALL_TEMPLATES:
+        full[name] = max(full.get(name, ""), text, key=len)
+    want = {
+        "Released under the BSD License.": ["BSD"], "Released under the BSD 2-Clause License.": ["BSD-2-Clause"], "Licensed under CC BY 4.0.": ["CC-BY-4.0"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"], "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"], "Released under CC-BY-SA-3.0": ["CC-BY-SA-3.0"],
+        "Licensed under the Apache License, Version 1.1.": ["Apache-1.1"], "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "Licensed under the Apache License 2.0": ["Apache-2.0"], "Released under the MIT License.": ["MIT"], "Released under the MIT Licence.": ["MIT"], "Released under the MIT.": ["MIT"],
+        "Released under the MIT Press agreement": [], "Released under the modified MIT License.": [], "Released under the ISC License.": ["ISC"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"], "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "This work is licensed under the GNU General Public License v3": ["GPL-3.0"], "This work is licensed under the GNU General Public License.": ["GPL"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"], "It is licensed under the LGPL version 2.1": ["LGPL-2.1"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"], "Licensed under the Mozilla Public License, version 2.0.": ["MPL-2.0"],
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": ["CC-BY-4.0"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        "Released under the MIT License. Licensed under CC BY 4.0.": ["MIT", "CC-BY-4.0"], "Mit der Lizenz the license is under the released": [],
+    }
+    for name in ("Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "HPND", "MPL-2.0"):
+        want[f"Some notes.\n{full[name]}\nMore notes."] = [name]
+    later = full["GPL-2.0"]
+    only = later[: later.index("the GNU")] + "version 2 of the GNU General Public License as published by the Free Software Foundation" + later[later.index(". This program is") :]
+    want |= {only: ["GPL-2.0"], later.replace("GNU General", "GNU Library General"): ["LGPL-2.0"], later.replace("version 2", "version 9"): ["GPL"]}
+    got = {}
+    for r in licenses.find_licenses(make_notes([("v", text, text) for text in want])).collect():
+        got.setdefault(r.path, []).append((r.start, r.license))
+    assert {text: [name for _, name in sorted(got.get(text, []))] for text in want} == want
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
