@@ -1,6 +1,6 @@
 """The leading ``---`` property block of a note, as built-in expressions.
 
-The grammar read here: ``key: scalar``, ``key: [a, b]`` (over several lines too),
+The grammar read here: ``key: scalar``, ``key: [a, [b, {c: d}]]`` (over several lines too),
 ``key:`` followed by ``- item`` lines or by an indented map of such scalars and lists, block
 scalars (``|`` and ``>``), and values written as JSON.  An entry outside it (deeper maps, a key
 given before) is left out by itself and flagged by :func:`frontmatter_error`; the others count, so one
@@ -30,6 +30,11 @@ FLOW_LIST = r"\A\[[^\[\]{}]*\]\z"
 ITEM_LINES = r"\A-\s"
 # One element of a flow list: quoted text, or anything up to the next comma.
 FLOW_ITEM = r"""\s*("(?:[^"\\]|\\.)*+"|'(?:[^']|'')*+'|[^,"'\s][^,]*?)\s*(?:,|\z)"""
+# The parts of a nested flow collection: quoted text, brackets, commas, colons, plain text.
+FLOW_TOKEN = (
+    r"""("(?:[^"\\]|\\.)*+"|'(?:[^']|'')*+'|[\[\]{},]|(?<=["']):|:(?=[\s\[\]{},]|\z)"""
+    r"""|[^\s\[\]{},:"'](?:[^\[\]{},:\r\n]|:(?![\s\[\]{},]|\z))*+)"""
+)
 
 NULLS = ("", "~", "null", "Null", "NULL")
 TRUES = ("true", "True", "TRUE")
@@ -111,10 +116,10 @@ def _scalar(raw: Column) -> Column:
     return let(trim_ws(bare), rule)
 
 
-def _list(items: Column) -> Column:
-    """Flow text of a list of scalars; null as soon as one item is unknown."""
+def _list(items: Column, item=_scalar) -> Column:
+    """Flow text of a list; null as soon as one item is unknown."""
     return let(
-        F.transform(items, _scalar),
+        F.transform(items, item),
         lambda ys: F.when(
             ~F.exists(ys, lambda y: y.isNull()),
             F.concat(F.lit("["), F.array_join(ys, ","), F.lit("]")),
@@ -122,19 +127,46 @@ def _list(items: Column) -> Column:
     )
 
 
+def _flow(raw: Column) -> Column:
+    """Flow text of a nested list or map; null when it is none or one of its scalars is unknown."""
+
+    def part(ts: Column, t: Column, i: Column) -> Column:
+        following = F.get(ts, i + 1)
+        return (
+            F.when(t == ",", F.when(following.isin("]", "}"), "").otherwise(t))
+            .when(F.rlike(t, F.lit(r"\A[\[\]{}:]\z")), t)
+            .when((following == ":") & ~F.rlike(t, F.lit(r"\A[\"']")), json_string(trim_ws(t)))
+            .otherwise(_scalar(t))
+        )
+
+    def rule(v: Column) -> Column:
+        def joined(ts: Column) -> Column:
+            # Nothing but white space lies between the parts.
+            whole = F.regexp_replace(F.array_join(ts, ""), r"\s", "") == F.regexp_replace(v, r"\s", "")
+            ys = F.transform(ts, lambda t, i: part(ts, t, i))
+            return let(ys, lambda y: F.when(whole & ~F.exists(y, lambda x: x.isNull()), F.array_join(y, "")))
+
+        read = let(F.regexp_extract_all(v, F.lit(FLOW_TOKEN), 1), joined)
+        checked = let(read, lambda y: F.when(F.try_parse_json(_quote_dates(y)).isNotNull(), y))
+        return F.when(F.try_parse_json(v).isNotNull(), v).otherwise(checked)
+
+    return let(trim_ws(F.regexp_replace(raw, r"(?<=[\]}])[ \t]+#[^\r\n]*\z", "")), rule)
+
+
 def _value(raw: Column) -> Column:
     def rule(v: Column) -> Column:
         inner = F.substring(v, F.lit(2), F.length(v) - 2)
         return (
             F.when(F.rlike(v, F.lit(FLOW_LIST)), _list(F.regexp_extract_all(inner, F.lit(FLOW_ITEM), 1)))
-            .when(F.rlike(v, F.lit(r"\A[\[{]")), F.when(F.try_parse_json(v).isNotNull(), v))
+            .when(F.rlike(v, F.lit(r"\A[\[{]")), _flow(v))
             .when(
                 F.rlike(v, F.lit(ITEM_LINES)),
                 _list(
                     F.transform(
                         F.split(v, r"\r?\n(?=[ \t]*-\s|[ \t]*-\z)"),
                         lambda item: F.regexp_replace(item, r"\A[ \t]*-\s*", ""),
-                    )
+                    ),
+                    lambda item: F.when(F.rlike(item, F.lit(r"\A[\[{]")), _flow(item)).otherwise(_scalar(item)),
                 ),
             )
             .otherwise(_scalar(v))
@@ -185,7 +217,7 @@ def _json_of(y: Column) -> Column:
 
 
 def _quote_dates(y: Column) -> Column:
-    has_date = F.rlike(y, F.lit(r"\A\[?(?:.*,)?\d{4}-\d{2}-\d{2}T"))
+    has_date = F.rlike(y, F.lit(r"(?:\A|[\[,:])\d{4}-\d{2}-\d{2}T"))
     marked = _json_of(y)
     # A marked string ends in an empty pair; a marked date sits inside the pair.
     quoted = F.replace(marked, F.lit("\u0001\u0002"), F.lit(""))

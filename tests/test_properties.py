@@ -59,6 +59,25 @@ def test_nested_values(spark):
         assert row.error is False and row.tags == tags, note
 
 
+FLOWS = [
+    ("---\ntags: [a, [b, c]]\nn: 1\n---\n", {"tags": ["a", ["b", "c"]], "n": 1}, ["a", "b", "c"]),
+    ("---\ntags:\n- a\n- [b, 'c d']\n- e\n---\n", {"tags": ["a", ["b", "c d"], "e"]}, ["a", "b", "c", "d", "e"]),
+    ("---\ntags: [[a, [#b]], \"c\", {no: [d, 1.50], 'k 2': x: y}]\nk: 1\n---\n", None, []),
+    ("---\ntags: [a, {no: [d, 1.50], 'k 2': 'it''s', 3: ~}, [],\n  [e f, ],]\n---\n",
+     {"tags": ["a", {"no": ["d", 1.5], "k 2": "it's", "3": None}, [], ["e f"]]}, ["a", "e", "f"]),
+    ("---\nup: [[Note|x]] # c\nm: {a: {b: 2026-01-02}, url: http://x.y/z}\nd: [[2026-01-02, ',2026-01-02T']]\n---\n",
+     {"up": [["Note|x"]], "m": {"a": {"b": "2026-01-02T00:00:00.000Z"}, "url": "http://x.y/z"}, "d": [["2026-01-02T00:00:00.000Z", ",2026-01-02T"]]}, []),
+    ("---\ntags: [a, [b, \"c]]\nk: 1\n---\n", None, []),
+    ("---\ntags: [a, [b]\nk: 1\n---\n", None, []),
+]
+
+
+def test_nested_flow_collections(spark):
+    for (note, properties, tags), row in zip(FLOWS, read(spark, [n for n, _, _ in FLOWS])):
+        assert json.loads(row.text) == ({"k": 1} if properties is None else properties), note
+        assert row.error is (properties is None) and row.tags == tags, note
+
+
 # What cannot be read is left out by itself and flagged.
 ODD = [
     ("---\na:\n  b:\n    c: 1\ntags: [keep]\n---\nx", {"tags": ["keep"]}),
