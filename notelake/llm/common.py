@@ -7,7 +7,7 @@ key part or text reads as the empty string.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -113,12 +113,13 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - before, counts)
 
 
-def document_notes(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The note form of a documents table: the path is the padded doc_id, so paths sort as ids do."""
+def document_notes(documents: DataFrame, text: str = "text", others: Sequence[str] = ()) -> DataFrame:
+    """The note form of a documents table: the path is the padded doc_id, so paths sort as ids do (those below 0 do not)."""
     return documents.select(
         F.lit("documents").alias("vault"),
         F.format_string("%019d", F.col("doc_id")).alias("path"),
         F.col(text).alias("content"),
+        *others,
     )
 
 

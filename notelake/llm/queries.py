@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import common, exact, jaccard, language, leaks, licenses, pieces, repeats, secrets, tokens, urls
+from notelake.llm import common, exact, filter_audit, jaccard, language, leaks, licenses, pieces, repeats, secrets, tokens, urls
 from notelake.operators.checkpoints import scratch
 
 
@@ -135,6 +135,55 @@ def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    notes = common.document_notes(documents, others=["lang"])
+    labels = _table(spark, sf_dir, "labels").select(
+        "doc_id", F.lit("").alias("text"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic")
+    )
+    return filter_audit.audit_filters(notes, common.document_notes(labels, others=["good", "toxic"]), part="lang")
+
+
+AUDIT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), failed AS (
+  SELECT part,
+         (len(words) < 100)::INT
+         + (100 * len(list_distinct(words)) < 80 * len(words))::INT * 2
+         + (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT * 4
+         + regexp_matches(text, '[#$%&*|]')::INT * 8
+         + coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT * 16 AS fails,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM t LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1) USING (doc_id)
+), counts AS (
+  SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM failed GROUP BY 1, 2
+), letter(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders, range(1, 6) r(step)
+), audited AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails & before > 0 AND fails & bit > 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM audited
+"""
+
+
 SUITE = {
     "op1_jaccard_join": (op1_jaccard_join, None),
     "op2_token_files": (op2_token_files, None),
@@ -146,4 +195,5 @@ SUITE = {
     "op8_exact_dedup": (op8_exact_dedup, EXACT_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_piece_ids": (op10_piece_ids, None),
+    "op11_filter_audit": (op11_filter_audit, AUDIT_SQL),
 }

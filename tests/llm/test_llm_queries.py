@@ -30,7 +30,7 @@ def rows(spark, sf_dir, name):
 
 def test_all_are_registered():
     names = [re.match(r"op(\d+)_", n) for n in __spark_entry__.queries()]
-    assert sorted(int(m[1]) for m in names if m) == list(range(1, 11))
+    assert sorted(int(m[1]) for m in names if m) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
