@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import common, exact, filter_audit, jaccard, language, leaks, licenses, pieces, repeats, secrets, tokens, urls
+from notelake.llm import common, exact, filter_audit, hard_negatives, jaccard, language, leaks, licenses, pieces, repeats, secrets, tokens, urls
 from notelake.operators.checkpoints import scratch
 
 
@@ -184,6 +184,36 @@ FROM audited
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", label.alias("label"))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), q AS (
+  SELECT vec_id, label, i, floor(256 * x)::BIGINT AS x FROM v
+  WHERE vec_id NOT IN (SELECT vec_id FROM v WHERE x IS NULL OR NOT isfinite(x))
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, sum(a.x * b.x)::BIGINT AS score
+  FROM q a JOIN q b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1, 2, 3
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
 SUITE = {
     "op1_jaccard_join": (op1_jaccard_join, None),
     "op2_token_files": (op2_token_files, None),
@@ -196,4 +226,5 @@ SUITE = {
     "op9_language_id": (op9_language_id, None),
     "op10_piece_ids": (op10_piece_ids, None),
     "op11_filter_audit": (op11_filter_audit, AUDIT_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, NEGATIVES_SQL),
 }
