@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import common, exact, filter_audit, hard_negatives, jaccard, language, leaks, licenses, pieces, repeats, secrets, tokens, urls
+from notelake.llm import common, exact, extraction, filter_audit, hard_negatives, jaccard, language, leaks, licenses, pieces, repeats, secrets, tokens, urls
 from notelake.operators.checkpoints import scratch
 
 
@@ -184,6 +184,13 @@ FROM audited
 """
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.document_notes(_table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"), "html", ["doc_id", "url"])
+    return extraction.extract_text(pages, carry=["doc_id", "url"]).select(
+        F.col("doc_id").alias("page_id"), "url", F.col("content").alias("text"), F.length("content").cast("bigint").alias("n_chars"), "n_blocks", "n_kept"
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", label.alias("label"))
@@ -226,5 +233,6 @@ SUITE = {
     "op9_language_id": (op9_language_id, None),
     "op10_piece_ids": (op10_piece_ids, None),
     "op11_filter_audit": (op11_filter_audit, AUDIT_SQL),
+    "op12_html_text": (op12_html_text, None),
     "op13_hard_negatives": (op13_hard_negatives, NEGATIVES_SQL),
 }
