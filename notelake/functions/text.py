@@ -43,9 +43,10 @@ def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``.
 
     Without this, an expression used k times in a nested rule is copied k times
-    into the tree.
+    into the tree.  The fold has no steps; the element of a one-item array would
+    be typed anew for every row.
     """
-    return F.transform(F.array(value), body).getItem(0)
+    return F.aggregate(F.array().cast("array<boolean>"), value, lambda v, _: v, body)
 
 
 def trim_ws(c: Column) -> Column:

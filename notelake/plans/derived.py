@@ -7,6 +7,8 @@ notes and change commands.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
@@ -16,9 +18,39 @@ _TASKS = 6
 _SECTIONED = (4, 10, 11)
 _DOC_KEY = "lpad(cast(doc_id as string), 6, '0')"
 
+# Forms of the property block in turn, each as (block, tags as JSON, what follows the status as JSON); ``{lang}``,
+# ``{source}`` and ``{status}`` stand for the document's.  The tags are its language and source in all of them.
+PROPERTY_FORMS = (
+    ("tags: [{lang}, {source}]\nstatus: {status}\n", '["{lang}","{source}"]', ""),
+    ("tags:\n  - {lang}\n  -\n    - {source}\nstatus: {status}\n", '["{lang}",["{source}"]]', ""),
+    ("tags: &t [{lang}, {source}]\nstatus: {status}\nmore: *t\n", '["{lang}","{source}"]', ',"more":["{lang}","{source}"]'),
+    ("{tags: [{lang}, {no: tag}, {source}], status: {status}}\n", '["{lang}",{"no":"tag"},"{source}"]', ""),
+    (
+        "tags:\n- - {lang}\n  - {source}\n- true\nstatus: {status}\nby:\n- name: Ann\n  at:\n    day: 2026-01-02\n- name: Bo\n",
+        '[["{lang}","{source}"],true]',
+        ',"by":[{"name":"Ann","at":{"day":"2026-01-02T00:00:00.000Z"}},{"name":"Bo"}]',
+    ),
+    ("tags: [1e3, 0x1F, .5, 1_000, 007, {lang}, {source}]\nstatus: {status}\n", '[1000,31,0.5,1000,7,"{lang}","{source}"]', ""),
+    ("tags: '{lang},\n  {source}'\nstatus: >-\n  {status}\ntitle: \"one\n\n  two\"\n", '"{lang}, {source}"', ',"title":"one\\ntwo"'),
+)
+
+
+def _filled(form: str) -> str:
+    """A form as SQL text that both engines read."""
+    parts = re.split(r"(\{(?:lang|source|status)\}|\n)", form)
+    names = {"{lang}": "lang", "{source}": "source", "{status}": "CASE WHEN doc_id % 3 = 0 THEN 'done' ELSE 'open' END", "\n": "chr(10)"}
+    quoted = (names.get(p) or "'" + p.replace("'", "' || chr(39) || '").replace("\\", "' || chr(92) || '") + "'" for p in parts if p)
+    return "concat(''" + "".join(f", {q}" for q in quoted) + ")"
+
+
+def property_form(part: int) -> str:
+    """SQL for one part of the form that a document's id chooses."""
+    cases = " ".join(f"WHEN {i} THEN {_filled(form[part])}" for i, form in enumerate(PROPERTY_FORMS))
+    return f"CASE doc_id % {len(PROPERTY_FORMS)} {cases} END"
+
+
 DOCUMENT_NOTE = rf"""
-    concat('---\n', 'tags: [', lang, ', ', source, ']\n',
-           'status: ', if(doc_id % 3 = 0, 'done', 'open'), '\n---\n',
+    concat('---\n', {property_form(0)}, '---\n',
            text, '\n#', lang, '/', source, ' #q', cast(doc_id % 10 as string), '\n',
            'See [[', lpad(cast(doc_id + 20 as string), 6, '0'), '|next]] and [[',
            lang, '/', {_DOC_KEY}, '.md#top]]\n')

@@ -8,19 +8,18 @@ lambdas are avoided.
 from __future__ import annotations
 
 from ..schema import ROLES
+from .derived import property_form
 
 # The patterns of links, hashtags and tasks, as the checking engine writes them.
 LINK_PATTERN = r"\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]"
 HASHTAG_PATTERN = r"(?m)(?:^|\s)#([\w/-]+)"
 TASK_PATTERN = r"(?m)^\s*-\s*\[([ xX])\]\s+(.+)$"
 
-NOTES_CTE = r"""
+NOTES_CTE = rf"""
 raw_notes AS (
   SELECT source AS vault,
          lang || '/' || lpad(cast(doc_id AS varchar), 6, '0') || '.md' AS path,
-         concat('---', chr(10), 'tags: [', lang, ', ', source, ']', chr(10),
-                'status: ', CASE WHEN doc_id % 3 = 0 THEN 'done' ELSE 'open' END, chr(10), '---', chr(10),
-                text, chr(10), '#', lang, '/', source, ' #q', cast(doc_id % 10 AS varchar), chr(10),
+         concat('---', chr(10), {property_form(0)}, '---', chr(10), text, chr(10), '#', lang, '/', source, ' #q', cast(doc_id % 10 AS varchar), chr(10),
                 'See [[', lpad(cast(doc_id + 20 AS varchar), 6, '0'), '|next]] and [[',
                 lang, '/', lpad(cast(doc_id AS varchar), 6, '0'), '.md#top]]', chr(10)) AS content
   FROM documents
@@ -68,23 +67,23 @@ commands AS (
 )
 """
 
-# Property blocks in the derived notes are the two fixed lines of the document notes.
-PROPERTIES_CTE = r"""
+# Property blocks stand in the document notes alone, whose names end in the document's id.
+PROPERTIES_CTE = rf"""
 properties AS (
-  SELECT *, CASE WHEN block = '' THEN '{}' ELSE
-           concat('{"tags":["', regexp_extract(block, 'tags: \[(.*), (.*)\]', 1), '","',
-                  regexp_extract(block, 'tags: \[(.*), (.*)\]', 2), '"],"status":"',
-                  regexp_extract(block, 'status: (.*)', 1), '"}') END AS properties
-  FROM (SELECT *, CASE WHEN starts_with(content, '---' || chr(10))
-                       THEN regexp_extract(content, '^---\n((?s:.*?\n))---\n', 1) ELSE '' END AS block
-        FROM notes)
+  SELECT *, CASE WHEN block = '' THEN '{{}}' ELSE
+           concat('{{"tags":', tags, ',"status":"', CASE WHEN doc_id % 3 = 0 THEN 'done' ELSE 'open' END, '"', others, '}}') END AS properties
+  FROM (SELECT *, {property_form(1)} AS tags, {property_form(2)} AS others
+        FROM (SELECT *, vault AS source, split_part(path, '/', 1) AS lang,
+                     CASE WHEN block <> '' THEN regexp_extract(path, '(\d+)\.md$', 1)::BIGINT END AS doc_id
+              FROM (SELECT *, CASE WHEN starts_with(content, '---' || chr(10))
+                                   THEN regexp_extract(content, '^---\n((?s:.*?\n))---\n', 1) ELSE '' END AS block
+                    FROM notes)))
 )
 """
 
 TAGS_CTE = rf"""
 tags AS (
-  SELECT vault, path, trim(unnest(string_split(regexp_extract(block, 'tags: \[(.*)\]', 1), ','))) AS tag,
-         'frontmatter' AS origin
+  SELECT vault, path, unnest([lang, source]) AS tag, 'frontmatter' AS origin
   FROM properties WHERE block <> ''
   UNION ALL
   SELECT vault, path, unnest(regexp_extract_all(content, '{HASHTAG_PATTERN}', 1)), 'hashtag'

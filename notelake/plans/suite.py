@@ -53,18 +53,24 @@ _query(
 )
 
 
-@_query("frontmatter", sql("SELECT vault, path, properties AS frontmatter FROM properties", "properties"))
+@_query(
+    "frontmatter",
+    sql(
+        """SELECT vault, path, tags,
+                  CASE WHEN block <> '' THEN CASE WHEN doc_id % 3 = 0 THEN 'done' ELSE 'open' END END AS status,
+                  CASE WHEN others LIKE ',"by"%' THEN 'Ann' END AS first_name
+           FROM properties""",
+        "properties",
+    ),
+)
 def frontmatter(spark, sf):
-    """Property maps read back out of the dynamic value, key by key."""
-    content = F.col("content")
-    v = fm.frontmatter("content")
-    by_key = F.concat(
-        F.lit('{"tags":'), F.variant_get(v, "$.tags", "string"),
-        F.lit(',"status":"'), F.variant_get(v, "$.status", "string"), F.lit('"}'),
-    )
-    has = F.startswith(content, F.lit("---\n"))
-    return derived.notes(spark, sf).select(
-        "vault", "path", F.when(has, by_key).otherwise(F.to_json(v)).alias("frontmatter")
+    """Values read back out of the dynamic properties, a nested one too."""
+    rows = derived.notes(spark, sf).select("vault", "path", fm.frontmatter("content").alias("v"))
+    return rows.select(
+        "vault", "path",
+        F.to_json(F.variant_get("v", "$.tags", "variant")).alias("tags"),
+        F.variant_get("v", "$.status", "string").alias("status"),
+        F.variant_get("v", "$.by[0].name", "string").alias("first_name"),
     )
 
 
@@ -923,10 +929,8 @@ def move_notes(spark, sf):
     "update_frontmatter",
     sql(
         r"""SELECT p.vault AS vault, p.path AS path,
-                   concat('{', CASE WHEN block <> '' THEN
-                            concat('"tags":["', regexp_extract(block, 'tags: \[(.*), (.*)\]', 1), '","',
-                                   regexp_extract(block, 'tags: \[(.*), (.*)\]', 2), '"],') ELSE '' END,
-                          '"status":"seen","events":', cast(e.n AS varchar), ',"last":"', e.last, '"}') AS properties,
+                   concat('{', CASE WHEN block <> '' THEN concat('"tags":', tags, ',') ELSE '' END,
+                          '"status":"seen"', others, ',"events":', cast(e.n AS varchar), ',"last":"', e.last, '"}') AS properties,
                    sha256(CASE WHEN block = '' THEN content ELSE substring(content, length(block) + 9) END) AS body_hash
             FROM properties p
             JOIN (SELECT concat('src', cast(user_id % 20 AS varchar)) AS vault, count(*) AS n,

@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import model
@@ -78,9 +80,95 @@ def test_nested_flow_collections(spark):
         assert row.error is (properties is None) and row.tags == tags, note
 
 
+DEEP = [
+    ("a:\n  b:\n    c: 1\n    d: [x, {y: z}]\n  e: 2\nf: 3", {"a": {"b": {"c": 1, "d": ["x", {"y": "z"}]}, "e": 2}, "f": 3}, []),
+    ("tags:\n  - a\n  -\n    - b", {"tags": ["a", ["b"]]}, ["a", "b"]),
+    ("tags:\n- - b\n  - - c\n    - d\n- e", {"tags": [["b", ["c", "d"]], "e"]}, ["b", "c", "d", "e"]),
+    ("people:\n  - name: Ann\n    age: 3\n    likes:\n    - tea\n    - jam\n  - name: Bo\n\n  -\n    name: Cy\ntags: x",
+     {"people": [{"name": "Ann", "age": 3, "likes": ["tea", "jam"]}, {"name": "Bo"}, {"name": "Cy"}], "tags": "x"}, ["x"]),
+    ("a:\n- b: 1\n  c:\n    - d\n- - e: 1\n    f: 2\n  - g\nh:\n  i:\n  j: ~\n", {"a": [{"b": 1, "c": ["d"]}, [{"e": 1, "f": 2}, "g"]], "h": {"i": None, "j": None}}, []),
+    ("title: one two\n  three\n\n  four\nq: \"a\n  b\n\n  c \\n d\"\ns: 'it''s\n  on'\nu:\n  below the key\n  and on\n", {"title": "one two three\nfour", "q": "a b\nc \n d", "s": "it's on", "u": "below the key and on"}, []),
+    ("tags: &t [a, b]\nmore: *t\nx: &s 'k'\ny: [*s, {z: *s}]\ndeep: &d\n  p: *s\nagain:\n- *d\n- &n 5\n- *n", {"tags": ["a", "b"], "more": ["a", "b"], "x": "k", "y": ["k", {"z": "k"}], "deep": {"p": "k"}, "again": [{"p": "k"}, 5, 5]}, ["a", "b"]),
+    ("{tags: [a, b], m: {k: 'v, w'}, n: 1}", {"tags": ["a", "b"], "m": {"k": "v, w"}, "n": 1}, ["a", "b"]),
+    ('{"tags": ["a"],\n "n": null,\n}', None, []),
+    ("m:\n  text: |\n    - no: item\n      # no comment\n\n    end\n  keep: >+\n    a\n    b\n\n  last: 1\nl:\n- |-\n  x\n   y\n- z", {"m": {"text": "- no: item\n  # no comment\n\nend\n", "keep": "a b\n\n", "last": 1}, "l": ["x\n y", "z"]}, []),
+    ("a: [x, # first\n  y, # it's\n  z]\nb:\n  # between\n  c: 1 # end\n  # after\nd: # nothing\n  - 1\n", {"a": ["x", "y", "z"], "b": {"c": 1}, "d": [1]}, []),
+    ("tags: [\n  a,\n  b\n]\nm: {\n  k: 1\n}\nu: http://a:80/b#c\n", {"tags": ["a", "b"], "m": {"k": 1}, "u": "http://a:80/b#c"}, ["a", "b"]),
+    ("a: |2\n    two\n  none\nb: 1\n", {"a": "  two\nnone\n", "b": 1}, []),
+    ('"\\xfc": "\\x41\\t\\e[0m\\U0001F600 \\\\x41\\_\\\n  end"\n', {"ü": "A\t\x1b[0m😀 \\x41\xa0end"}, []),
+    ("'a b': 1\n\"c\\td\": 2\n3: x\nm:\n  'k''k': 1\n  \"q\": 2", {"a b": 1, "c\td": 2, "3": "x", "m": {"k'k": 1, "q": 2}}, []),
+    ("tags:\n  - x\n  - {name: y}\n  - [z]\n  - 5\n  - 'v w'\n  - ~\n", {"tags": ["x", {"name": "y"}, ["z"], 5, "v w", None]}, ["x", "z", "v", "w"]),
+]
+
+
+def test_blocks_of_any_depth(spark):
+    for (block, properties, tags), row in zip(DEEP, read(spark, [f"---\n{b}\n---\nx" for b, _, _ in DEEP])):
+        if properties is not None:
+            assert (json.loads(row.text), row.error, row.tags) == (properties, False, tags), block
+            assert list(json.loads(row.text)) == list(properties)
+
+
+TEXTS = [
+    "a", "two words", "x: y", "- dash", "#no", "it's", 'say "hi"', "12", "1.5", "true", "null", "2026-01-02", "[x]", "{y}", "é😀", "a,b", "*star", "&amp", "end:",
+    "line one\nline two\n", "tab\there", "long " + "word " * 30, "", " lead", "trail ", "!bang", "%p", "@at", "`tick", "|", "> x", "?", "-", "~", "a\n\nb", "  two\n more\n",
+]
+
+
+def test_against_a_yaml_writer(spark):
+    """Random values in all styles that a writer of YAML has."""
+    yaml = pytest.importorskip("yaml")
+    draw = random.Random(7)
+
+    def value(depth):
+        kind = draw.random()
+        if depth == 0 or kind < 0.5:
+            return draw.choice([*TEXTS, 1, -7, 2.5, True, False, None])
+        if kind < 0.75:
+            return [value(depth - 1) for _ in range(draw.randint(0, 3))]
+        return {draw.choice(["k", "key two", "n1", "q'q", "x-y", "über"]): value(depth - 1) for _ in range(draw.randint(0, 3))}
+
+    held = [{f"p{j}": value(3) for j in range(draw.randint(1, 4))} for _ in range(150)]
+    blocks = [
+        yaml.safe_dump(
+            m, default_flow_style=draw.choice([None, False, True]), indent=draw.choice([2, 3, 4]), width=draw.choice([30, 80, 1000]),
+            allow_unicode=draw.random() < 0.7, sort_keys=False, default_style=draw.choice([None] * 9 + ["'", '"']),
+        )
+        for m in held
+    ]
+    cases = [(b, m) for b, m in zip(blocks, held) if "!!" not in b]
+    for (block, want), row in zip(cases, read(spark, [f"---\n{b}---\nx" for b, _ in cases])):
+        assert (json.loads(row.text), row.error) == (want, False), block
+
+
+SCALARS = [
+    ("1e3", 1000), ("0x1F", 31), (".5", 0.5), ("1_000", 1000), ("007", 7), ("-0b101", -5), ("+12", 12), ("0o7", "0o7"), ("08", "08"), ("1.", 1),
+    ("1_0.2_5", 10.25), ("-1.5E-2", -0.015), ("1e-9", 1e-9), ("2.5e+30", 2.5e30), ("190:20:30", 685230), ("-1:30", -90), ("1:60", "1:60"), ("0", 0), ("-0", 0), ("1_", "1_"),
+    (".inf", None), ("-.INF", None), (".nan", None), (".Nan", ".Nan"), ("1.2.3", "1.2.3"), ("12e", "12e"), ("TRUE", True), ("yes", "yes"), ("Null", None), ("nUll", "nUll"),
+    ("2026-01-02", "2026-01-02T00:00:00.000Z"), ("2026-01-02T03:04:05Z", "2026-01-02T03:04:05.000Z"), ("2026-1-2 3:04:05.1", "2026-01-02T03:04:05.100Z"),
+    ("2026-01-02 03:04:05 +2", "2026-01-02T01:04:05.000Z"), ("2026-01-02T03:04:05-02:30", "2026-01-02T05:34:05.000Z"), ("2026-1-2", "2026-1-2"), ("20260102", 20260102),
+]
+
+
+def test_scalars(spark):
+    notes = [f"---\nv: {s}\ntags: [{s}]\n---\n" for s, _ in SCALARS]
+    for (given, want), row in zip(SCALARS, read(spark, notes)):
+        is_tag = isinstance(want, str) and not want.endswith("Z")
+        assert (json.loads(row.text), row.error) == ({"v": want, "tags": [want]}, False), given
+        assert row.tags == ([want] if is_tag else []), given
+
+
+def test_merge_keeps_odd_scalars(spark, make_notes, make_vaults):
+    notes = make_notes([("v", "a.md", "---\nbig: .inf\nday: 2026-01-02\nlist: [.nan, x]\nm:\n  k:\n  - 1\n---\nT")])
+    after = update_frontmatter(notes, make_vaults("v"), commands(spark, [(1, "v", "a.md", [("z", "1")])])).notes.first()
+    assert after.content == '---\nbig: .inf\nday: 2026-01-02T00:00:00.000Z\nlist: [.nan,"x"]\nm: {"k":[1]}\nz: 1\n---\nT'
+
+
 # What cannot be read is left out by itself and flagged.
 ODD = [
-    ("---\na:\n  b:\n    c: 1\ntags: [keep]\n---\nx", {"tags": ["keep"]}),
+    ("---\na:\n  b: 1\n c: 1\ntags: [keep]\n---\nx", {"tags": ["keep"]}),
+    ("---\n<<: {a: 1}\nm: !!set {x}\nn: *nobody\ntags: [keep]\n---\nx", {"tags": ["keep"]}),
+    ("---\na: 'one' two\nb: [1] 2\nc: \"x\ntags: [keep]\n---\nx", {"tags": ["keep"]}),
+    ("---\nm: {a: 1, a: 2}\nd:\n  k: 1\n  k: 2\nl:\n- a\n k: 1\ntags: [keep]\n---\nx", {"tags": ["keep"]}),
     ("---\na: 1\na: 2\ntags: [keep]\n---\n", {"a": 1, "tags": ["keep"]}),
     ("---\nnever closed", {}),
     ("---\n- just\n- a list\n---\n", {}),
@@ -118,7 +206,7 @@ def test_merge_keeps_body_and_order(spark, make_notes, make_vaults):
     notes = make_notes([
         ("v", "a.md", "---\ntags: [hull]\nstage: wet\nday: 2026-01-02\n---\nPlanks and pitch."),
         ("v", "plain.md", "Only text"),
-        ("v", "odd.md", "---\na:\n  b:\n    c: d\nstage: wet\n---\nx"), ("v", "open.md", "---\na: b\n"),
+        ("v", "odd.md", "---\na: !x\n  b:\n    c: d\nstage: wet\n---\nx"), ("v", "open.md", "---\na: b\n"),
     ])
     done = [("stage", '"dry"'), ("berths", '["n", "m"]')]
     applied = update_frontmatter(
@@ -143,7 +231,7 @@ def test_merge_keeps_body_and_order(spark, make_notes, make_vaults):
     assert rows["a.md"].body == "Planks and pitch."
     assert rows["a.md"].content_hash == results[2].content_hash != results[1].content_hash
     assert rows["plain.md"].p == '{"stage":"dry","berths":["n","m"]}' and rows["plain.md"].body == "Only text"
-    assert rows["odd.md"].content == '---\na:\n  b:\n    c: d\nstage: "dry"\nberths: ["n", "m"]\n---\nx'
+    assert rows["odd.md"].content == '---\na: !x\n  b:\n    c: d\nstage: "dry"\nberths: ["n", "m"]\n---\nx'
     assert rows["open.md"].content == "---\na: b\n"
 
 
