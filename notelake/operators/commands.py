@@ -8,6 +8,8 @@ its own starting text:
 
 * ordinary notes: their commands are collected (a bounded number and size) and
   folded by the built-in ``aggregate``;
+* notes that moves tie together: the commands of such a group stream, in order, through a fold that
+  holds the texts of the group;
 * hot notes: existence and segment starts come from running maxima that are cut
   into blocks, then the segments are spread over the cluster and streamed, one
   batch at a time, through a small fold that hashes incrementally.
@@ -31,6 +33,7 @@ from .. import schema as S
 from ..functions import paths, text
 from .checkpoints import checkpoint
 from .common import BROADCAST_ROWS, RANK_BLOCKS, broadcast_if_small, running_max
+from .linked import FEW_EDGES, groups
 
 # A note with more commands, or more command text, than this is a hot note.
 FOLD_COMMANDS = 1000
@@ -543,10 +546,13 @@ def apply_commands(
     fold_commands: int = FOLD_COMMANDS,
     fold_chars: int = FOLD_CHARS,
     blocks: int = RANK_BLOCKS,
+    few_links: int = FEW_EDGES,
 ) -> Applied:
     """Apply a batch of mixed commands in ``seq`` order.
 
-    Every command gets one result; failed ones change nothing.
+    Every command gets one result; failed ones change nothing.  Notes that moves tie together
+    are one group, whose commands are carried out one after the other in one task as long as the
+    group has at most ``fold_chars`` characters of text; larger groups go by layers.
     """
     judged = _judged(commands, vaults)
     accepted = judged.filter(F.col("status") == S.OK).drop("status")
@@ -554,7 +560,7 @@ def apply_commands(
     few_keys = load.keys + load.moves <= BROADCAST_ROWS
     limits = (fold_commands, fold_chars, blocks)
     if load.moves:
-        steps = _apply_in_layers(notes, accepted, few_keys, limits)
+        steps = _apply_with_moves(notes, accepted, load, few_keys, limits, few_links)
     else:
         base = _base(notes, loads.select(*_KEY), few_keys)
         steps = checkpoint(_fold(accepted.drop("dest"), base, loads, load, *limits))
@@ -564,6 +570,132 @@ def apply_commands(
 
 # -- moves --------------------------------------------------------------------
 
+_LINKED_ROWS = "vault string, key string, kind string, seq bigint, status string, content string, content_hash string"
+
+
+def _stream_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Carry out the commands of groups that arrive sorted; the texts of one group are held at a time."""
+    columns = [c.split()[0] for c in _LINKED_ROWS.split(", ")]
+    group, texts, touched = None, {}, set()
+
+    def close() -> list[tuple]:
+        rows = []
+        for key in sorted(touched):
+            note = texts.get(key)
+            rows.append((group[0], key, "change", None, S.OK, note and note.value(), note and note.digest()))
+        return rows
+
+    def judged(c, note) -> str:
+        if c.op == "create":
+            return S.EXISTS if note and not c.overwrite else S.OK
+        if c.op == "append_daily":
+            return S.OK
+        if note is None:
+            return S.NOT_FOUND
+        if c.op == "update" and c.expected_hash and note.digest() != c.expected_hash:
+            return S.HASH_MISMATCH
+        if c.op == "move":
+            if c.dest_rule != S.OK:
+                return c.dest_rule
+            if c.dest_key in texts and not c.overwrite:
+                return S.EXISTS
+        return S.OK
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"seq": "Int64"})
+
+    for batch in batches:
+        out: list[tuple] = []
+        for c in batch.itertuples(index=False):
+            if (c.vault, c.root) != group:
+                out += close()
+                group, texts, touched = (c.vault, c.root), {}, set()
+            if c.op == "base":
+                texts[c.key] = _Text(c.body)
+                continue
+            note, at, digest = texts.get(c.key), c.key, None
+            status = judged(c, note)
+            if status == S.OK:
+                if c.op == "delete":
+                    out.append((c.vault, c.key, "trash", c.seq, status, note.value(), note.digest()))
+                    del texts[c.key]
+                elif c.op == "move":
+                    at = c.dest_key
+                    texts[at] = texts.pop(c.key)
+                elif c.op in ("create", "update"):
+                    texts[c.key] = _Text(c.body)
+                else:
+                    texts.setdefault(c.key, _Text("")).add(c.body)
+                if c.key != at or c.op != "move":
+                    touched |= {c.key, at}
+                digest = texts[at].digest() if at in texts else None
+            out.append((c.vault, at, "result", c.seq, status, None, digest))
+        if out:
+            yield frame(out)
+    if group is not None:
+        yield frame(close())
+
+
+def _apply_with_moves(
+    notes: DataFrame, accepted: DataFrame, load: "_Load", few_keys: bool, limits: tuple[int, int, int], few_links: int
+) -> DataFrame:
+    """Batches with moves: groups of tied notes are found first, then each group's commands run in order.
+
+    However long a chain of moves is, it is one group.  Commands of notes that no move touches are folded
+    as ever; groups with more text than one task may hold go by layers.
+    """
+    dest_rule = paths.path_status(F.col("dest"))
+    pending = checkpoint(
+        accepted.withColumn("dest_rule", F.when(F.col("op") == "move", dest_rule)).withColumn(
+            "dest_key", F.when(F.col("dest_rule") == S.OK, paths.normalize_path(F.col("dest")))
+        )
+    )
+    moves = pending.filter(F.col("op") == "move")
+    edges = moves.select("vault", F.col("key").alias("a"), F.coalesce("dest_key", "key").alias("b"))
+    tied = groups(edges, load.moves, few_links)
+    placed = checkpoint(pending.join(broadcast_if_small(tied), _KEY, "left"))
+    # All notes that the batch can need, read once.
+    keys = placed.select(*_KEY).unionByName(tied.select(*_KEY)).distinct()
+    base = checkpoint(_base(notes, keys, few_keys).join(broadcast_if_small(tied), _KEY, "left"))
+    sizes = (
+        placed.select("vault", "root", F.length("body").alias("chars"))
+        .unionByName(base.select("vault", "root", F.length("content").alias("chars")))
+        .filter(F.col("root").isNotNull())
+        .groupBy("vault", "root")
+        .agg(F.sum("chars").alias("chars"))
+    )
+    large = checkpoint(sizes.filter(F.col("chars") > limits[1]).select("vault", "root"))
+    steps = []
+    if large.isEmpty():
+        small, small_base = placed, base
+    else:
+        small, small_base = (df.join(large, ["vault", "root"], "left_anti") for df in (placed, base))
+        here = placed.join(large, ["vault", "root"], "left_semi")
+        texts = base.join(large, ["vault", "root"], "left_semi").select("vault", F.col("key").alias("path"), "content")
+        steps.append(_apply_in_layers(texts, here.drop("root"), limits).select(_STEP_COLUMNS))
+    is_tied = F.col("root").isNotNull()
+    columns = ["vault", "root", "seq", "op", "key", "dest_key", "dest_rule", "body", "expected_hash", "overwrite"]
+    nothing = F.lit(None).cast("string")
+    opening = small_base.filter(is_tied).select(
+        "vault", "root", F.lit(-1).cast("bigint").alias("seq"), F.lit("base").alias("op"), "key", nothing.alias("dest_key"),
+        nothing.alias("dest_rule"), F.col("content").alias("body"), nothing.alias("expected_hash"), F.lit(False).alias("overwrite"),
+    )
+    ordered = (
+        small.filter(is_tied).select(columns).unionByName(opening)
+        .repartition("vault", "root")
+        .sortWithinPartitions("vault", "root", "seq")
+    )
+    steps.append(checkpoint(ordered.mapInPandas(_stream_groups, _LINKED_ROWS)).select(_STEP_COLUMNS))
+    free = small.filter(~is_tied).select("seq", "vault", "op", "key", "body", "expected_hash", "overwrite")
+    loads, rest = _Load.of(free)
+    if rest.keys:
+        folded = _fold(free, small_base.filter(~is_tied).select(*_KEY, "content"), loads, rest, *limits)
+        steps.append(checkpoint(folded.select(_STEP_COLUMNS)))
+    done = steps[0]
+    for more in steps[1:]:
+        done = done.unionByName(more)
+    return done
+
 
 def _overlay(notes: DataFrame, changes: DataFrame | None, keys: DataFrame, few_keys: bool) -> DataFrame:
     """Current text of ``keys`` after the layers applied so far."""
@@ -618,26 +750,15 @@ def _move_layer(moves: DataFrame, current: DataFrame) -> DataFrame:
 _STEP_COLUMNS = ["vault", "key", "kind", "seq", "status", "content", "content_hash"]
 
 
-def _apply_in_layers(
-    notes: DataFrame, accepted: DataFrame, few_keys: bool, limits: tuple[int, int, int]
-) -> DataFrame:
-    """Batches with moves, which tie two notes together.
+def _apply_in_layers(notes: DataFrame, pending: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
+    """Groups of tied notes too large for one task.
 
     A layer folds, for every note, all commands before the first pending move
     that touches it, and then carries out every move that is the first one at
     both its ends.  The number of layers is the longest chain of moves through
-    shared notes, not the number of moves.
+    shared notes, not the number of moves.  ``notes`` are those of the groups.
     """
-    dest_rule = paths.path_status(F.col("dest"))
-    pending = checkpoint(
-        accepted.withColumn("dest_rule", F.when(F.col("op") == "move", dest_rule)).withColumn(
-            "dest_key",
-            F.when(F.col("dest_rule") == S.OK, paths.normalize_path(F.col("dest"))),
-        )
-    )
-    # All notes that any layer can need, read once.
-    keys = pending.select("vault", F.explode(F.array_compact(F.array("key", "dest_key"))).alias("key")).distinct()
-    notes = checkpoint(_base(notes, keys, few_keys)).withColumnRenamed("key", "path")
+    few_keys = False
     done: DataFrame | None = None
     changes: DataFrame | None = None
     while not pending.isEmpty():
@@ -767,7 +888,7 @@ def daily_notes_from_events(events: DataFrame, vaults: DataFrame) -> DataFrame:
 def first_writer_wins(notes: DataFrame, updates: DataFrame) -> DataFrame:
     """Status of racing updates ``(seq, vault, path, expected_hash)``.
 
-    An update without expected hash (NULL or blank) always succeeds.  Of those that expect the
+    An update without expected hash (NULL or empty) always succeeds.  Of those that expect the
     current hash the lowest ``seq`` wins, unless an unconditional one came before.  A
     missing note is ``NOT_FOUND``.  The first success comes from a pre-aggregated
     minimum, so a note with very many writers is not gathered anywhere.
@@ -775,7 +896,7 @@ def first_writer_wins(notes: DataFrame, updates: DataFrame) -> DataFrame:
     keys = broadcast_if_small(updates.select("vault", "path").distinct())
     current = notes.select("vault", "path", F.col("content_hash").alias("now")).join(keys, ["vault", "path"])
     asked = updates.select("seq", "vault", "path", F.coalesce("expected_hash", F.lit("")).alias("expected"))
-    free = F.trim("expected") == ""
+    free = F.col("expected") == ""
     first = (
         asked.groupBy("vault", "path", F.when(~free, F.col("expected")).alias("expected"))
         .agg(F.min("seq").alias("seq"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import frontmatter as fm, paths, text
 from ..operators import commands as cmd, corpus, graph, project, properties, registry, tags
@@ -873,7 +873,7 @@ def daily_notes_from_events(spark, sf):
                   CASE WHEN now IS NULL THEN 'NOT_FOUND'
                        WHEN free OR seq = min(CASE WHEN free OR expected = now THEN seq END) OVER (PARTITION BY vault, path)
                        THEN 'OK' ELSE 'HASH_MISMATCH' END AS status
-           FROM (SELECT r.*, n.content_hash AS now, coalesce(trim(expected), '') = '' AS free
+           FROM (SELECT r.*, n.content_hash AS now, coalesce(expected, '') = '' AS free
                  FROM racing r LEFT JOIN notes n ON n.vault = r.vault AND n.path = r.path)""",
         "notes", "commands",
         extra="""racing AS (
@@ -925,6 +925,72 @@ def move_notes(spark, sf):
     return cmd.move_notes(notes, vaults, moves).notes.select("vault", "path", "content_hash")
 
 
+_CHAINS = """
+ranked AS (
+  SELECT n.*, coalesce(NOT read_only, false) AS writable, row_number() OVER (PARTITION BY n.vault ORDER BY n.path) - 1 AS k
+  FROM notes n LEFT JOIN vaults v ON v.name = n.vault
+),
+fours AS (
+  SELECT *, k % 4 AS place, count(*) OVER (PARTITION BY vault, k // 4) = 4 AS whole,
+         lead(content_hash) OVER (PARTITION BY vault ORDER BY path) AS following
+  FROM ranked
+)
+"""
+
+
+def _chain_moves(notes: DataFrame) -> DataFrame:
+    """Six moves in each four notes of a vault that follow each other: a chain over names that get free,
+    one onto a taken name, one that replaces another note."""
+    order = Window.partitionBy("vault").orderBy("path")
+    ranked = notes.select("vault", "path", (F.row_number().over(order) - 1).alias("k"))
+    names = F.array_sort(F.collect_list("path")).alias("n")
+    fours = numbered(ranked.groupBy("vault", F.floor(F.col("k") / 4).alias("g")).agg(names).filter(F.size("n") == 4), "four")
+    aside = F.concat(F.lit("Aside/"), F.col("g").cast("string"), F.lit(".md"))
+    n = [F.get("n", F.lit(i)) for i in range(4)]
+    steps = [(n[0], aside, False), (n[1], n[0], False), (n[2], n[0], False), (n[2], n[1], False), (n[3], aside, True), (aside, n[3], False)]
+    moves = F.array(
+        *[F.struct(F.lit(i).alias("i"), a.alias("path"), b.alias("dest"), F.lit(o).alias("overwrite")) for i, (a, b, o) in enumerate(steps)]
+    )
+    return fours.select("vault", "four", F.inline(moves)).select(
+        "vault", (F.col("four") * 6 + F.col("i")).alias("seq"), "path", "dest", "overwrite"
+    )
+
+
+@_query(
+    "move_chains",
+    sql(
+        """SELECT vault, path, CASE WHEN writable AND whole AND place < 2 THEN following ELSE content_hash END AS content_hash
+           FROM fours WHERE NOT (writable AND whole AND place = 2)""",
+        "notes", "vaults", extra=_CHAINS,
+    ),
+)
+def move_chains(spark, sf):
+    """What chains of moves, some refused and some replacing, leave behind."""
+    notes, vaults, _ = _tables(spark, sf)
+    return cmd.move_notes(notes, vaults, _chain_moves(notes)).notes.select("vault", "path", "content_hash")
+
+
+@_query(
+    "move_chain_results",
+    sql(
+        """SELECT vault, status, path, content_hash, count(*) AS n FROM (
+             SELECT f.vault AS vault, CASE WHEN NOT writable THEN 'READ_ONLY' WHEN i = 2 THEN 'EXISTS' ELSE 'OK' END AS status,
+                    CASE WHEN NOT writable THEN [n[1], n[2], n[3], n[3], n[4], aside][i + 1]
+                         ELSE [aside, n[1], n[3], n[2], aside, n[4]][i + 1] END AS path,
+                    CASE WHEN writable AND i <> 2 THEN [h[1], h[2], NULL, h[3], h[4], h[4]][i + 1] END AS content_hash
+             FROM (SELECT vault, any_value(writable) AS writable, list(path ORDER BY path) AS n, list(content_hash ORDER BY path) AS h,
+                          concat('Aside/', cast(k // 4 AS varchar), '.md') AS aside
+                   FROM fours WHERE whole GROUP BY vault, k // 4) f, range(0, 6) r(i)) GROUP BY ALL""",
+        "notes", "vaults", extra=_CHAINS,
+    ),
+)
+def move_chain_results(spark, sf):
+    """The status of each of those moves, and the hash of what it moved."""
+    notes, vaults, _ = _tables(spark, sf)
+    results = cmd.move_notes(notes, vaults, _chain_moves(notes)).results
+    return results.groupBy("vault", "status", "path", "content_hash").agg(F.count("*").alias("n"))
+
+
 @_query(
     "update_frontmatter",
     sql(

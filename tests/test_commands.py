@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
-from notelake.operators import commands as cmd
+from notelake.operators import commands as cmd, linked
 
 
 def outcome(applied):
@@ -131,6 +131,42 @@ def test_moves(make_notes, make_vaults, make_commands):
     assert notes == {("v", "b.md"): "source", ("v", "s.md"): "A"}
 
 
+def test_a_chain_of_moves_takes_as_many_jobs_as_one(spark, make_notes, make_vaults, make_commands):
+    start = make_notes([("v", "0.md", "text"), ("v", "other.md", "o")])
+
+    def jobs_of(length):
+        spark.sparkContext.setJobGroup(f"chain-{length}", "")
+        batch = [dict(vault="v", path=f"{i}.md", dest=f"{i + 1}.md") for i in range(length)]
+        applied = cmd.move_notes(start, make_vaults("v"), make_commands(*batch))
+        assert {r.status for r in applied.results.collect()} == {"OK"}
+        assert {(r.path, r.content) for r in applied.notes.collect()} == {(f"{length}.md", "text"), ("other.md", "o")}
+        found = spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{length}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(found)
+
+    assert jobs_of(8) <= jobs_of(1) + 2
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_groups_of_tied_notes(spark, few):
+    rng = random.Random(few)
+    edges = [(rng.choice("vw"), f"{a:03d}", f"{a + rng.choice([0, 1, 1, 7]):03d}") for a in range(0, 200) if rng.random() < 0.8]
+    edges += [("v", "hub", f"h{i}") for i in range(100)] + [("w", f"{i:03d}c", f"{i + 1:03d}c") for i in rng.sample(range(60), 60)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for v, a, b in edges:
+        low, high = sorted((find((v, a)), find((v, b))))
+        root[high] = low
+    df = spark.createDataFrame(edges, "vault string, a string, b string")
+    got = {(r.vault, r.key): (r.vault, r.root) for r in linked.groups(df, len(edges), few).collect()}
+    assert got == {x: find(x) for x in list(root)}
+
+
 def test_daily_appends(make_notes, make_vaults, spark):
     vaults = make_vaults("v", directory="Journal/", date_format="YYYY-MM-DD")
     entries = spark.createDataFrame(
@@ -182,6 +218,9 @@ PLAIN = ["create", "update", "update", "append", "append", "append_daily", "dele
         (4, ["update", "append", "append"], ["a.md", "b.md"], dict(fold_commands=2, blocks=5)),
         (5, PLAIN + ["move", "move"], ["a.md", "b.md", "x//a.md", "c.md", "d.md"], {}),
         (6, PLAIN + ["move"], ["a.md", "b.md", "c.md"], dict(fold_commands=2, blocks=3)),
+        (7, PLAIN + ["move"], ["a.md", "b.md", "x//a.md", "c.md"], dict(fold_chars=60, few_links=0)),
+        (8, PLAIN + ["move"] * 9, [f"{i}.md" for i in range(12)], dict(few_links=0)),
+        (9, ["move", "delete", "create"], [f"{i}.md" for i in range(8)], {}),
     ],
 )
 def test_against_sequential_model(spark, make_notes, make_vaults, make_commands, seed, ops, names, limits):
@@ -220,5 +259,10 @@ def test_null_keys_and_racing_writers(spark, make_notes, make_vaults, make_comma
     updates = spark.createDataFrame(rows, "seq bigint, vault string, path string, expected_hash string")
     got = {r.seq: r.status for r in cmd.first_writer_wins(notes, updates).collect()}
     assert got == {1: "HASH_MISMATCH", 2: "OK", 3: "HASH_MISMATCH", 4: "OK", 5: "OK", 6: "NOT_FOUND", 7: "NOT_FOUND"}
+    # Only an empty hash counts as none, as in apply_commands.
+    blank = spark.createDataFrame([(1, "v", "a.md", " ")], updates.schema)
+    assert [r.status for r in cmd.first_writer_wins(notes, blank).collect()] == ["HASH_MISMATCH"]
+    same = make_commands({"vault": "v", "op": "update", "path": "a.md", "body": "x", "expected_hash": " "})
+    assert [r.status for r in cmd.apply_commands(notes, None, vaults, same).results.collect()] == ["HASH_MISMATCH"]
     late = cmd.first_writer_wins(notes, updates.filter("seq in (3, 4)").withColumn("seq", 7 - F.col("seq")))
     assert {r.seq: r.status for r in late.collect()} == {3: "OK", 4: "HASH_MISMATCH"}
