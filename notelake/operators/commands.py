@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema as S
 from ..functions import paths, text
 from .checkpoints import checkpoint
-from .common import BROADCAST_ROWS, RANK_BLOCKS, broadcast_if_small, running_max
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, RANK_BLOCKS, KeyFilter, broadcast_if_small, is_small, running_max
 from .linked import FEW_EDGES, groups
 
 # A note with more commands, or more command text, than this is a hot note.
 FOLD_COMMANDS = 1000
 FOLD_CHARS = 32 << 20
 # Above so many commands on one note the length of the note itself is looked at.
-SOME_COMMANDS = 16
+SOME_COMMANDS = 200
 
 OUTCOME = (
     "kind string, seq bigint, vault string, path string, status string, "
@@ -96,16 +96,16 @@ class Applied:
 def merge_changes(notes: DataFrame, changes: DataFrame, few_keys: bool | None = None) -> DataFrame:
     """``notes`` with changed keys replaced and tombstoned keys removed.
 
-    Few changed keys are broadcast, so unchanged notes stay where they are.
+    Few changed keys are broadcast; of many, a bitmap is, and only notes that it lets pass are shuffled.  So
+    unchanged notes stay where they are.
     """
     keys = changes.select("vault", "path")
-    if few_keys is None:
-        keys = broadcast_if_small(keys)
-    elif few_keys:
-        keys = F.broadcast(keys)
-    kept = notes.select("vault", "path", "content", "content_hash").join(
-        keys, ["vault", "path"], "left_anti"
-    )
+    notes = notes.select("vault", "path", "content", "content_hash")
+    if is_small(keys) if few_keys is None else few_keys:
+        kept = notes.join(F.broadcast(keys), ["vault", "path"], "left_anti")
+    else:
+        touched = KeyFilter.of(keys, "vault", "path")
+        kept = touched.others(notes).unionByName(touched.possible(notes).join(keys, ["vault", "path"], "left_anti"))
     return kept.unionByName(changes.filter(~F.col("deleted")).drop("deleted"))
 
 
@@ -145,10 +145,13 @@ def _judged(commands: DataFrame, vaults: DataFrame) -> DataFrame:
     )
 
 
-def _base(notes: DataFrame, keys: DataFrame, few_keys: bool) -> DataFrame:
+def base_notes(notes: DataFrame, keys: DataFrame, few_keys: bool) -> DataFrame:
     """Current ``(vault, key, content)`` of the touched keys."""
-    keys = F.broadcast(keys) if few_keys else keys
-    return notes.select("vault", F.col("path").alias("key"), "content").join(keys, _KEY)
+    notes = notes.select("vault", F.col("path").alias("key"), "content")
+    if few_keys:
+        return notes.join(F.broadcast(keys), _KEY)
+    keys = checkpoint(keys)
+    return KeyFilter.of(keys, *_KEY).possible(notes).join(keys, _KEY)
 
 
 # -- ordinary notes -----------------------------------------------------------
@@ -411,6 +414,11 @@ class _Load:
     deletes: int
     max_commands: int
     max_chars: int
+    key_bytes: int
+
+    @property
+    def few_keys(self) -> bool:
+        return self.keys + self.moves <= BROADCAST_ROWS and self.key_bytes <= BROADCAST_BYTES
 
     @staticmethod
     def of(accepted: DataFrame) -> tuple[DataFrame, "_Load"]:
@@ -419,6 +427,7 @@ class _Load:
             F.sum(F.length("body")).alias("chars"),
             F.count_if(F.col("op") == "move").alias("moves"),
             F.count_if(F.col("op") == "delete").alias("deletes"),
+            F.max(F.octet_length("vault") + F.octet_length("key") + (F.octet_length("dest") if "dest" in accepted.columns else F.lit(0))).alias("bytes"),
         )
         row = loads.agg(
             F.count("*"),
@@ -426,6 +435,7 @@ class _Load:
             F.coalesce(F.sum("deletes"), F.lit(0)),
             F.coalesce(F.max("n"), F.lit(0)),
             F.coalesce(F.max("chars"), F.lit(0)),
+            F.coalesce(F.sum("bytes"), F.lit(0)),
         ).first()
         return loads, _Load(*row)
 
@@ -557,12 +567,12 @@ def apply_commands(
     judged = _judged(commands, vaults)
     accepted = judged.filter(F.col("status") == S.OK).drop("status")
     loads, load = _Load.of(accepted)
-    few_keys = load.keys + load.moves <= BROADCAST_ROWS
+    few_keys = load.few_keys
     limits = (fold_commands, fold_chars, blocks)
     if load.moves:
         steps = _apply_with_moves(notes, accepted, load, few_keys, limits, few_links)
     else:
-        base = _base(notes, loads.select(*_KEY), few_keys)
+        base = base_notes(notes, loads.select(*_KEY), few_keys)
         steps = checkpoint(_fold(accepted.drop("dest"), base, loads, load, *limits))
     outcome = _finish(steps, judged, trash, load, few_keys)
     return Applied(notes, trash, outcome, few_keys)
@@ -656,7 +666,7 @@ def _apply_with_moves(
     placed = checkpoint(pending.join(broadcast_if_small(tied), _KEY, "left"))
     # All notes that the batch can need, read once.
     keys = placed.select(*_KEY).unionByName(tied.select(*_KEY)).distinct()
-    base = checkpoint(_base(notes, keys, few_keys).join(broadcast_if_small(tied), _KEY, "left"))
+    base = checkpoint(base_notes(notes, keys, few_keys).join(broadcast_if_small(tied), _KEY, "left"))
     sizes = (
         placed.select("vault", "root", F.length("body").alias("chars"))
         .unionByName(base.select("vault", "root", F.length("content").alias("chars")))
@@ -699,7 +709,7 @@ def _apply_with_moves(
 
 def _overlay(notes: DataFrame, changes: DataFrame | None, keys: DataFrame, few_keys: bool) -> DataFrame:
     """Current text of ``keys`` after the layers applied so far."""
-    stored = _base(notes, keys, few_keys)
+    stored = base_notes(notes, keys, few_keys)
     if changes is None:
         return stored
     stored = stored.join(changes.select(*_KEY), _KEY, "left_anti")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .checkpoints import checkpoint
 
-# Keys and registry rows are a few hundred bytes; this many stay far below what
-# one executor can hold.
+# So many rows, with so many bytes of text, stay far below what one executor can hold.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+# A key filter has a bit for every hash modulo this, 8 MB however many keys there are.
+KEY_BITS = 1 << 26
+_BUCKET = 32768  # bits of one bitmap_construct_agg value
 # Runs that the rows of a hot key are cut into.
 RANK_BLOCKS = 256
 
@@ -18,10 +23,57 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """At most so many rows and bytes of text; counts no further than ``rows + 1``."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    length = sum(texts, F.lit(0)).cast("bigint")
+    n, held = df.select(length.alias("n")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return n <= rows and held <= size
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it was counted to be small; else leave the
     join to shuffle.  Meant for narrow rows (keys, registry entries)."""
-    return F.broadcast(df) if has_at_most(df, rows) else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+@dataclass(frozen=True)
+class KeyFilter:
+    """Which of ``columns`` values may be among some keys: a bitmap of their hashes, of fixed size.
+
+    It keeps what no key touches out of a shuffle.  A set bit may be due to another key, so an exact join
+    has to follow; a full bitmap holds nothing back and loses nothing.
+    """
+
+    bits: DataFrame
+    columns: tuple[str, ...]
+
+    @staticmethod
+    def of(keys: DataFrame, *columns: str) -> "KeyFilter":
+        at = F.pmod(F.xxhash64(*columns), F.lit(KEY_BITS))
+        bits = (
+            keys.select(at.alias("at"))
+            .groupBy(F.floor(F.col("at") / _BUCKET).alias("__bucket"))
+            .agg(F.bitmap_construct_agg(F.col("at") % _BUCKET).alias("__bits"))
+        )
+        return KeyFilter(checkpoint(bits), columns)  # 2,048 rows of 4 KB at most
+
+    def _marked(self, df: DataFrame) -> tuple[DataFrame, Column]:
+        at = F.pmod(F.xxhash64(*self.columns), F.lit(KEY_BITS))
+        bit = at % _BUCKET
+        byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+        marked = df.withColumn("__bucket", F.floor(at / _BUCKET)).join(F.broadcast(self.bits), "__bucket", "left")
+        return marked, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+
+    def possible(self, df: DataFrame) -> DataFrame:
+        """Rows that may match a key."""
+        marked, hit = self._marked(df)
+        return marked.filter(hit).drop("__bucket", "__bits")
+
+    def others(self, df: DataFrame) -> DataFrame:
+        """Rows that match no key."""
+        marked, hit = self._marked(df)
+        return marked.filter(~hit).drop("__bucket", "__bits")
 
 
 def listing_key(c: Column | str, collation: str | None = "UNICODE") -> Column:

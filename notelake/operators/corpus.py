@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schema as S
 from ..functions import frontmatter as fm, paths, text
 from .checkpoints import checkpoint
-from .common import broadcast_if_small, listing_key
+from .common import KeyFilter, broadcast_if_small, is_small, listing_key
 
 SEARCH_LIMITS = (1, 100)  # Fixed values: bounds of a search limit.
 
@@ -83,7 +83,8 @@ def read_notes(notes: DataFrame, vaults: DataFrame, requests: DataFrame) -> Data
     """Look up ``(vault, path)`` requests; every request gets a status.
 
     Only the distinct requested keys meet the corpus, so a repeated request does
-    not copy text through the shuffle and few keys leave the corpus in place.
+    not copy text through the shuffle.  Few keys leave the corpus in place; of many a bitmap keeps
+    all but the requested notes out of the shuffle.
     """
     asked = (
         requests.join(
@@ -99,7 +100,13 @@ def read_notes(notes: DataFrame, vaults: DataFrame, requests: DataFrame) -> Data
         .select("vault", F.col("key").alias("path"))
         .distinct()
     )
-    found = notes.join(broadcast_if_small(keys), ["vault", "path"]).select(
+    held = notes.select("vault", "path", "content", "content_hash")
+    if is_small(keys):
+        held = held.join(F.broadcast(keys), ["vault", "path"])
+    else:
+        keys = checkpoint(keys)
+        held = KeyFilter.of(keys, "vault", "path").possible(held).join(keys, ["vault", "path"])
+    found = held.select(
         "vault", F.col("path").alias("key"), "content", "content_hash"
     )
     status = (

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schema as S
 from ..functions import frontmatter as fm, paths, text
 from .checkpoints import checkpoint
-from .commands import FOLD_COMMANDS, Applied, writable_commands
-from .common import BROADCAST_ROWS, RANK_BLOCKS, broadcast_if_small, rank_blocks
+from .commands import FOLD_COMMANDS, Applied, base_notes, writable_commands
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, RANK_BLOCKS, broadcast_if_small, rank_blocks
 
 UNREADABLE = "UNREADABLE_FRONTMATTER"
 _KEY = ["vault", "key"]
@@ -94,8 +94,9 @@ def update_frontmatter(
     )
     accepted = judged.filter(F.col("status") == S.OK).drop("status")
     loads = accepted.groupBy(*_KEY).agg(F.count("*").alias("n"))
-    total, most = loads.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    few_keys = total <= BROADCAST_ROWS
+    size = F.octet_length("vault") + F.octet_length("key")
+    total, most, held = loads.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    few_keys = total <= BROADCAST_ROWS and held <= BROADCAST_BYTES
     is_last = F.lit(True)
     if most > fold_commands:
         hot = broadcast_if_small(loads.filter(F.col("n") > fold_commands).select(*_KEY))
@@ -110,8 +111,7 @@ def update_frontmatter(
     keys = loads.select(*_KEY)
     content = F.col("content")
     base = (
-        notes.select("vault", F.col("path").alias("key"), "content")
-        .join(F.broadcast(keys) if few_keys else keys, _KEY)
+        base_notes(notes, keys, few_keys)
         .select(
             *_KEY,
             fm.kept_entries("content").cast(_ENTRIES).alias("base"),

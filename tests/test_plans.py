@@ -7,7 +7,9 @@ from pyspark.sql import Window, functions as F
 
 from notelake.functions import frontmatter
 from notelake.operators import corpus, graph, project, tags
+from notelake.operators import commands, common
 from notelake.operators.commands import apply_commands
+from notelake.operators.properties import update_frontmatter
 from notelake.plans import derived
 from notelake.sources.tables import NoteStore, save_notes
 
@@ -90,3 +92,67 @@ def test_moves_read_the_notes_once(spark, make_notes, make_vaults, make_commands
         assert {r.status for r in applied.results.collect()} == {"OK"}
         read.append(seen.value - before)
     assert read == [30, 30]
+
+
+# -- many keys ------------------------------------------------------------------
+
+
+@pytest.fixture()
+def many_keys(monkeypatch):
+    """Every batch counts as one of many keys."""
+    for module in (common, commands):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    for module in (commands, corpus):
+        monkeypatch.setattr(module, "is_small", lambda *_: False)
+    monkeypatch.setattr("notelake.operators.properties.BROADCAST_ROWS", -1)
+
+
+def _batch(spark):
+    rows = [(1, "src1", "append", "en/000021.md"), (2, "src1", "create", "new.md"), (3, "src2", "delete", "en/000022.md"), (4, "src3", "update", "Daily/2024-01-01.md")]
+    df = spark.createDataFrame(rows, "seq bigint, vault string, op string, path string")
+    nothing = F.lit(None).cast("string")
+    return df.select("*", nothing.alias("dest"), F.lit("x").alias("body"), nothing.alias("expected_hash"), F.lit(True).alias("overwrite"))
+
+
+def test_a_key_filter_lets_little_pass(stored):
+    keys = stored.select("vault", "path").limit(20)
+    touched = common.KeyFilter.of(keys, "vault", "path")
+    passed = touched.possible(stored)
+    assert passed.join(keys, ["vault", "path"], "left_semi").count() == 20
+    assert passed.count() <= 25 and passed.count() + touched.others(stored).count() == stored.count()
+    assert common.KeyFilter.of(keys.limit(0), "vault", "path").possible(stored).count() == 0
+    text = plan(passed.join(keys, ["vault", "path"], "left_semi"))
+    assert "BroadcastExchange" in text and re.search(r"getbit", text)
+
+
+def test_untouched_notes_stay_out_of_shuffles(spark, stored, sf_dir, many_keys):
+    """Of many keys a bitmap is broadcast; what it lets pass is joined, and nothing else is shuffled."""
+    vaults = derived.vaults(spark, sf_dir)
+    applied = apply_commands(stored, None, vaults, _batch(spark))
+    text = plan(applied.notes)
+    assert text.count("getbit") >= 2 and not re.search(r"BroadcastExchange.*\n.*path", text)
+    asked = corpus.read_notes(stored, vaults, _batch(spark).select("vault", "path"))
+    assert "getbit" in plan(asked)
+    assert {r.path: r.status for r in asked.collect()}["en/000021.md"] == "OK"
+
+
+def test_many_keys_give_what_few_give(spark, stored, sf_dir, monkeypatch):
+    vaults = derived.vaults(spark, sf_dir)
+    updates = _batch(spark).select("seq", "vault", "path", F.array(F.struct(F.lit("k").alias("k"), F.lit("1").alias("v"))).alias("properties"))
+
+    def everything():
+        applied, updated = apply_commands(stored, None, vaults, _batch(spark)), update_frontmatter(stored, vaults, updates)
+        frames = (applied.notes.select("vault", "path", "content_hash"), applied.results, updated.notes.select("vault", "path", "content_hash"), corpus.read_notes(stored, vaults, updates.select("vault", "path")))
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    few = everything()
+    for module in ("commands", "properties"):
+        monkeypatch.setattr(f"notelake.operators.{module}.BROADCAST_ROWS", -1)
+    for module in (commands, corpus):
+        monkeypatch.setattr(module, "is_small", lambda *_: False)
+    assert everything() == few
+
+
+def test_text_bounds_a_broadcast(spark):
+    df = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert common.is_small(df, 10, 10_000) and not common.is_small(df, 9, 10_000) and not common.is_small(df, 10, 9_999)
