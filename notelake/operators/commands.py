@@ -129,7 +129,7 @@ def writable_commands(commands: DataFrame, vaults: DataFrame) -> DataFrame:
     )
 
 
-def _judged(commands: DataFrame, vaults: DataFrame) -> DataFrame:
+def judged_commands(commands: DataFrame, vaults: DataFrame) -> DataFrame:
     return writable_commands(commands, vaults).select(
         "seq",
         "vault",
@@ -259,7 +259,7 @@ _SEGMENT_ROWS = (
 )
 
 
-class _Text:
+class NoteText:
     """A note's text while its segment streams by, with a running digest."""
 
     def __init__(self, value: str | None):
@@ -299,7 +299,7 @@ def _stream_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (c.vault, c.key, c.segment) != group:
                 out += close()
                 group, any_ok = (c.vault, c.key, c.segment), False
-                note = _Text("" if c.existed and c.op != "base" else None)
+                note = NoteText("" if c.existed and c.op != "base" else None)
             if c.op == "base":
                 note.set(c.body)
                 continue
@@ -470,6 +470,15 @@ def _fold(
     )
 
 
+def trash_name(vault: str, path: str, seq: int) -> str:
+    """The trash path with a suffix derived from note and command, as :func:`_place_in_trash` makes it."""
+    base = path.rsplit("/", 1)[-1]
+    dot = base.rfind(".")
+    stem, extension = (base[:dot], base[dot:]) if dot > 0 else (base, "")
+    mark = hashlib.sha256("\n".join((vault, path, str(seq))).encode()).hexdigest()[:32]
+    return f"{TRASH_FOLDER}/{stem}-{mark}{extension}"
+
+
 def _place_in_trash(outcome: DataFrame, trash: DataFrame | None, few_keys: bool) -> DataFrame:
     """Give deleted notes their trash path and report it in the results.
 
@@ -564,7 +573,7 @@ def apply_commands(
     are one group, whose commands are carried out one after the other in one task as long as the
     group has at most ``fold_chars`` characters of text; larger groups go by layers.
     """
-    judged = _judged(commands, vaults)
+    judged = judged_commands(commands, vaults)
     accepted = judged.filter(F.col("status") == S.OK).drop("status")
     loads, load = _Load.of(accepted)
     few_keys = load.few_keys
@@ -583,6 +592,23 @@ def apply_commands(
 _LINKED_ROWS = "vault string, key string, kind string, seq bigint, status string, content string, content_hash string"
 
 
+def verdict(c, note: NoteText | None, taken: bool = False) -> str:
+    """The status of one command on the note that its path names; ``taken`` is about the target of a move."""
+    if c.op == "create":
+        return S.EXISTS if note and not c.overwrite else S.OK
+    if c.op == "append_daily":
+        return S.OK
+    if note is None:
+        return S.NOT_FOUND
+    if c.op == "update" and c.expected_hash and note.digest() != c.expected_hash:
+        return S.HASH_MISMATCH
+    if c.op == "move":
+        if c.dest_rule != S.OK:
+            return c.dest_rule
+        return S.EXISTS if taken and not c.overwrite else S.OK
+    return S.OK
+
+
 def _stream_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Carry out the commands of groups that arrive sorted; the texts of one group are held at a time."""
     columns = [c.split()[0] for c in _LINKED_ROWS.split(", ")]
@@ -595,22 +621,6 @@ def _stream_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((group[0], key, "change", None, S.OK, note and note.value(), note and note.digest()))
         return rows
 
-    def judged(c, note) -> str:
-        if c.op == "create":
-            return S.EXISTS if note and not c.overwrite else S.OK
-        if c.op == "append_daily":
-            return S.OK
-        if note is None:
-            return S.NOT_FOUND
-        if c.op == "update" and c.expected_hash and note.digest() != c.expected_hash:
-            return S.HASH_MISMATCH
-        if c.op == "move":
-            if c.dest_rule != S.OK:
-                return c.dest_rule
-            if c.dest_key in texts and not c.overwrite:
-                return S.EXISTS
-        return S.OK
-
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=columns).astype({"seq": "Int64"})
 
@@ -621,10 +631,10 @@ def _stream_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out += close()
                 group, texts, touched = (c.vault, c.root), {}, set()
             if c.op == "base":
-                texts[c.key] = _Text(c.body)
+                texts[c.key] = NoteText(c.body)
                 continue
             note, at, digest = texts.get(c.key), c.key, None
-            status = judged(c, note)
+            status = verdict(c, note, c.op == "move" and c.dest_key in texts)
             if status == S.OK:
                 if c.op == "delete":
                     out.append((c.vault, c.key, "trash", c.seq, status, note.value(), note.digest()))
@@ -633,9 +643,9 @@ def _stream_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     at = c.dest_key
                     texts[at] = texts.pop(c.key)
                 elif c.op in ("create", "update"):
-                    texts[c.key] = _Text(c.body)
+                    texts[c.key] = NoteText(c.body)
                 else:
-                    texts.setdefault(c.key, _Text("")).add(c.body)
+                    texts.setdefault(c.key, NoteText("")).add(c.body)
                 if c.key != at or c.op != "move":
                     touched |= {c.key, at}
                 digest = texts[at].digest() if at in texts else None

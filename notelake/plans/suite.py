@@ -1095,16 +1095,15 @@ def _run_stream(writer, place: str) -> None:
 
 @_query("stream_commands", sql(_RESULT, "notes", "vaults", "commands", extra=REPLAY_CTE))
 def stream_commands(spark, sf):
-    """The commands as a stream over the stored corpus; results from the store."""
+    """The commands as a stream over the stored corpus; results from the files it appends to."""
     place = scratch(spark, "stream-commands")
-    store = NoteStore(spark, f"{place}/store")
-    write_snapshot(derived.notes(spark, sf), store.path, 0)
-    commands = derived.commands(spark, sf, streaming=True)
-    _run_stream(streams.stream_commands(commands, store, derived.vaults(spark, sf)), place)
+    write_snapshot(derived.notes(spark, sf), f"{place}/store", 0)
+    start = NoteStore(spark, f"{place}/store").notes()
+    outcome = streams.stream_commands(derived.commands(spark, sf, streaming=True), start, derived.vaults(spark, sf))
+    _run_stream(outcome.writeStream.format("parquet").option("path", f"{place}/outcome"), place)
+    results = spark.read.schema(streams.OUTCOME).parquet(f"{place}/outcome").filter("kind = 'result'")
     asked = derived.commands(spark, sf).select("seq", F.col("path").alias("asked"))
-    return store.results().join(asked, "seq").select(
-        "seq", "vault", F.col("asked").alias("path"), "status", "content_hash"
-    )
+    return results.join(asked, "seq").select("seq", "vault", F.col("asked").alias("path"), "status", "content_hash")
 
 
 @_query(
@@ -1116,17 +1115,21 @@ def stream_commands(spark, sf):
     ),
 )
 def stream_daily_notes(spark, sf):
-    """All events appended to daily notes, starting from an empty store."""
+    """All events as entries of daily notes, those of every fifth event a batch later than the others."""
     place = scratch(spark, "stream-daily")
-    store = NoteStore(spark, f"{place}/store")
-    entries = derived.table(spark, sf, "events", streaming=True).select(
+    entries = derived.table(spark, sf, "events").select(
         F.col("event_id").alias("seq"),
         derived.event_vault().alias("vault"),
         derived.event_day().alias("day"),
         derived.event_line().alias("body"),
     )
-    _run_stream(streams.stream_daily_notes(entries, store, derived.vaults(spark, sf)), place)
-    return store.notes().select("vault", "path", "content_hash")
+    for late in (False, True):
+        entries.filter((F.col("seq") % 5 == 0) == late).coalesce(1).write.mode("append").parquet(f"{place}/entries")
+    arriving = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/entries")
+    days = streams.stream_daily_notes(arriving, derived.vaults(spark, sf)).select("vault", "path", "content_hash", "version")
+    _run_stream(days.writeStream.format("parquet").option("path", f"{place}/days"), place)
+    saved = spark.read.schema(days.schema).parquet(f"{place}/days")
+    return saved.groupBy("vault", "path").agg(F.max_by("content_hash", "version").alias("content_hash"))
 
 
 @_query(
@@ -1160,13 +1163,16 @@ def windowed_daily_notes(spark, sf):
 
 @_query(
     "stream_tag_counts",
-    sql("SELECT vault, tag, count(*) AS count FROM tags GROUP BY vault, tag", "tags"),
+    sql("SELECT vault, tag, count(*) AS count FROM tags WHERE vault <> 'src3' GROUP BY vault, tag", "tags"),
 )
 def stream_tag_counts(spark, sf):
-    """Tag counts kept by a stream of all notes, several batches long."""
+    """Tag counts kept by a stream of notes that come as drafts, are edited, and in one vault deleted again."""
     place = scratch(spark, "stream-tags")
-    notes = derived.notes(spark, sf)
-    notes.repartition(3, "vault", "path").write.parquet(f"{place}/notes")
+    notes = derived.notes(spark, sf).select("vault", "path", "content")
+    draft = F.concat("content", F.lit("\n#draft #q1\n"))
+    gone = F.when(F.col("vault") != "src3", F.col("content"))
+    for text_ in (draft, F.col("content"), gone):
+        notes.withColumn("content", text_).coalesce(1).write.mode("append").parquet(f"{place}/notes")
     arriving = spark.readStream.schema(notes.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/notes")
     counts = streams.stream_tag_counts(arriving)
 
@@ -1176,7 +1182,7 @@ def stream_tag_counts(spark, sf):
     _run_stream(counts.writeStream.outputMode("complete").foreachBatch(keep), place)
     saved = spark.read.schema(f"{_ddl(counts)}, batch bigint").parquet(f"{place}/counts")
     latest = saved.agg(F.max("batch").alias("batch"))
-    return saved.join(F.broadcast(latest), "batch").drop("batch")
+    return saved.join(F.broadcast(latest), "batch").drop("batch").filter("count <> 0")
 
 
 def _ddl(df: DataFrame) -> str:
