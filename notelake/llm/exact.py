@@ -122,13 +122,13 @@ def exact_duplicates(notes: DataFrame) -> DataFrame:
     """
     notes = common.keyed(notes)
     marks = common.stored(
-        notes.mapInArrow(_mark, MARKS).withColumn("row", F.monotonically_increasing_id()), "fingerprints"
+        notes.mapInArrow(common.lean(_mark), MARKS).withColumn("row", F.monotonically_increasing_id()), "fingerprints"
     )
     key = ["f1", "f2", "n_bytes"]
     counted = common.stored(marks.groupBy(*key).count().where("count > 1"), "fingerprint-groups")
     shared = common.bitmap(counted.select((F.shiftleft("f1", 31).bitwiseXOR(F.col("f2"))).alias("h")))
     clashes = common.stored(
-        notes.mapInArrow(_chunks(shared), "f1 bigint, f2 bigint, n_bytes bigint, k bigint, chunk binary")
+        notes.mapInArrow(common.lean(_chunks(shared)), "f1 bigint, f2 bigint, n_bytes bigint, k bigint, chunk binary")
         .groupBy(*key, "k")
         .agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
         .where("least <> most")

@@ -248,7 +248,7 @@ class _Join:
 
     def __init__(self, notes: DataFrame):
         self.notes = notes
-        self.marks = common.stored(notes.mapInArrow(_mark, MARKS), "shingle-marks")
+        self.marks = common.stored(notes.mapInArrow(common.lean(_mark), MARKS), "shingle-marks")
         columns = ["n", "own", "own_need", "below", "below_need", "hard", "parity"]
         self.classes = common.stored(
             self.marks.where("n > 0").groupBy("fp").agg(
@@ -264,7 +264,7 @@ class _Join:
         sides = pairs.join(self.classes.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
         sides = sides.join(self.classes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
         open_ = common.stored(
-            sides.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(_close, "a bigint, b bigint"), "jaccard-pairs"
+            sides.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(common.lean(_close), "a bigint, b bigint"), "jaccard-pairs"
         )
         nodes = open_.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         wanted = common.stored(nodes.join(self.classes, "fp").select("fp", "rep.vault", "rep.path"), "jaccard-wanted")
@@ -276,18 +276,18 @@ class _Join:
 
         texts = (
             self.notes.withColumn("h", common.key_hash())
-            .mapInArrow(fetch, "vault string, path string, content string")
+            .mapInArrow(common.lean(fetch), "vault string, path string, content string")
             .join(wanted, ["vault", "path"])
         )
         # A repeated key has several texts; the class they are fetched for tells which is meant.
         texts = common.stored(
-            texts.select("fp", "content").mapInArrow(_matching, "fp bigint, content string").dropDuplicates(["fp"]), "jaccard-texts"
+            texts.select("fp", "content").mapInArrow(common.lean(_matching), "fp bigint, content string").dropDuplicates(["fp"]), "jaccard-texts"
         )
         found = (
             open_.join(texts.select(F.col("fp").alias("a"), F.col("content").alias("left")), "a")
             .join(texts.select(F.col("fp").alias("b"), F.col("content").alias("right")), "b")
             .select("a", "b", "left", "right")
-            .mapInArrow(_verify, "a bigint, b bigint")
+            .mapInArrow(common.lean(_verify), "a bigint, b bigint")
         )
         self.links = common.stored(self.links.unionByName(found), "jaccard-links")
         self.roots = components(self.links)
@@ -297,11 +297,11 @@ class _Join:
         return df.join(roots, column, "left").withColumn(name, F.coalesce(name, column))
 
     def run(self) -> None:
-        rows = self.notes.mapInArrow(_signatures, "sig bigint, fp bigint, kind tinyint")
+        rows = self.notes.mapInArrow(common.lean(_signatures), "sig bigint, fp bigint, kind tinyint")
         buckets = common.stored(
             rows.repartition("sig")
             .sortWithinPartitions("sig", "fp", "kind")
-            .mapInArrow(_shared, "sig bigint, fp bigint, kind tinyint, pivot bigint"),
+            .mapInArrow(common.lean(_shared), "sig bigint, fp bigint, kind tinyint, pivot bigint"),
             "jaccard-buckets",
         )
         # First each set against the pivot it shares most with: that joins most groups without pairs among copies.
@@ -351,7 +351,7 @@ class _Join:
             rows.join(self.classes.select("fp", "n", "parity"), "fp")
             .select("sig", "fp", "root", "probe", "n", "parity")
             .repartition("sig").sortWithinPartitions("sig", "n", "probe")
-            .mapInArrow(_meet(nearest), "a bigint, b bigint")
+            .mapInArrow(common.lean(_meet(nearest)), "a bigint, b bigint")
         )
         hard = self.classes.where("hard").select("fp").unionByName(chosen.where(F.col("size") > CROWD).select("fp")).distinct()
         if not nearest:
@@ -366,7 +366,7 @@ class _Join:
         for part in range(parts):
             rows = hard.where(F.pmod("fp", F.lit(parts)) == part).select("fp", "n", "root", "parity").collect()
             shared = hard.sparkSession.sparkContext.broadcast(sorted((r["n"], r["fp"], r["root"], bytes(r["parity"])) for r in rows))
-            yield rest.mapInArrow(lambda batches, s=shared: _against(s.value, batches), "a bigint, b bigint")
+            yield rest.mapInArrow(common.lean(lambda batches, s=shared: _against(s.value, batches)), "a bigint, b bigint")
 
     def result(self) -> DataFrame:
         marks = self.rooted(self.marks.select("vault", "path", "n", "fp"))

@@ -159,7 +159,7 @@ def learn_languages(labelled: DataFrame, families: dict[str, tuple[str, ...]] |
     for lang, count in counts.items():
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / count))).otherwise(part)
     drawn = rows.where(F.pmod(F.xxhash64("content"), F.lit(1 << 20)) < part * (1 << 20)) if counts else rows.limit(0)
-    taken = drawn.where(F.col("content").rlike(r"\p{L}")).mapInArrow(_sampled, "lang string, x binary").collect()
+    taken = drawn.where(F.col("content").rlike(r"\p{L}")).mapInArrow(common.lean(_sampled), "lang string, x binary").collect()
     taken.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.array([np.frombuffer(bytes(r["x"]), dtype=np.float16) for r in taken], dtype=np.float32).reshape(-1, WIDTH)
     langs = [r["lang"] for r in taken]
@@ -194,5 +194,5 @@ def identify_languages(notes: DataFrame, model: LanguageModel) -> DataFrame:
     return (
         common.keyed(notes)
         .withColumn("letters", F.col("content").rlike(r"\p{L}"))
-        .mapInArrow(run, "vault string, path string, lang_pred string, score double")
+        .mapInArrow(common.lean(run), "vault string, path string, lang_pred string, score double")
     )

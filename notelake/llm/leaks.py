@@ -304,5 +304,5 @@ def find_leaks(notes: DataFrame, reserved: DataFrame, block: int = BLOCK) -> Dat
         rows = reserved.where(F.pmod(F.xxhash64("vault", "path", "content"), F.lit(parts)) == part).collect()
         index = Index(sorted((r["vault"], r["path"], r["content"]) for r in rows))
         shared = spark.sparkContext.broadcast(index)
-        out = out.unionByName(notes.mapInArrow(lambda b, s=shared: _finder(s.value)(b), LEAKS))
+        out = out.unionByName(notes.mapInArrow(common.lean(lambda b, s=shared: _finder(s.value)(b)), LEAKS))
     return out

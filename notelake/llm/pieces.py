@@ -238,7 +238,7 @@ def encode_notes(notes: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_file)
-        for batch in common.pieces(batches, most=2 << 20):
+        for batch in common.pieces(batches, most=1 << 20):
             ids, counts = model.encode_batch(batch.column(2).to_pylist())
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -246,7 +246,7 @@ def encode_notes(notes: DataFrame, model_file: str) -> DataFrame:
                 names=["vault", "path", "ids"],
             )
 
-    return common.keyed(notes).mapInArrow(run, "vault string, path string, ids array<int>")
+    return common.keyed(notes).mapInArrow(common.lean(run), "vault string, path string, ids array<int>")
 
 
 def decode_notes(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -274,4 +274,4 @@ def decode_notes(encoded: DataFrame, model_file: str) -> DataFrame:
                 )
 
     rows = encoded.select("vault", "path", F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
-    return rows.mapInArrow(run, "vault string, path string, ids array<int>, content string")
+    return rows.mapInArrow(common.lean(run), "vault string, path string, ids array<int>, content string")

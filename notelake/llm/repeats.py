@@ -337,9 +337,9 @@ def remove_repeats(notes: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     marked = common.stored(
         _without(notes, copies, dropped)
         .select(*_KEY, "content")
-        .mapInArrow(_anchor_rows(length, gram), ANCHORS)
+        .mapInArrow(common.lean(_anchor_rows(length, gram)), ANCHORS)
         .repartition("h").sortWithinPartitions("h", "ch", *_KEY, "begin")
-        .mapInArrow(_marked(crowd), MARKED),
+        .mapInArrow(common.lean(_marked(crowd)), MARKED),
         "repeat-anchors",
     )
     unlike = marked.where("kind > 0")
@@ -348,14 +348,14 @@ def remove_repeats(notes: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     )
     bits = common.bitmap(wanted.select(F.xxhash64(*_KEY).alias("h")))
     found = common.stored(
-        _only(notes, bits).join(wanted, _KEY).select(*_KEY, "content", "marks").mapInArrow(_surroundings, FOUND),
+        _only(notes, bits).join(wanted, _KEY).select(*_KEY, "content", "marks").mapInArrow(common.lean(_surroundings), FOUND),
         "repeat-surroundings",
     )
     spans = (
-        found.where("kind = 1").repartition("h").sortWithinPartitions("h", *_KEY, "begin").mapInArrow(_sorted_spans(length), SPANS)
+        found.where("kind = 1").repartition("h").sortWithinPartitions("h", *_KEY, "begin").mapInArrow(common.lean(_sorted_spans(length)), SPANS)
     )
-    windows = found.where("kind = 2").mapInArrow(_windows(length), WINDOWS).repartition("w1", "w2")
-    windows = windows.sortWithinPartitions("w1", "w2", *_KEY, "begin").mapInArrow(_later(length), SPANS)
+    windows = found.where("kind = 2").mapInArrow(common.lean(_windows(length)), WINDOWS).repartition("w1", "w2")
+    windows = windows.sortWithinPartitions("w1", "w2", *_KEY, "begin").mapInArrow(common.lean(_later(length)), SPANS)
     merged = common.stored(
         copies.select(*_KEY, F.lit(0).cast("bigint").alias("begin"), F.col("n_bytes").alias("end"))
         .unionByName(marked.where("kind = 0").select(*_KEY, "begin", "end"))
@@ -368,7 +368,7 @@ def remove_repeats(notes: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     # Notes without any span keep out of the shuffle.
     whole = _only(notes, bits, inside=False).select("vault", "path", "content", F.lit(None).cast(merged.schema["found"].dataType).alias("found"))
     cut = _only(notes, bits).join(merged, _KEY, "left").select("vault", "path", "content", "found")
-    return whole.unionByName(cut).mapInArrow(_cut, RESULT)
+    return whole.unionByName(cut).mapInArrow(common.lean(_cut), RESULT)
 
 
 def _copies(notes: DataFrame, length: int) -> DataFrame:
@@ -393,7 +393,7 @@ def _only(notes: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
             yield batch.select([0, 1, 2, 3]).filter(pa.array(hit if inside else ~hit))
 
     schema = f"{KEY}, content string"
-    return notes.select(*_KEY, "content", F.xxhash64(*_KEY).alias("h")).mapInArrow(run, schema)
+    return notes.select(*_KEY, "content", F.xxhash64(*_KEY).alias("h")).mapInArrow(common.lean(run), schema)
 
 
 def _without(notes: DataFrame, dropped: DataFrame, bits: np.ndarray) -> DataFrame:

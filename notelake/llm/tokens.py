@@ -154,7 +154,7 @@ def write_tokens(notes: DataFrame, folder: str, tokenizer_file: str, end: int =
         encoder = load(tokenizer_file)
         bits = max(encoder.bits, int(end).bit_length())
         writer = _Writer(TaskContext.get().partitionId(), bits, block)
-        for batch in common.pieces(batches, most=4 << 20):
+        for batch in common.pieces(batches, most=1 << 20):
             texts = batch.column(2).to_pylist()
             for vault, path, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode(texts), strict=True):
                 writer.add(vault, path, np.append(ids, np.uint32(end)))
@@ -163,7 +163,7 @@ def write_tokens(notes: DataFrame, folder: str, tokenizer_file: str, end: int =
         yield writer.flush(True)
 
     rows = common.keyed(notes).repartitionByRange("vault", "path").sortWithinPartitions("vault", "path", "content")
-    rows.mapInArrow(run, FILES).write.parquet(folder)
+    rows.mapInArrow(common.lean(run), FILES).write.parquet(folder)
 
 
 def crc_combine(left: int, right: int, size: int) -> int:
@@ -225,7 +225,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     names=["vault", "path", "shard", "row", "block", "place", "ids"],
                 )
 
-    return spark.read.schema(FILES).parquet(folder).mapInArrow(run, TOKENS)
+    return spark.read.schema(FILES).parquet(folder).mapInArrow(common.lean(run), TOKENS)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
