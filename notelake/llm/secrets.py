@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from notelake.llm import common
 
 NOVELTY = 0.6  # marginal compressed bytes per byte from which a string is reported
+HEX_NOVELTY = 0.35  # the same for strings of hex digits, which can't carry more than 0.5
 AROUND = 400  # code points of surrounding text a candidate is measured against
 SHORTEST = 16  # code points of a candidate, at least
 
@@ -28,6 +29,13 @@ CONTEXT_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "
 CONTEXT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)), re.ASCII | re.IGNORECASE)
 KEY_BEGINS, KEY_ENDS = (re.compile(rf"-{{4,}}\x20?{w}\b[^\n-]*PRIVATE KEY[^\n-]*-{{4,}}", re.ASCII | re.IGNORECASE) for w in ("BEGIN", "END"))
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}", re.ASCII)
+HEX_DIGITS = re.compile(r"[0-9A-F-]+|[0-9a-f-]+", re.ASCII)
+# A value given to a sensitive word, with signs that other candidates don't have.
+VALUE = re.compile(
+    rf"""(?:{"|".join(map(re.escape, CONTEXT_WORDS))})["']?\x20*[:=]\x20*(["']?)([^\s"'`,;<>()\[\]{{}}]{{12,}})""", re.ASCII | re.IGNORECASE
+)
+SIGN, VARIABLE = re.compile(r"[!@#$%^&*~?]"), re.compile(r"[$%@]\w+%?\Z", re.ASCII)
+OPENS = re.compile(r"""[:=]\s*[|>]?[+-]?\s*\Z""", re.ASCII)  # a line whose value is on the next ones
 
 # Identifiers and words common in code, which prime the compressor.
 IDENTIFIERS = (
@@ -58,8 +66,9 @@ class Novelty:
 
         words = IDENTIFIERS.split()
         primer = " ".join([*words, *(w.upper() for w in words), *("_".join(p) for p in zip(words, words[7:], strict=False))])
-        # Compressible text in front keeps the compressor from storing a short text as it is.
-        self.ahead = " ".join(words[::3]).encode()
+        # Compressible text in front keeps the compressor from storing a short text as it is.  The size of
+        # a short text jumps by some bytes with the code tables chosen, so several fronts are tried.
+        self.ahead = [" ".join(words[k::5]).encode() for k in range(5)]
         dictionary = zstandard.ZstdCompressionDict(primer.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         parameters = zstandard.ZstdCompressionParameters.from_level(
             19, write_checksum=False, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS
@@ -67,10 +76,11 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
 
     def of(self, candidate: str, before: str, after: str) -> float:
-        around = self.ahead + (before + after).encode("utf-8", "surrogatepass")
-        piece = candidate.encode()
-        extra = len(self.compressor.compress(around + b"\n" + piece)) - len(self.compressor.compress(around + b"\n"))
-        return extra / len(piece)
+        """The median over the fronts, so that neither lucky nor unlucky code tables decide."""
+        around, piece = (before + after).encode("utf-8", "surrogatepass") + b"\n", candidate.encode()
+        size = lambda data: len(self.compressor.compress(data))
+        extra = sorted(size(ahead + around + piece) - size(ahead + around) for ahead in self.ahead)
+        return extra[len(extra) // 2] / len(piece)
 
 
 def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, str]]:
@@ -96,14 +106,33 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _blocks(text: str, first: int) -> Iterator[tuple[int, int]]:
+    """Lines from position ``first`` on that hold a sensitive word, or the value of a line that does and ends with ``:`` or ``=``.
+
+    The value is the next line that is not blank, and all further lines indented deeper than the key's.
+    """
+    key, value_due, at = None, False, first
+    for line in text[first:].split("\n"):
+        start, at = at, at + len(line) + 1
+        bare = line.strip()
+        if not bare:
+            continue
+        indent = len(line) - len(line.lstrip())
+        inside = key is not None and (value_due or indent > key)
+        word, value_due = CONTEXT.search(line), False
+        if not inside:
+            key = None
+        if word and OPENS.search(bare):
+            key, value_due = indent if key is None else min(key, indent), True
+        if word or inside:
+            yield start, start + len(line)
+
+
 def contexts(text: str) -> list[tuple[int, int]]:
-    """Whole lines with a sensitive word, and blocks of private keys (one without end goes to the end of the text)."""
+    """Whole lines with a sensitive word, lines below that give its value, and blocks of private keys (one without end goes to the end of the text)."""
     out, word = [], CONTEXT.search(text)
-    while word:
-        end = text.find("\n", word.end())
-        end = len(text) if end < 0 else end
-        out.append((text.rfind("\n", 0, word.start()) + 1, end))
-        word = CONTEXT.search(text, end)
+    if word:
+        out += _blocks(text, text.rfind("\n", 0, word.start()) + 1)
     begins = KEY_BEGINS.search(text)
     while begins:
         ends = KEY_ENDS.search(text, begins.end())
@@ -120,19 +149,31 @@ def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty,
         return []
     out, within, taken = [], contexts(text), _merged([(s, e) for s, e, _ in known])
     starts, taken_starts = [s for s, _ in within], [s for s, _ in taken]
+
+    def judge(a: int, b: int) -> None:
+        piece = text[a:b]
+        if re.search(r"[0-9]", piece) and re.search(r"[A-Za-z]", piece):
+            score = novelty.of(piece, text[max(0, a - AROUND) : a], text[b : b + AROUND])
+            if score >= (HEX_NOVELTY if HEX_DIGITS.fullmatch(piece) else NOVELTY):
+                out.append((a, b, score))
+
+    # A value with signs is judged as a whole, unless a known span covers it.
+    for found in VALUE.finditer(text, starts[0]) if within else ():
+        a, b = found.span(2)
+        piece = found[2].rstrip(".?!:") if not found[1] else found[2]
+        last = bisect_right(taken_starts, a) - 1
+        covered = last >= 0 and a + len(piece) <= taken[last][1]
+        if SIGN.search(piece) and not VARIABLE.match(piece) and "://" not in piece and not covered:
+            judge(a, a + len(piece))
+    taken = _merged(taken + [(a, b) for a, b, _ in out])
+    taken_starts = [s for s, _ in taken]
     # Candidates are those of the whole text, so that none is cut at the edge of a context.
     for found in CANDIDATE.finditer(text, starts[0]) if within else ():
         a, b = found.span()
-        piece = found[0]
         k, last = bisect_right(starts, b - 1) - 1, bisect_right(taken_starts, b - 1) - 1
-        if within[k][1] <= a or (last >= 0 and a < taken[last][1]):
-            continue
-        if not (re.search(r"[0-9]", piece) and re.search(r"[A-Za-z]", piece)):
-            continue
-        score = novelty.of(piece, text[max(0, a - AROUND) : a], text[b : b + AROUND])
-        if score >= NOVELTY:
-            out.append((a, b, score))
-    return out
+        if within[k][1] > a and not (last >= 0 and a < taken[last][1]):
+            judge(a, b)
+    return sorted(out)
 
 
 def find_secrets(notes: DataFrame) -> DataFrame:
@@ -140,10 +181,13 @@ def find_secrets(notes: DataFrame) -> DataFrame:
 
     The kinds ``assign``, ``access`` and ``hex`` come from fixed patterns, leftmost and without overlap
     in each kind.  ``novel`` adds strings of 16 or more code points with letters and
-    digits on a line with a sensitive word, however long, or in the block of a private key: each is
+    digits on a line with a sensitive word, however long, on the lines that give such a line's value
+    (``secret:`` with text below), or in the block of a private key; and values of 12 or more with
+    ``!``, ``@``, ``$`` and the like, given to a sensitive word on its line.  Each is
     compressed with and without the 400 code points before and after
     it, by a zstandard compressor primed with identifiers, and reported with its ``novelty`` when the
-    marginal bytes are 0.6 or more of its own; the other kinds have no novelty.
+    marginal bytes are 0.6 or more of its own, or 0.35 for hex digits of one case, which carry 0.5 at
+    most; the other kinds have no novelty.
 
     Positions are code points, the end is exclusive.  Empty and NULL texts have no spans; repeated
     rows get a row each; an empty table gives no rows.

@@ -157,6 +157,55 @@ def test_novel_strings_are_whole():
     assert spans(cut) == [] and spans(cut + "\n-----END CERTIFICATE-----\nno secret here") == []
 
 
+ALPHABETS = {
+    "upper hex": "0123456789ABCDEF", "lower hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567",
+    "lower": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/",
+}
+
+
+def test_recall_by_alphabet_and_length():
+    novelty, rng = secrets.Novelty(), random.Random(9)
+    words = lambda n: " ".join(rng.choice(secrets.IDENTIFIERS.split()) for _ in range(n))
+    for name, letters in ALPHABETS.items():
+        for size in (16, 20, 24, 32, 40, 64, 128):
+            found = 0
+            for _ in range(60):
+                piece = "".join(rng.choice(letters) for _ in range(size - 2)) + ("a7" if name.startswith("lower") else "A7")
+                before = words(50) + "\nthe private key is "
+                text = before + piece + " for now\n" + words(50)
+                known = secrets.base_spans(text)
+                at = (len(before), len(before) + size)
+                found += at in [(a, b) for a, b, _ in known] + [(a, b) for a, b, _ in secrets.novel_spans(text, known, novelty)]
+            assert found >= 0.9 * 60, (name, size, found)
+    names = 0
+    for _ in range(200):
+        text = words(40) + "\nthe token is " + "_".join(words(4).split()) + str(rng.randrange(100)) + " today\n" + words(40)
+        names += bool(secrets.novel_spans(text, secrets.base_spans(text), novelty))
+    assert names <= 4
+
+
+def test_values_below_a_key_and_values_with_signs():
+    novelty = secrets.Novelty()
+
+    def found(text):
+        return [text[a:b] for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text), novelty)]
+
+    one, two, other = "Zk39qPx81LmQv02TsYwB", "a9Kd83mXq02LsPzRt7Wv", "Hu7bWq55pXe0Jn4vRc8D"
+    assert found(f"secret:\n  value: {one}\nother: {other}\n") == [one]
+    assert found(f"  api key:\n\n    {one}\n    {two}\n  next {other}") == [one, two]
+    assert found(f"token =\n{one}\n{other}\n") == [one]
+    assert found(f"a token is meant\n  {one}\n") == [] and found(f"secret:\n\n\n{one}") == [one] and found("secret:") == []
+    assert found(f"a:\n  secret: |\n    {one}\n   x\n  {other}") == [one]
+    assert found("password = 'x9!Kq$2mZp@4Lt'") == ["x9!Kq$2mZp@4Lt"]
+    assert found("the password: x9!Kq$2mZp@4Lt.") == ["x9!Kq$2mZp@4Lt"]
+    assert found("password: $DB_PASSWORD_V2_MAIN") == found("password: !!!!!!!!!!!!!!!!!!") == found("token: https://a.b/c?d=e1") == []
+
+
+def test_many_nested_keys_take_linear_time():
+    text = "".join(" " * (k % 300) + "secret:\n" for k in range(30_000))
+    assert secrets.contexts(text)[0][0] == 0
+
+
 RULES = urls.RULES
 
 
