@@ -7,13 +7,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.llm import common
 
 UNDETERMINED = "und"
-SAMPLE = 400  # labelled notes a language is learned from, about
+SAMPLE = 400  # different labelled texts a language is learned from, at most
 WIDTH = 4096  # hashed character sequences
 
 # Families of common languages; any other language is a family of its own.
@@ -146,20 +146,23 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_languages(labelled: DataFrame, families: dict[str, tuple[str, ...]] | None = None, sample: int = SAMPLE) -> LanguageModel:
     """A model from notes with a ``lang`` column; rows without ``lang`` are left out.
 
-    About ``sample`` notes of each language are learned from, chosen by a hash of
-    their text, so that size and order of the table do not matter; that bounds
+    At most ``sample`` different texts of each language are learned from, those with the least
+    hashes of 64 bits, so that copies, size and order of the table do not matter; that bounds
     what reaches the driver.  Without labelled rows the model knows no language.
     """
     family_of = {lang: family for family, members in (families or FAMILIES).items() for lang in members}
     rows = labelled.select(
         F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"), F.col("lang").cast("string").alias("lang")
     ).where(F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.where(F.col("content").rlike(r"\p{L}")).withColumn("h", F.xxhash64("content"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     part = F.lit(0.0)
     for lang, count in counts.items():
-        part = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / count))).otherwise(part)
-    drawn = rows.where(F.pmod(F.xxhash64("content"), F.lit(1 << 20)) < part * (1 << 20)) if counts else rows.limit(0)
-    taken = drawn.where(F.col("content").rlike(r"\p{L}")).mapInArrow(common.lean(_sampled), "lang string, x binary").collect()
+        part = F.when(F.col("lang") == lang, F.lit(min(1.0, (1.2 * sample + 100) / count))).otherwise(part)
+    # Somewhat more than the sample is drawn by the hash as a fraction, so that only those are ranked.
+    drawn = rows.where(F.col("h") / float(1 << 64) + 0.5 <= part) if counts else rows.limit(0)
+    drawn = drawn.dropDuplicates(["lang", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    taken = drawn.where(F.col("place") <= sample).drop("place", "h").mapInArrow(common.lean(_sampled), "lang string, x binary").collect()
     taken.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.array([np.frombuffer(bytes(r["x"]), dtype=np.float16) for r in taken], dtype=np.float32).reshape(-1, WIDTH)
     langs = [r["lang"] for r in taken]

@@ -257,3 +257,27 @@ def test_trees_learn_lexical_features(spark):
     assert sum(r.verdict == r.said for r in got) >= 195
     judged = urls.judge_urls(spark.createDataFrame([(None,), ("",)], "url string"), model, rules=()).collect()
     assert len(judged) == 2 and all(r.verdict in ("allow", "block") for r in judged)
+
+
+def test_verdicts_differ_inside_a_suffix(spark):
+    """Unseen hosts of the same suffixes as the labelled table, good and bad ones alike."""
+    model = urls.learn_urls(urls.example_urls(spark))
+    good = ["www.ththen", "therha", "blog.sunrise", "m.farmer", "history", "tionble"]
+    bad = ["spam-farm", "www.cheap-pills", "m.adult-x", "blog.big-casino", "free-money", "hot-deals"]
+    rows = [(f"https://{h}.example.{s}/en/{k}.html", v) for s in ("com", "org", "net") for v, hosts in (("allow", good), ("block", bad)) for k, h in enumerate(hosts, 140)]
+    got = urls.judge_urls(spark.createDataFrame(rows, "url string, verdict string"), model, rules=()).select("row.url", "row.verdict", F.col("verdict").alias("said")).collect()
+    for suffix in ("com", "org", "net"):
+        mine = [r for r in got if f".{suffix}/" in r.url]
+        assert {r.said for r in mine} == {"allow", "block"} and sum(r.verdict == r.said for r in mine) >= 11, mine
+
+
+def test_learned_urls_are_bounded_and_different(spark):
+    """Copies count once and the draw is the same whatever the order; rates are smoothed."""
+    rows = [(f"http://h{k % 97}.example.{'com' if k % 2 else 'org'}/{k}", "block" if k % 2 else "allow") for k in range(400)]
+    df = spark.createDataFrame(rows + rows[:50] * 4 + [(None, "block"), ("http://x", None), ("http://y", "other")], "url string, verdict string")
+    model = urls.learn_urls(df, sample=100)
+    drawn = model.suffixes.collect()
+    assert abs(sum(r.suffix_share for r in drawn) - 1) < 1e-9 and all(0 < r.suffix_blocked < 1 for r in drawn)
+    again = urls.learn_urls(df.orderBy(F.desc("url")), sample=100)
+    assert sorted(map(tuple, again.suffixes.collect())) == sorted(map(tuple, drawn))
+    assert urls.learn_urls(df.where("verdict = 'block'")).constant == "block" and urls.learn_urls(df.limit(0)).constant == "allow"
