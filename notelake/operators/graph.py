@@ -12,7 +12,7 @@ which meet in one equi join on ``(vault, kind, key)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths, text
 from .checkpoints import checkpoint
@@ -71,6 +71,55 @@ def backlinks(notes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     return met.select("vault", "path", "src").distinct()
 
 
+def link_targets(notes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``(vault, link, path)``: the distinct links and the notes each points at.
+
+    With :func:`links` this is the link graph in factorised form: a name that m notes
+    link to and n notes match takes m edges and n targets, where :func:`backlinks`
+    has m x n rows.  There are at most as many targets as notes and links have
+    path suffixes, so the result grows with the names, not with their pairs.
+    """
+    edges = links(notes) if edges is None else edges
+    names = edges.select("vault", "link").distinct()
+    wanted = names.select("vault", "link", _kinds(F.array("link"), _shorter_suffixes(F.col("link"))))
+    # A note meets a link by its own suffix or by the link's, never by both.
+    return wanted.join(_note_keys(notes), ["vault", "kind", "key"]).select("vault", "link", "path")
+
+
+def backlink_counts(notes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``(vault, n)``: the rows of :func:`backlinks` per vault, without building them.
+
+    A note may reach another by several links, which counts once.  The notes below a
+    link (those whose name ends in it) lie wholly below every link that is a suffix of it,
+    and two links without such a relation have no note in common.  So only the links
+    of a note that have no other of its links as a suffix count: each by the notes below it,
+    and by the notes named like one of its own shorter suffixes.  What is counted are keys of
+    either kind, per source once; sources and notes are each summed up by key before they meet.
+    Vaults without backlinks have no row.
+    """
+    edges = links(notes) if edges is None else edges
+    spread = edges.select(
+        "vault", "src", "link", F.explode(paths.path_suffixes(F.col("link"))).alias("key")
+    ).repartition("vault", "src")
+    whole = F.col("key") == F.col("link")
+    linked = F.max(whole).over(Window.partitionBy("vault", "src", "key"))
+    covered = F.max(F.col("linked") & ~whole).over(Window.partitionBy("vault", "src", "link"))
+    least = spread.withColumn("linked", linked).withColumn("covered", covered).filter(~F.col("covered"))
+    # The partitioning by source serves both windows and the distinct keys.
+    sources = (
+        least.select("vault", "src", F.when(whole, "name").otherwise("suffix").alias("kind"), "key")
+        .distinct()
+        .groupBy("vault", "kind", "key")
+        .agg(F.count("*").alias("sources"))
+    )
+    targets = _note_keys(notes).groupBy("vault", "kind", "key").agg(F.count("*").alias("targets"))
+    return (
+        sources.join(targets, ["vault", "kind", "key"])
+        .groupBy("vault")
+        .agg(F.sum(F.col("sources") * F.col("targets")).alias("n"))
+    )
+
+
 def backlinks_of(notes: DataFrame, target: str) -> DataFrame:
     """``(vault, path)`` of the notes that link to ``target``: one filter, no
     shuffle.  The target need not exist."""

@@ -10,7 +10,7 @@ from .. import schema as S
 from ..functions import frontmatter as fm, text
 from .common import broadcast_if_small, listing_key
 from .corpus import in_directory, list_directory, markdown_only, visible_notes
-from .graph import backlinks
+from .graph import backlink_counts
 from .tags import tag_counts
 
 # Bounds and defaults of budgets and limits.
@@ -275,9 +275,7 @@ def count_by_vault(**tables: DataFrame) -> DataFrame:
 
 
 def vault_summary(notes: DataFrame) -> DataFrame:
-    """Counts of what the listings return: top-level entries, tags, backlinks."""
-    return count_by_vault(
-        directory_entries=list_directory(notes),
-        tags=tag_counts(notes),
-        backlinks=backlinks(notes),
+    """Counts of what the listings return: top-level entries, tags, backlinks (counted without building the pairs)."""
+    return count_by_vault(directory_entries=list_directory(notes), tags=tag_counts(notes)).unionByName(
+        backlink_counts(notes).select("vault", F.lit("backlinks").alias("measure"), "n")
     )

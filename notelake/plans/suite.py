@@ -528,6 +528,13 @@ _query(
 _query("backlinks", sql("SELECT DISTINCT vault, path, src FROM meets", "links"))(
     lambda spark, sf: graph.backlinks(derived.notes(spark, sf))
 )
+_query("link_targets", sql("SELECT DISTINCT vault, link, path FROM meets", "links"))(
+    lambda spark, sf: graph.link_targets(derived.notes(spark, sf))
+)
+_query(
+    "backlink_counts",
+    sql("SELECT vault, count(DISTINCT (path, src)) AS n FROM meets GROUP BY vault", "links"),
+)(lambda spark, sf: graph.backlink_counts(derived.notes(spark, sf)))
 _query(
     "dangling_links",
     sql(

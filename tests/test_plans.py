@@ -51,6 +51,13 @@ def test_backlinks_join_by_equality(stored):
     assert re.search(r"ReadSchema: struct<path:string>", text)
 
 
+def test_backlink_counts_share_one_partitioning_by_source(stored):
+    """Both windows and the distinct keys stand on one shuffle by source; then only sums meet."""
+    text = plan(graph.backlink_counts(stored, graph.links(stored)))
+    assert len(re.findall(r"Exchange hashpartitioning\(vault#\d+, src", text)) == 1 and text.count("Window [") == 2
+    assert text.count("partial_count") >= 2 and "NestedLoop" not in text and "CartesianProduct" not in text
+
+
 def test_backlinks_of_one_note_is_a_filter(stored):
     assert exchanges(plan(graph.backlinks_of(stored, "en/000100.md"))) == 0
 
