@@ -17,6 +17,7 @@ STAND_IN = "\ud800"  # not a character, so no text holds it
 DECODED = 1 << 18  # ids decoded at once, about
 LANES = 4000  # segments searched at once
 LANE = 40  # segments up to this length are searched many at a time
+REMEMBERED = 1 << 16  # searched segments of up to LANE code points that a process keeps
 UNKNOWN = 10.0  # a byte costs as much as the worst piece and this
 
 _LOADED: dict[str, PieceModel] = {}
@@ -53,6 +54,7 @@ class PieceModel:
         # Where no piece goes on over a boundary, all paths meet: before a blank after something else, around a line end.
         inner = re.compile(f"[^{SPACE}]{SPACE}|\n.|.\n")
         self.segments = re.compile(r"\n| *[^ \n]+| +" if not any(inner.search(p) for p in self.pieces) else r"(?s).+")
+        self.remembered: dict[str, np.ndarray] = {}
         self._table()
         self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
@@ -190,17 +192,26 @@ class PieceModel:
         return out
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has.  Equal segments are searched once."""
+        """All ids, and how many each text has.
+
+        The pattern cuts where no piece goes on, so all paths meet at each cut: a segment's ids are
+        final at its end, whatever follows.  Short segments hold no more than LANE backpointers
+        until then; longer ones go through :meth:`stream`, which commits within them.
+        Equal segments are searched once, and short ones are remembered from batch to batch: up to
+        REMEMBERED of them, then the memory starts anew.
+        """
         words = [self.segments.findall(" " + t) if t else [] for t in texts]
         flat = [w for ws in words for w in ws]
         known = list(dict.fromkeys(flat))
         number = dict(zip(known, range(len(known)), strict=True))
-        made: list[np.ndarray | None] = [None] * len(known)
-        short = [k for k, w in enumerate(known) if len(w) <= LANE]
+        made: list[np.ndarray | None] = [self.remembered.get(w) for w in known]
+        short = [k for k, w in enumerate(known) if made[k] is None and len(w) <= LANE]
         for first in range(0, len(short), LANES):
             group = sorted(short[first : first + LANES], key=lambda k: len(known[k]))
+            if len(self.remembered) + len(group) > REMEMBERED:
+                self.remembered = {}
             for k, ids in zip(group, self._lanes([known[k] for k in group]), strict=True):
-                made[k] = ids
+                made[k] = self.remembered[known[k]] = ids
         for k, ids in enumerate(made):
             if ids is None:
                 made[k] = np.array(list(self.stream(iter(known[k]))), dtype=np.int32)

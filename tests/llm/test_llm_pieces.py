@@ -63,6 +63,27 @@ def test_parts_and_commits_don_t_matter(model):
             assert score(model, whole) == pytest.approx(brute(model, text), rel=1e-12)
 
 
+def test_lanes_equal_the_stream_around_their_longest(model):
+    rng = random.Random(3)
+    segments = [" " + "".join(rng.choice("aeiourstnlé▁日😀") for _ in range(n - 1)) for n in range(30, 51) for _ in range(8)]
+    assert min(map(len, segments)) < pieces.LANE < max(map(len, segments))
+    for text, ids in zip(segments, model._lanes(segments), strict=True):
+        assert ids.tolist() == list(model.stream(iter([text]))), text
+
+
+def test_what_is_remembered_is_bounded_and_changes_nothing(model, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(30))) for _ in range(40)]
+    want = [a.tolist() for a in model.encode_batch(texts)]
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    monkeypatch.setattr(pieces, "LANES", 20)
+    model.remembered = {}
+    for _ in range(3):
+        got = [model.encode_batch([t]) for t in texts]
+        assert [[i for ids, _ in got for i in ids.tolist()], [int(n) for _, ns in got for n in ns]] == want
+        assert len(model.remembered) <= 50
+
+
 def test_ids_are_given_out_before_the_end(model):
     seen = 0
 
